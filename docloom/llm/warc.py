@@ -36,9 +36,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 20_000
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: 20 bits of the hex digest become four letters."""
-    hexed, alphabet, out = F.sha1(payload), F.lit(BASE32), []
+def base32(hexed: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 in hex: 20 bits become four letters."""
+    alphabet, out = F.lit(BASE32), []
     for i in range(8):
         bits = F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int")
         out += [F.substring(alphabet, F.shiftright(bits, 15 - 5 * k).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for k in range(4)]
@@ -52,10 +52,14 @@ def _record_id(page_id: Column) -> Column:
 
 
 def resolve(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, payload_digest, owner: the largest page_id with the same payload."""
-    held = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    owners = held.groupBy("payload_digest").agg(F.max("page_id").alias("owner"))
-    return held.join(owners, "payload_digest")
+    """page_id, url, payload, digest (hex), owner: the largest page_id with the same payload.
+
+    The key is the bare hash, which is never null: for a key built from it Spark
+    would add a null check that hashes the payload again for every part.
+    """
+    held = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
+    owners = held.groupBy("digest").agg(F.max("page_id").alias("owner"))
+    return held.join(owners, "digest")
 
 
 def records(resolved: DataFrame, least: int = 0) -> DataFrame:
@@ -73,7 +77,7 @@ def records(resolved: DataFrame, least: int = 0) -> DataFrame:
         line("WARC-Date", F.lit(DATE)),
         F.when(F.length(uri) > 0, line("WARC-Target-URI", uri)).otherwise(F.lit("")),
         F.when(F.col("page_id").isNotNull(), line("WARC-Page-ID", F.col("page_id").cast("string"))).otherwise(F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
         F.when(own, F.lit("")).otherwise(F.concat(line("WARC-Refers-To", _record_id(F.col("owner"))), F.lit(f"WARC-Profile: {PROFILE}{CRLF}"))),
         line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
