@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mixing, packing, simhash, substring, warc
+from . import ann, chat, media, mixing, packing, simhash, substring, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
+    "op5_ann": op5_ann,
     "op6_media": op6_media,
     "op7_packing": op7_packing,
     "op8_chat": op8_chat,
