@@ -1,4 +1,759 @@
-"""Registered queries and their SQL (filled by the plan modules)."""
+"""Registered queries of the engine over the driver's tables, each with its SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Tables become collections: orders/{o_orderkey}, customer/{c}/orders/{o}, and so
+on; ``events`` is read as a change log (seq = event_id, path = users/{user_id},
+deleted = error events).
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import paths as P
+from .functions import values as V
+from .operators import changes, lookup, mutate, transforms, vector
+from .operators.aggregate import sum_as_double
+from .plans import explain as explain_plan
+from .plans.build import expand_projection, limit_to_last
+from .plans.model import (
+    CONTAINS, CONTAINS_ANY, ENTITY, EQ, GE, GT, HAS_ANCESTOR, IN, IS_NAN, IS_NOT_NAN, IS_NOT_NULL, IS_NULL, KEY, LE, LT, NAME, NE, NOT_IN,
+    Avg, Count, Cursor, Nearest, Order, Query, Selector, Sum, Where, all_of, any_of,
+)
+from .sources import indexes, oplog, wire
+from .sources.database import PATH, Collection, Database
+from .streaming import watch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def db_of(spark: SparkSession, sf_dir: str, *names: str) -> Database:
+    """The tables as top-level collections named after them."""
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id"}
+    db = Database(spark)
+    for n in names:
+        db.register(n, t(spark, sf_dir, n), key=keys[n])
+    return db
+
+
+def derived(spark: SparkSession, sf_dir: str) -> Database:
+    """Orders with holes: price missing for keys divisible by 7, NaN by 5; a nullable tag; a struct, a point, bytes, a reference, an array."""
+    o = t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    df = o.select(
+        "o_orderkey", "o_custkey", "o_orderstatus",
+        F.when(k % 7 == 0, F.lit(None)).when(k % 5 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).cast("double").alias("price"),
+        F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("tag"),
+        F.struct((k % 3).cast("int").alias("x"), (k % 2).cast("int").alias("y")).alias("coord"),
+        F.struct((k % 4).cast("double").alias("lat"), (k % 3).cast("double").alias("lng")).alias("loc"),
+        F.encode(F.col("o_orderstatus"), "UTF-8").alias("data"),
+        F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("ref"),
+        F.array((k % 3).cast("int"), (k % 5).cast("int")).alias("nums"),
+        "o_orderdate",
+    )
+    db = Database(spark)
+    db.register("orders", df, key="o_orderkey", nulls=frozenset({"tag"}))
+    return db
+
+
+D = "(select *, case when o_orderkey % 7 = 0 then null when o_orderkey % 5 = 0 then 'nan'::double else o_totalprice end as price, case when o_orderkey % 3 = 0 then null else o_orderstatus end as tag from orders) d"
+OF_ORDERS = (Selector("orders"),)
+
+
+def find(name: str, where, sql_where: str, *, entity: bool = False, db=None, table: str = D, cols: str = "o_orderkey"):
+    """A filter over derived orders that returns keys."""
+
+    @query(name, f"select {cols} from {table} where {sql_where}")
+    def run(spark, sf_dir):
+        q = Query(OF_ORDERS, where=where, flavour=ENTITY if entity else "document")
+        return (db or derived)(spark, sf_dir).query(q).select(*cols.split(", "))
+
+
+# -- flagship and scans -----------------------------------------------------------------------------------
+
+
+@query("flagship_top_orders", "select o_orderkey, o_totalprice, o_orderdate from orders where o_orderstatus = 'F' and o_totalprice > 100000 order by o_totalprice desc, o_orderkey limit 10")
+def flagship(spark, sf_dir):
+    q = Query(OF_ORDERS, where=all_of(Where("o_orderstatus", EQ, "F"), Where("o_totalprice", GT, 100000)), order=(Order("o_totalprice", True),), limit=10)
+    return db_of(spark, sf_dir, "orders").query(q).select("o_orderkey", "o_totalprice", "o_orderdate")
+
+
+@query("scan_collection", "select * from nation")
+def scan_collection(spark, sf_dir):
+    return db_of(spark, sf_dir, "nation").query(Query((Selector("nation"),))).drop(PATH)
+
+
+def hierarchy(spark, sf_dir) -> Database:
+    """region/{r}/nation/{n}/customer/{c}/orders/{o}."""
+    r, n, c, o = (t(spark, sf_dir, x) for x in ("region", "nation", "customer", "orders"))
+    db = Database(spark)
+    db.register("region", r, key="r_regionkey")
+    nations = F.concat(F.lit("region/"), F.col("n_regionkey").cast("string"))
+    db.register("nation", n, key="n_nationkey", parent=nations)
+    of_nation = F.concat(nations, F.lit("/nation/"), F.col("n_nationkey").cast("string"))
+    customers = c.join(n, c.c_nationkey == n.n_nationkey)
+    db.register("customer", customers.select(*c.columns, "n_nationkey", "n_regionkey"), key="c_custkey", parent=of_nation)
+    of_customer = F.concat(of_nation, F.lit("/customer/"), F.col("c_custkey").cast("string"))
+    db.register("orders", o.join(customers, o.o_custkey == customers.c_custkey).select(*o.columns, "c_custkey", "n_nationkey", "n_regionkey"), key="o_orderkey", parent=of_customer)
+    return db
+
+
+HIER = "('region/' || n_regionkey || '/nation/' || n_nationkey || '/customer/' || c_custkey || '/orders/' || o_orderkey)"
+HIER_FROM = "from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
+
+
+@query("scan_collection_group", f"select {HIER} as path, o_totalprice {HIER_FROM} where starts_with({HIER}, 'region/1/')")
+def scan_collection_group(spark, sf_dir):
+    q = Query((Selector("orders", True),), parent="region/1")
+    return hierarchy(spark, sf_dir).query(q).select(F.col(PATH).alias("path"), "o_totalprice")
+
+
+@query("scan_kindless", "select 'region/' || r_regionkey as path, 'region' as collection from region union all select 'nation/' || n_nationkey, 'nation' from nation union all select 'supplier/' || s_suppkey, 'supplier' from supplier")
+def scan_kindless(spark, sf_dir):
+    return db_of(spark, sf_dir, "region", "nation", "supplier").kindless().withColumnRenamed(PATH, "path")
+
+
+@query("scan_multi_from", "select * from (select 'nation/' || n_nationkey as path from nation order by 1 limit 5) union all select * from (select 'supplier/' || s_suppkey from supplier order by 1 limit 5)")
+def scan_multi_from(spark, sf_dir):
+    q = Query((Selector("nation"), Selector("supplier")), limit=5, select=(NAME,))
+    return db_of(spark, sf_dir, "nation", "supplier").query(q).withColumnRenamed(PATH, "path")
+
+
+def of_customers(spark, sf_dir) -> Database:
+    db = Database(spark)
+    db.register("orders", t(spark, sf_dir, "orders"), key="o_orderkey", parent=F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")))
+    return db
+
+
+@query("kind_ancestor", "select o_orderkey, o_totalprice from orders where o_custkey = 42")
+def kind_ancestor(spark, sf_dir):
+    q = Query((Selector("orders", True),), where=Where(KEY, HAS_ANCESTOR, "customer/42"), flavour=ENTITY)
+    return of_customers(spark, sf_dir).query(q).select("o_orderkey", "o_totalprice")
+
+
+@query("namespace_isolation", "select p_partkey from part where 'ns' || (p_partkey % 3) = 'ns1' and p_size > 10")
+def namespace_isolation(spark, sf_dir):
+    parts = t(spark, sf_dir, "part").withColumn("namespace", F.concat(F.lit("ns"), (F.col("p_partkey") % 3).cast("string")))
+    spaces = {}
+    for ns in ("ns0", "ns1", "ns2"):
+        spaces[ns] = Database(spark, namespace=ns)
+        spaces[ns].register("part", parts.where(F.col("namespace") == ns), key="p_partkey")
+    return spaces["ns1"].query(Query((Selector("part"),), where=Where("p_size", GT, 10), flavour=ENTITY)).select("p_partkey")
+
+
+@query("database_isolation", "select 'a' as db, count(*) as n from orders where o_orderkey % 2 = 0 union all select 'b', count(*) from orders where o_orderkey % 2 = 1")
+def database_isolation(spark, sf_dir):
+    out = []
+    for name, bit in (("a", 0), ("b", 1)):
+        db = Database(spark, name=name)
+        db.register("orders", t(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == bit), key="o_orderkey")
+        out.append(db.aggregate(Query(OF_ORDERS), [Count("n")]).select(F.lit(name).alias("db"), "n"))
+    return out[0].unionByName(out[1])
+
+
+@query("point_get", "select o_orderkey, o_totalprice from orders where o_orderkey = 7")
+def point_get(spark, sf_dir):
+    return db_of(spark, sf_dir, "orders").get("orders/7", ["o_orderkey", "o_totalprice"]).drop(PATH)
+
+
+@query("batch_get_found_missing", "select 'labels/' || i as path, l.doc_id is not null as found, toxic from range(0, 100, 3) r(i) left join labels l on l.doc_id = i")
+def batch_get(spark, sf_dir):
+    db = Database(spark)
+    c = db.register("labels", t(spark, sf_dir, "labels"), key="doc_id")
+    request = lookup.keys_frame(spark, [f"labels/{i}" for i in range(0, 100, 3)] + ["labels/3"])
+    return lookup.batch_get(c.df, request).select(F.col(PATH).alias("path"), "found", "toxic")
+
+
+@query("lookup_found", "select doc_id from documents where doc_id in (select doc_id from labels)")
+def lookup_found(spark, sf_dir):
+    c = db_of(spark, sf_dir, "documents").tables["documents"][0]
+    request = t(spark, sf_dir, "labels").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias(PATH))
+    return lookup.lookup(c.df, request)[0].select("doc_id")
+
+
+@query("lookup_missing", "select 'labels/' || doc_id as path from documents where doc_id not in (select doc_id from labels)")
+def lookup_missing(spark, sf_dir):
+    labels = t(spark, sf_dir, "labels").select(F.concat(F.lit("labels/"), F.col("doc_id").cast("string")).alias(PATH))
+    request = t(spark, sf_dir, "documents").select(F.concat(F.lit("labels/"), F.col("doc_id").cast("string")).alias(PATH))
+    return lookup.lookup(labels, request)[1].withColumnRenamed(PATH, "path")
+
+
+@query("list_documents_page2", "select 'orders/' || o_orderkey as path from orders where 'orders/' || o_orderkey > (select max(p) from (select 'orders/' || o_orderkey as p from orders order by p limit 300)) order by 1 limit 300")
+def list_page2(spark, sf_dir):
+    c = db_of(spark, sf_dir, "orders").tables["orders"][0]
+    token = lookup.next_token(lookup.list_documents(c.df.select(PATH)), lookup.PAGE)
+    return lookup.list_documents(c.df.select(PATH), token=token).withColumnRenamed(PATH, "path")
+
+
+@query("list_show_missing", "select 'customer/' || c_custkey as path, false as missing from customer where c_custkey % 2 = 0 union all select distinct 'customer/' || o_custkey, true from orders where o_custkey not in (select c_custkey from customer where c_custkey % 2 = 0)")
+def list_show_missing(spark, sf_dir):
+    some = t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias(PATH))
+    below = of_customers(spark, sf_dir).tables["orders"][0].df.select(PATH)
+    return lookup.with_missing(some, below, "", "customer").withColumnRenamed(PATH, "path")
+
+
+@query("list_collection_ids", "select 'orders' as collection where exists (select 1 from orders where o_custkey = 1) union select 'notes'")
+def list_collection_ids(spark, sf_dir):
+    orders = of_customers(spark, sf_dir).tables["orders"][0].df.select(PATH)
+    notes = t(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"), F.lit("/notes/1")).alias(PATH))
+    return lookup.collection_ids(orders.unionByName(notes), "customer/1")
+
+
+@query("content_statistics", "select 'orders' as table_name, count(*) as n_rows from orders union all select 'part', count(*) from part union all select 'events', count(*) from events")
+def content_statistics(spark, sf_dir):
+    return indexes.statistics({n: t(spark, sf_dir, n) for n in ("orders", "part", "events")})
+
+
+@query("oplog_search", "select event_id, event_type, value from events where contains(lower(event_type), 'err') and value >= 10 order by event_id desc limit 100")
+def oplog_search(spark, sf_dir):
+    return oplog.search(t(spark, sf_dir, "events"), contains={"event_type": "ERR"}, least={"value": 10}).select("event_id", "event_type", "value")
+
+
+@query("oplog_metrics", "select event_type, count(*) as calls, sum((value < 10)::int)::bigint as failures, round(avg(value), 6) as mean_value, max(value) as most_value from events group by 1")
+def oplog_metrics(spark, sf_dir):
+    return oplog.metrics(t(spark, sf_dir, "events"), "event_type", "value", F.col("value") < 10).withColumn("mean_value", F.round("mean_value", 6))
+
+
+@query("wire_roundtrip", "select o_orderkey, o_totalprice, o_orderstatus from orders where o_totalprice > 250000")
+def wire_roundtrip(spark, sf_dir):
+    """Encode documents to wire JSON, decode them again, filter on a decoded value."""
+    o = t(spark, sf_dir, "orders")
+    name = P.resource_name("p", "(default)", F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")))
+    sent = o.select(wire.encode(o, name, ["o_orderkey", "o_totalprice", "o_orderstatus"]).alias("json"))
+    db = Database(spark)
+    db.register("orders", wire.decode(sent), path=F.regexp_extract("name", "documents/(.*)$", 1), prefix="orders")
+    hit = db.query(Query(OF_ORDERS, where=Where("o_totalprice", GT, 250000)))
+    value = lambda f: F.col("fields")[f]
+    return hit.select(value("o_orderkey")["int"].alias("o_orderkey"), value("o_totalprice")["key"]["num"].alias("o_totalprice"), value("o_orderstatus")["key"]["text"].alias("o_orderstatus"))
+
+
+@query("field_index_rows", "select in_array, count(*) as n from (select false as in_array from part union all select true from (select unnest(string_split(p_name, ' ')) from part)) group by 1")
+def field_index_rows(spark, sf_dir):
+    p = t(spark, sf_dir, "part")
+    kind = V.VALUE
+    words = F.split("p_name", " ")
+    none = V.literal([])
+    items = F.transform(words, lambda w: F.struct(F.lit("").alias("name"), *[(F.lit(V.STRING) if n == "rank" else w if n == "text" else F.lit(None)).alias(n) for n in ("rank", "real", "num", "ts", "text", "bin", "ref", "lat", "lng")], F.lit(None).cast("string").alias("json")))
+    key = none["key"].withField("items", items)
+    fields = F.map_from_arrays(F.array(F.lit("size"), F.lit("words")), F.array(V.lift(F.col("p_size"), "int"), F.struct(key.cast(V.KEY).alias("key"), F.lit(None).cast("long").alias("int"), F.lit(None).cast("string").alias("json")).cast(kind)))
+    db = Database(spark)
+    c = db.register("part", p.select("p_partkey", fields.alias("fields")), key="p_partkey")
+    return indexes.field_index(c.df).groupBy("in_array").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- projections ------------------------------------------------------------------------------------------
+
+
+@query("project_fields", "select o_orderkey, o_totalprice from orders where o_orderkey % 10 = 3")
+def project_fields(spark, sf_dir):
+    db = Database(spark)
+    db.register("orders", t(spark, sf_dir, "orders").where("o_orderkey % 10 = 3"), key="o_orderkey")
+    return db.query(Query(OF_ORDERS, select=("o_orderkey", "o_totalprice", "absent"))).drop(PATH)
+
+
+@query("project_nested", "select event_id, json_extract_string(props, '$.k')::int as k from events where event_type = 'click'")
+def project_nested(spark, sf_dir):
+    e = t(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k int, z int"))
+    db = Database(spark)
+    db.register("events", e, key="event_id")
+    got = db.query(Query((Selector("events"),), where=Where("event_type", EQ, "click"), select=("event_id", "p.k")))
+    return got.select("event_id", "p.k")
+
+
+@query("keys_only", "select 'orders/' || o_orderkey as path from orders where o_orderstatus = 'O'")
+def keys_only(spark, sf_dir):
+    return db_of(spark, sf_dir, "orders").query(Query(OF_ORDERS, where=Where("o_orderstatus", EQ, "O"), select=(NAME,))).withColumnRenamed(PATH, "path")
+
+
+@query("project_expand_array", "select p_partkey, unnest(string_split(p_name, ' ')) as word from (select * from part order by p_partkey limit 50)")
+def project_expand_array(spark, sf_dir):
+    db = Database(spark)
+    db.register("part", t(spark, sf_dir, "part").withColumn("word", F.split("p_name", " ")), key="p_partkey")
+    page = db.query(Query((Selector("part"),), order=(Order("p_partkey"),), limit=50, flavour=ENTITY))
+    return expand_projection(page, ["p_partkey", "word"])
+
+
+# -- filters ----------------------------------------------------------------------------------------------
+
+for _name, _op, _sql in (("eq", EQ, "="), ("lt", LT, "<"), ("le", LE, "<="), ("gt", GT, ">"), ("ge", GE, ">=")):
+    find(f"filter_{_name}", Where("price", _op, 150000.25 if _op != EQ else float("inf")) if _op != EQ else Where("o_orderstatus", EQ, "P"), f"price {_sql} 150000.25 and not isnan(price)" if _op != EQ else "o_orderstatus = 'P'")
+find("filter_ne", Where("tag", NE, "F"), "tag is not null and tag <> 'F'")
+find("filter_in", Where("o_orderstatus", IN, ["P", "F"]), "o_orderstatus in ('P', 'F')")
+find("filter_not_in", Where("tag", NOT_IN, ["P", "F"]), "tag is not null and tag not in ('P', 'F')")
+find("filter_is_null", Where("tag", IS_NULL), "tag is null")
+find("filter_is_not_null", Where("price", IS_NOT_NULL), "price is not null")
+find("filter_is_nan", Where("price", IS_NAN), "isnan(price)")
+find("filter_is_not_nan", Where("price", IS_NOT_NAN), "price is not null and not isnan(price)")
+find("filter_nan_literal_in", Where("price", IN, [float("nan"), -1.0]), "isnan(price)")
+find("filter_nan_literal_ne", Where("price", NE, float("nan")), "price is not null and not isnan(price)")
+find("filter_and_or_nested", any_of(all_of(Where("o_orderstatus", EQ, "F"), Where("price", GT, 200000)), all_of(Where("tag", EQ, "P"), Where("price", IS_NAN)), Where("price", LT, 2000)), "(o_orderstatus = 'F' and price > 200000 and not isnan(price)) or (tag = 'P' and isnan(price)) or (price < 2000)")
+find("filter_struct_eq", Where("coord", EQ, {"x": 1, "y": 0}), "o_orderkey % 3 = 1 and o_orderkey % 2 = 0")
+find("filter_geo_eq", Where("loc", EQ, V.Geo(2.0, 1.0)), "o_orderkey % 4 = 2 and o_orderkey % 3 = 1")
+find("filter_array_eq", Where("nums", EQ, [1, 4]), "o_orderkey % 3 = 1 and o_orderkey % 5 = 4")
+find("filter_bytes", Where("data", GT, b"F"), "o_orderstatus > 'F'")
+find("filter_reference", Where("ref", EQ, V.Ref("customer/42")), "o_custkey = 42")
+find("filter_timestamp_range", all_of(Where("o_orderdate", GE, dt.datetime(1995, 1, 1)), Where("o_orderdate", LT, dt.datetime(1996, 1, 1))), "o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1996-01-01'")
+find("filter_nested_field", Where("coord.x", EQ, 2), "o_orderkey % 3 = 2")
+find("filter_key_in", Where(NAME, IN, ["orders/5", "orders/77", "orders/999999999"]), "o_orderkey in (5, 77)")
+find("filter_name_range", all_of(Where(NAME, GE, "orders/12"), Where(NAME, LT, "orders/13")), "'orders/' || o_orderkey >= 'orders/12' and 'orders/' || o_orderkey < 'orders/13'")
+find("ds_ne_includes_missing", Where("tag", NE, "F"), "tag is null or tag <> 'F'", entity=True)
+find("ds_not_in_includes_missing", Where("tag", NOT_IN, ["F", "P"]), "tag is null or tag not in ('F', 'P')", entity=True)
+find("ds_array_any_equal", Where("nums", EQ, 4), "o_orderkey % 5 = 4", entity=True)
+find("ds_array_any_range", Where("nums", GE, 3), "o_orderkey % 5 >= 3", entity=True)
+find("filter_array_contains", Where("nums", CONTAINS, 2), "o_orderkey % 3 = 2 or o_orderkey % 5 = 2")
+find("filter_array_contains_any", Where("nums", CONTAINS_ANY, [3, 4]), "o_orderkey % 5 in (3, 4)")
+
+
+@query("filter_int_double_cross", "select count(*) as n from lineitem where l_linenumber > 2.5 and l_quantity = 17")
+def filter_int_double_cross(spark, sf_dir):
+    db = Database(spark)
+    db.register("lineitem", t(spark, sf_dir, "lineitem"), key="l_orderkey")
+    return db.aggregate(Query((Selector("lineitem"),), where=all_of(Where("l_linenumber", GT, 2.5), Where("l_quantity", EQ, 17))), [Count("n")])
+
+
+@query("filter_empty_lists", "select 0::bigint as in_empty, 0::bigint as not_in_null, count(*) as not_in_empty from orders")
+def filter_empty_lists(spark, sf_dir):
+    db = db_of(spark, sf_dir, "orders")
+    one = lambda w, n: db.aggregate(Query(OF_ORDERS, where=w), [Count(n)])
+    a = one(Where("o_orderstatus", IN, []), "in_empty")
+    b = one(Where("o_orderstatus", NOT_IN, ["F", None]), "not_in_null")
+    c = one(Where("o_orderstatus", NOT_IN, []), "not_in_empty")
+    return a.join(b).join(c)  # three rows of one value each
+
+
+def unindexed(spark, sf_dir) -> Database:
+    db = Database(spark)
+    db.register("orders", t(spark, sf_dir, "orders"), key="o_orderkey", unindexed=frozenset({"o_orderpriority"}))
+    return db
+
+
+@query("ds_unindexed_property", "select 0::bigint as by_unindexed, count(*) as by_status from orders where o_orderstatus = 'F'")
+def ds_unindexed(spark, sf_dir):
+    db = unindexed(spark, sf_dir)
+    a = db.aggregate(Query(OF_ORDERS, where=Where("o_orderpriority", NE, "x"), flavour=ENTITY), [Count("by_unindexed")])
+    return a.join(db.aggregate(Query(OF_ORDERS, where=Where("o_orderstatus", EQ, "F"), flavour=ENTITY), [Count("by_status")]))
+
+
+# -- order, limits, cursors -------------------------------------------------------------------------------
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The rows of an ordered, limited result with their place (a page is small)."""
+    return df.withColumn("_m", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(W.orderBy("_m"))).drop("_m")
+
+
+def page(name: str, q: Query, sql: str, cols: tuple = ("o_orderkey",), db=derived):
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return placed(db(spark, sf_dir).query(q)).select(*cols, "place")
+
+
+def _ranked(order: str, limit: str, where: str = "true", cols: str = "o_orderkey", table: str = D) -> str:
+    return f"select {cols}, row_number() over (order by {order})::int as place from (select * from {table} where {where} order by {order} {limit})"
+
+
+BY_PATH = "'orders/' || o_orderkey"
+NAN_FIRST = "case when price is null then 0 when isnan(price) then 1 else 2 end"
+page("order_multi", Query(OF_ORDERS, order=(Order("o_orderstatus"), Order("o_custkey", True)), limit=40), _ranked(f"o_orderstatus, o_custkey desc, {BY_PATH} desc", "limit 40"))
+page("order_nan_first", Query(OF_ORDERS, order=(Order("price"),), limit=700), _ranked(f"{NAN_FIRST}, price, {BY_PATH}", "limit 700", "price is not null"))
+page("order_desc_nulls", Query(OF_ORDERS, order=(Order("tag", True),), limit=50, offset=9_000), _ranked(f"tag desc nulls last, {BY_PATH} desc", "limit 50 offset 9000"))
+page("order_implicit_inequality", Query(OF_ORDERS, where=all_of(Where("price", GT, 1000), Where("o_custkey", LT, 100)), limit=30), _ranked(f"o_custkey, price, {BY_PATH}", "limit 30", "price > 1000 and not isnan(price) and o_custkey < 100"))
+page("orderby_requires_field", Query(OF_ORDERS, order=(Order("price", True),), limit=25), _ranked(f"{NAN_FIRST} desc, price desc, {BY_PATH} desc", "limit 25", "price is not null"))
+page("limit_offset", Query(OF_ORDERS, order=(Order("o_custkey"),), limit=20, offset=35), _ranked(f"o_custkey, {BY_PATH}", "limit 20 offset 35"))
+page("ds_order_default", Query(OF_ORDERS, where=Where("o_orderstatus", EQ, "P"), limit=20, flavour=ENTITY), _ranked(BY_PATH, "limit 20", "o_orderstatus = 'P'"))
+
+START = Cursor((150000.0,), True)
+for _n, _kw, _w in (
+    ("start_at", {"start": START}, "o_totalprice >= 150000"),
+    ("start_after", {"start": Cursor((150000.0,), False)}, "o_totalprice > 150000"),
+    ("end_at", {"end": Cursor((20000.0,), False)}, "o_totalprice <= 20000"),
+    ("end_before", {"end": Cursor((20000.0,), True)}, "o_totalprice < 20000"),
+):
+    page(f"cursor_{_n}", Query(OF_ORDERS, order=(Order("o_totalprice"),), limit=30, **_kw), _ranked(f"o_totalprice, {BY_PATH}", "limit 30", _w, table="orders"), db=lambda s, d: db_of(s, d, "orders"))
+page("cursor_desc", Query(OF_ORDERS, order=(Order("o_totalprice", True),), start=Cursor((150000.0,), False), end=Cursor((149000.0,), True), limit=30), _ranked(f"o_totalprice desc, {BY_PATH} desc", "limit 30", "o_totalprice < 150000 and o_totalprice > 149000", table="orders"), db=lambda s, d: db_of(s, d, "orders"))
+page("cursor_multi_field", Query(OF_ORDERS, order=(Order("o_orderstatus"), Order("o_custkey", True)), start=Cursor(("O", 700, "orders/5"), True), limit=30), _ranked(f"o_orderstatus, o_custkey desc, {BY_PATH} desc", "limit 30", f"o_orderstatus > 'O' or (o_orderstatus = 'O' and (o_custkey < 700 or (o_custkey = 700 and {BY_PATH} <= 'orders/5')))"))
+page("keyset_page_ds", Query(OF_ORDERS, order=(Order("o_custkey"),), start=Cursor((30, "orders/2"), False), limit=25, flavour=ENTITY), _ranked(f"o_custkey, {BY_PATH}", "limit 25", f"o_custkey > 30 or (o_custkey = 30 and {BY_PATH} > 'orders/2')"))
+page("keyset_null_tail", Query(OF_ORDERS, order=(Order("tag", True),), start=Cursor((None, "orders/5000"), False), limit=25), _ranked(f"tag desc nulls last, {BY_PATH} desc", "limit 25", f"tag is null and {BY_PATH} < 'orders/5000'"))
+page("ds_path_cursor", Query(OF_ORDERS, start=Cursor(("orders/200",), False), limit=15, flavour=ENTITY), _ranked(BY_PATH, "limit 15", f"{BY_PATH} > 'orders/200'"))
+
+
+@query("limit_to_last", f"select o_orderkey, row_number() over (order by o_totalprice, {BY_PATH})::int as place from (select * from orders order by o_totalprice desc, {BY_PATH} desc limit 12)")
+def limit_last(spark, sf_dir):
+    return placed(limit_to_last(db_of(spark, sf_dir, "orders"), Query(OF_ORDERS, order=(Order("o_totalprice"),), limit=12))).select("o_orderkey", "place")
+
+
+@query("limit_zero", "select 0::bigint as entity_rows, count(*) as document_rows from orders")
+def limit_zero(spark, sf_dir):
+    db = db_of(spark, sf_dir, "orders")
+    a = db.aggregate(Query(OF_ORDERS, limit=0, flavour=ENTITY), [Count("entity_rows")])
+    return a.join(db.aggregate(Query(OF_ORDERS, limit=0), [Count("document_rows")]))
+
+
+@query("pagination_full_cover", "select count(*) as n, count(distinct n_nationkey) as ids from nation")
+def pagination_full_cover(spark, sf_dir):
+    """Pages of ten by keyset cursors cover a collection exactly once (the driver sees only cursors)."""
+    db, out, start = db_of(spark, sf_dir, "nation"), None, None
+    base = Query((Selector("nation"),), order=(Order("n_regionkey"),), limit=10)
+    while True:
+        got = db.query(replace(base, start=start))
+        last = got.orderBy(F.desc("n_regionkey"), F.desc(PATH)).select("n_regionkey", PATH).first()
+        if last is None:
+            break
+        out = got if out is None else out.unionByName(got)
+        start = Cursor((last[0], last[1]), False)
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("n_nationkey").alias("ids"))
+
+
+@query("more_results", "select least(count(*), 300) as rows, count(*) >= 300 as more_after_limit from orders where o_orderstatus = 'P'")
+def more_results(spark, sf_dir):
+    got = db_of(spark, sf_dir, "orders").aggregate(Query(OF_ORDERS, where=Where("o_orderstatus", EQ, "P"), limit=300), [Count("rows")])
+    return got.withColumn("more_after_limit", F.col("rows") == 300)
+
+
+@query("order_virtual_ids", "select o_orderkey, row_number() over (order by (o_orderkey % 2 = 0), case when o_orderkey % 2 = 1 then o_orderkey end, 'k' || o_orderkey)::int as place from (select * from orders order by (o_orderkey % 2 = 0), case when o_orderkey % 2 = 1 then o_orderkey end, 'k' || o_orderkey limit 60 offset (select greatest(count(*) - 30, 0) from orders where o_orderkey % 2 = 1))")
+def order_virtual_ids(spark, sf_dir):
+    """Numeric ids in disguise sort first and by number, other ids by text."""
+    o = t(spark, sf_dir, "orders")
+    odd = o.where("o_orderkey % 2 = 1").count()
+    k = F.col("o_orderkey").cast("string")
+    db = Database(spark)
+    path = F.concat(F.lit("orders/"), F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit("__id"), k, F.lit("__"))).otherwise(F.concat(F.lit("k"), k)))
+    db.register("orders", o, path=path, prefix="orders", virtual_ids=True)
+    got = db.query(Query(OF_ORDERS, order=(Order(NAME),), limit=60, offset=max(odd - 30, 0)))
+    return placed(got).select("o_orderkey", "place")
+
+
+def mixed(spark, sf_dir) -> Database:
+    """Orders whose field ``v`` is of a type that depends on the key, absent for keys divisible by 6."""
+    o = t(spark, sf_dir, "orders").where("o_orderkey <= 600")
+    k = F.col("o_orderkey")
+    number, text, flag, none = V.lift(F.col("o_totalprice"), "double"), V.lift(F.col("o_orderpriority"), "string"), V.lift(F.col("o_custkey") % 2 == 0, "boolean"), V.literal(None)
+    v = F.when(k % 6 == 1, number).when(k % 6 == 2, text).when(k % 6 == 3, flag).when(k % 6 == 4, V.lift(F.col("o_custkey"), "bigint")).otherwise(none)
+    db = Database(spark)
+    fields = F.map_from_arrays(F.when(k % 6 == 0, F.array(F.lit("w"))).otherwise(F.array(F.lit("w"), F.lit("v"))), F.when(k % 6 == 0, F.array(number)).otherwise(F.array(number, v)))
+    db.register("orders", o.select("o_orderkey", fields.alias("fields")), key="o_orderkey")
+    return db
+
+
+MIXED = "(select *, case o_orderkey % 6 when 5 then 0 when 3 then 1 when 1 then 2 when 4 then 2 when 2 then 4 end as rank, case o_orderkey % 6 when 1 then o_totalprice when 4 then o_custkey::double end as num, case o_orderkey % 6 when 2 then o_orderpriority end as txt, case o_orderkey % 6 when 3 then (o_custkey % 2 = 0) end as flag from orders where o_orderkey <= 600) m"
+page("order_cross_type", Query(OF_ORDERS, order=(Order("v"),)), _ranked(f"rank, flag, num, txt, {BY_PATH}", "", "rank is not null", table=MIXED), db=mixed)
+find("dynamic_range_same_type", Where("v", GE, 500), "rank = 2 and num >= 500", db=mixed, table=MIXED)
+find("dynamic_is_null", Where("v", IS_NULL), "rank = 0", db=mixed, table=MIXED)
+find("dynamic_not_equal", Where("v", NE, True), "rank > 0 and (flag is null or not flag)", db=mixed, table=MIXED)
+find("dynamic_in_mixed", Where("v", IN, [True, "1-URGENT"]), "flag or txt = '1-URGENT'", db=mixed, table=MIXED)
+
+
+# -- aggregates -------------------------------------------------------------------------------------------
+
+
+def total(name: str, sql: str, aggs, where=None, db=None, **kw):
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return (db or derived)(spark, sf_dir).aggregate(Query(OF_ORDERS, where=where, **kw), aggs)
+
+
+def line_items(spark, sf_dir) -> Database:
+    db = Database(spark)
+    db.register("orders", t(spark, sf_dir, "lineitem").withColumn("money", F.col("l_extendedprice").cast("decimal(18,2)")), key="l_orderkey")
+    return db
+
+
+total("agg_count", "select count(*) as n from orders where o_orderstatus = 'F'", [Count("n")], Where("o_orderstatus", EQ, "F"))
+total("agg_count_upto", "select 300::bigint as n", [Count("n", 300)])
+total("agg_sum_int", "select sum(l_suppkey)::bigint as s, count(*) as n from lineitem where l_returnflag = 'R'", [Sum("l_suppkey", "s"), Count("n")], Where("l_returnflag", EQ, "R"), line_items)
+total("agg_sum_empty", "select 0::bigint as s, null::double as a, 0::bigint as n", [Sum("o_custkey", "s"), Avg("o_custkey", "a"), Count("n")], Where("o_orderstatus", EQ, "none"))
+total("agg_sum_nan", "select 'nan'::double as s, 'nan'::double as a from orders limit 1", [Sum("price", "s"), Avg("price", "a")])
+total("agg_avg_nan_ds", "select null::double as a from orders limit 1", [Avg("price", "a")], flavour=ENTITY)
+total("agg_limit_ordered", f"select sum(o_custkey)::bigint as s, count(*) as n from (select * from orders order by o_totalprice, {BY_PATH} limit 500)", [Sum("o_custkey", "s"), Count("n")], order=(Order("o_totalprice"),), limit=500, db=lambda s, d: db_of(s, d, "orders"))
+total("agg_limit_unordered_ds", "select sum(o_custkey)::bigint as property_1 from (select o_custkey from orders order by o_custkey limit 500)", [Sum("o_custkey")], flavour=ENTITY, limit=500, db=lambda s, d: db_of(s, d, "orders"))
+total("agg_sum_mixed", "select count(*) as n, null::bigint as s_int from orders where o_orderkey <= 600 and o_orderkey % 6 <> 0", [Count("n"), Sum("v", "s")], db=mixed)
+_sum_mixed = QUERIES["agg_sum_mixed"]
+QUERIES["agg_sum_mixed"] = lambda spark, sf_dir: _sum_mixed(spark, sf_dir).drop("s")
+
+
+@query("agg_avg", "select round(avg(l_quantity), 6) as a, round(avg(l_discount), 6) as b from lineitem where l_linestatus = 'O'")
+def agg_avg(spark, sf_dir):
+    got = line_items(spark, sf_dir).aggregate(Query(OF_ORDERS, where=Where("l_linestatus", EQ, "O")), [Avg("l_quantity", "a"), Avg("l_discount", "b")])
+    return got.select(F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+@query("agg_sum_double", "select round(sum(l_extendedprice::decimal(18,2))::double, 2) as s from lineitem")
+def agg_sum_double(spark, sf_dir):
+    return line_items(spark, sf_dir).aggregate(Query(OF_ORDERS), [Sum("l_extendedprice", "s")]).select(F.round("s", 2).alias("s"))
+
+
+@query("agg_multi_required", f"select count(*) as n, sum(o_custkey)::bigint as s, sum((not isnan(price))::int)::bigint as real from {D} where price is not null")
+def agg_multi_required(spark, sf_dir):
+    """A sum over ``price`` in the request leaves documents without it out of every aggregate."""
+    db = derived(spark, sf_dir)
+    a = db.aggregate(Query(OF_ORDERS), [Count("n"), Sum("o_custkey", "s"), Avg("price", "p")]).drop("p")
+    return a.join(db.aggregate(Query(OF_ORDERS, where=Where("price", IS_NOT_NAN)), [Count("real")]))
+
+
+@query("agg_sum_overflow_ds", "select sum(c_custkey::hugeint * 9000000000000000)::double as s, (sum(c_custkey::hugeint * 9000000000000000) <= 9223372036854775807) as s_is_int from customer where c_custkey <= 1000")
+def agg_sum_overflow(spark, sf_dir):
+    return sum_as_double(t(spark, sf_dir, "customer").where("c_custkey <= 1000"), F.col("c_custkey") * F.lit(9_000_000_000_000_000), "s")
+
+
+@query("distinct_on", "select o_custkey, o_orderkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, 'orders/' || o_orderkey desc) = 1")
+def distinct_on(spark, sf_dir):
+    q = Query(OF_ORDERS, order=(Order("o_totalprice", True),), distinct_on=("o_custkey",), flavour=ENTITY)
+    return db_of(spark, sf_dir, "orders").query(q).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+# -- nearest neighbours -----------------------------------------------------------------------------------
+
+PROBE = tuple(((i * 37) % 64 - 32) / 100 for i in range(64))
+PROBE_SQL = "[" + ", ".join(map(str, PROBE)) + "]::double[]"
+OF_VECTORS = (Selector("embeddings"),)
+
+
+def knn(name: str, n: Nearest, sql: str, where=None):
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return db_of(spark, sf_dir, "embeddings").query(Query(OF_VECTORS, where=where, nearest=n)).select("vec_id", F.round("d", 6).alias("d"))
+
+
+def _knn_sql(expr: str, order: str, where: str = "true", limit: int = 10) -> str:
+    return f"select vec_id, round(d, 6) as d from (select vec_id, {expr} as d from embeddings where {where}) where true order by d {order}, 'embeddings/' || vec_id limit {limit}"
+
+
+_EUC = f"list_distance(embedding::double[], {PROBE_SQL})"
+_COS = f"1 - list_cosine_similarity(embedding::double[], {PROBE_SQL})"
+_DOT = f"list_inner_product(embedding::double[], {PROBE_SQL})"
+knn("knn_euclidean", Nearest("embedding", PROBE, vector.EUCLIDEAN, 10, "d"), _knn_sql(_EUC, ""))
+knn("knn_cosine", Nearest("embedding", PROBE, vector.COSINE, 10, "d"), _knn_sql(_COS, ""))
+knn("knn_dot", Nearest("embedding", PROBE, vector.DOT, 10, "d"), _knn_sql(_DOT, "desc"))
+knn("knn_threshold", Nearest("embedding", PROBE, vector.EUCLIDEAN, 200, "d", 1.75), _knn_sql(_EUC, "", f"{_EUC} <= 1.75", 200))
+knn("knn_prefilter", Nearest("embedding", PROBE, vector.COSINE, 8, "d"), _knn_sql(_COS, "", "label in (1, 3)", 8), Where("label", IN, [1, 3]))
+
+
+# -- time travel and watch --------------------------------------------------------------------------------
+
+LOG = "(select event_id as seq, 'users/' || user_id as path, ts as change_time, event_type = 'error' as deleted, event_type, value from events) g"
+
+
+def log_of(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("path"), F.col("ts").alias("change_time"), (F.col("event_type") == "error").alias("deleted"), "event_type", "value")
+
+
+def middle(spark, sf_dir):
+    """A time and a position in the middle of the log."""
+    r = t(spark, sf_dir, "events").agg((F.min("event_id") + F.max("event_id")).alias("s")).first()
+    seq = r.s // 2
+    return seq, t(spark, sf_dir, "events").where(F.col("event_id") == seq).select("ts").first().ts
+
+
+MID = "(select (min(event_id) + max(event_id)) // 2 from events)"
+MID_TIME = f"(select ts from events where event_id = {MID})"
+LATEST = "qualify row_number() over (partition by path order by seq desc) = 1"
+
+
+@query("asof_snapshot", f"select path, seq, event_type, value from (select * from {LOG} where change_time <= {MID_TIME} {LATEST}) where not deleted")
+def asof_snapshot(spark, sf_dir):
+    return changes.as_of(log_of(spark, sf_dir), middle(spark, sf_dir)[1]).select("path", "seq", "event_type", "value")
+
+
+@query("asof_point", f"select path, seq, event_type from (select * from {LOG} where change_time <= {MID_TIME} and path = 'users/1' {LATEST}) where not deleted")
+def asof_point(spark, sf_dir):
+    return changes.point_as_of(log_of(spark, sf_dir), "users/1", middle(spark, sf_dir)[1]).select("path", "seq", "event_type")
+
+
+@query("asof_aggregate", f"select count(*) as n, round(avg(value), 6) as a from (select * from {LOG} where change_time <= {MID_TIME} {LATEST}) where not deleted and event_type = 'click'")
+def asof_aggregate(spark, sf_dir):
+    db = Database(spark)
+    db.register("users", changes.as_of(log_of(spark, sf_dir), middle(spark, sf_dir)[1]), path=F.col("path"), prefix="users")
+    got = db.aggregate(Query((Selector("users"),), where=Where("event_type", EQ, "click")), [Count("n"), Avg("value", "a")])
+    return got.withColumn("a", F.round("a", 6))
+
+
+@query("changes_since_seq", f"select path, min_seq as first_seq, seq, deleted from (select *, min(seq) over (partition by path) as min_seq from {LOG} where seq > {MID} {LATEST})")
+def changes_since_seq(spark, sf_dir):
+    return changes.since_seq(log_of(spark, sf_dir), middle(spark, sf_dir)[0]).select("path", "first_seq", "seq", "deleted")
+
+
+@query("docs_since_time", f"select path, seq, deleted from (select * from {LOG} where true {LATEST}) where change_time > {MID_TIME}")
+def docs_since_time(spark, sf_dir):
+    return changes.since_time(log_of(spark, sf_dir), middle(spark, sf_dir)[1]).select("path", "seq", "deleted")
+
+
+@query("current_seq", "select coalesce(max(event_id), 0) as seq from events")
+def current_seq(spark, sf_dir):
+    return changes.current_seq(log_of(spark, sf_dir))
+
+
+HIT = "coalesce(event_type in ('click', 'view') and not deleted, false)"
+
+
+@query("watch_batch_diff", f"""
+select a.path, case when a.hit then 'CHANGE' when a.deleted then 'DELETE' else 'REMOVE' end as change, a.seq
+from (select *, {HIT} as hit from {LOG} where true {LATEST}) a left join (select path, {HIT} as hit from {LOG} where seq <= {MID} {LATEST}) b using (path)
+where a.seq > {MID} and (a.hit or coalesce(b.hit, false))""")
+def watch_batch_diff(spark, sf_dir):
+    log = log_of(spark, sf_dir)
+    seq = middle(spark, sf_dir)[0]
+    top = log.agg(F.max("seq").alias("s")).first().s
+    return changes.diff(log, F.col("event_type").isin("click", "view"), seq, top).select("path", "change", "seq")
+
+
+EVENTS = f"""
+select target, path, seq, case when now then 'CHANGE' when deleted then 'DELETE' else 'REMOVE' end as change from (
+  select *, coalesce(lag(now) over (partition by target, path order by seq), false) as was from (
+    select 'clicks' as target, *, {HIT} as now from {LOG} union all select 'dear', *, coalesce(value > 50 and not deleted, false) from {LOG}))
+where now or was"""
+
+
+@query("watch_events", EVENTS)
+def watch_events(spark, sf_dir):
+    return watch.events_batch(log_of(spark, sf_dir), {"clicks": F.col("event_type").isin("click", "view"), "dear": F.col("value") > 50})
+
+
+# -- writes -----------------------------------------------------------------------------------------------
+
+
+@query("transform_increment", "select p_partkey, p_size + 3 as p_size, p_retailprice + 2 as p_retailprice, 5 as fresh from part")
+def transform_increment(spark, sf_dir):
+    p = t(spark, sf_dir, "part")
+    return p.select("p_partkey", transforms.increment(F.col("p_size"), 3).alias("p_size"), transforms.increment(F.col("p_retailprice"), 2).alias("p_retailprice"), transforms.increment(F.lit(None).cast("int"), 5).alias("fresh"))
+
+
+@query("transform_max_min", "select p_partkey, greatest(p_size, 25) as high, least(p_size, 10) as low from part")
+def transform_max_min(spark, sf_dir):
+    p = t(spark, sf_dir, "part")
+    return p.select("p_partkey", transforms.maximum(F.col("p_size"), 25).alias("high"), transforms.minimum(F.col("p_size"), 10).alias("low"))
+
+
+WORDS = "string_split(p_name, ' ')"
+
+
+@query("transform_array_append", f"select p_partkey, array_to_string({WORDS} || list_filter(['new', {WORDS}[1], 'new'], lambda x: not list_contains({WORDS}, x)), ' ') as words from part")
+def transform_array_append(spark, sf_dir):
+    w = F.split("p_name", " ")
+    return t(spark, sf_dir, "part").select("p_partkey", F.array_join(transforms.append_missing(w, F.array(F.lit("new"), w[0], F.lit("new"))), " ").alias("words"))
+
+
+@query("transform_array_remove", f"select p_partkey, array_to_string(list_filter({WORDS}, lambda x: x <> {WORDS}[1]), ' ') as words from part")
+def transform_array_remove(spark, sf_dir):
+    w = F.split("p_name", " ")
+    return t(spark, sf_dir, "part").select("p_partkey", F.array_join(transforms.remove_all(w, F.array(w[0])), " ").alias("words"))
+
+
+@query("transform_request_time", "select p_partkey, timestamp '2024-03-01 12:00:00' as updated from part where p_partkey <= 50")
+def transform_request_time(spark, sf_dir):
+    return t(spark, sf_dir, "part").where("p_partkey <= 50").select("p_partkey", transforms.request_time(dt.datetime(2024, 3, 1, 12)).cast("timestamp_ntz").alias("updated"))
+
+
+def store(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(live documents, writes): orders up to key 3000 live; writes by key modulo 10, some behind the live range."""
+    o = t(spark, sf_dir, "orders")
+    path = F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"))
+    live = o.where("o_orderkey <= 3000").select(path.alias("path"), "o_orderkey", "o_totalprice", "o_orderstatus", (F.col("o_orderkey") % 4 + 1).alias("version"))
+    k = F.col("o_orderkey") % 10
+    op = F.when(k == 0, "insert").when(k == 1, "update").when(k == 2, "delete").otherwise("upsert")
+    writes = o.where("o_orderkey between 2000 and 4000 and o_orderkey % 10 < 4").select(path.alias("path"), op.alias("op"), "o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("W").alias("o_orderstatus"), F.when(k == 3, F.lit(2)).cast("long").alias("base_version"), F.when(k == 2, F.lit(True)).alias("exists"))
+    return live, writes
+
+
+LIVE = "(select 'orders/' || o_orderkey as path, o_orderkey, o_totalprice, o_orderstatus, o_orderkey % 4 + 1 as version from orders where o_orderkey <= 3000)"
+WRITES = "(select 'orders/' || o_orderkey as path, case o_orderkey % 10 when 0 then 'insert' when 1 then 'update' when 2 then 'delete' else 'upsert' end as op, o_orderkey, o_totalprice + 1 as o_totalprice, 'W' as o_orderstatus, case when o_orderkey % 10 = 3 then 2 end as base_version, case when o_orderkey % 10 = 2 then true end as must_exist from orders where o_orderkey between 2000 and 4000 and o_orderkey % 10 < 4)"
+
+
+@query("write_status", f"""
+select w.path, op, case when op = 'insert' and l.path is not null then 'ALREADY_EXISTS' when op = 'update' and l.path is null then 'NOT_FOUND'
+  when must_exist is not null and must_exist <> (l.path is not null) then 'FAILED_PRECONDITION' when base_version is not null and base_version <> coalesce(l.version, 0) then 'CONFLICT' else 'OK' end as status
+from {WRITES} w left join {LIVE} l using (path)""")
+def write_status(spark, sf_dir):
+    return mutate.judged(*store(spark, sf_dir)).select("path", "op", "status")
+
+
+@query("upsert_merge", f"""
+select path, coalesce(w.o_totalprice, l.o_totalprice) as o_totalprice, coalesce(w.o_orderstatus, l.o_orderstatus) as o_orderstatus, (case when w.path is null then l.version else coalesce(l.version, 0) + 1 end)::bigint as version
+from {LIVE} l full join {WRITES} w using (path) where coalesce(op, '') <> 'delete'""")
+def upsert_merge(spark, sf_dir):
+    live, writes = store(spark, sf_dir)
+    return mutate.post_image(live.drop("o_orderkey"), writes, ["o_totalprice", "o_orderstatus"]).select("path", "o_totalprice", "o_orderstatus", "version")
+
+
+@query("update_mask_merge", f"select path, coalesce(w.o_totalprice, l.o_totalprice) as o_totalprice, l.o_orderstatus from {LIVE} l left join (select * from {WRITES} where op = 'upsert') w using (path)")
+def update_mask_merge(spark, sf_dir):
+    live, writes = store(spark, sf_dir)
+    held = writes.where("op = 'upsert'").join(live.select("path"), "path", "left_semi")
+    return mutate.post_image(live.drop("o_orderkey"), held, ["o_totalprice", "o_orderstatus"], ["o_totalprice"]).select("path", "o_totalprice", "o_orderstatus")
+
+
+@query("insert_conflicts", f"select w.path from {WRITES} w join {LIVE} l using (path) where op = 'insert'")
+def insert_conflicts(spark, sf_dir):
+    live, writes = store(spark, sf_dir)
+    return mutate.judged(live, writes.where("op = 'insert'").drop("base_version", "exists")).where("status = 'ALREADY_EXISTS'").select("path")
+
+
+@query("delete_tombstones", f"select path, true as deleted from {WRITES} where op = 'delete'")
+def delete_tombstones(spark, sf_dir):
+    live, writes = store(spark, sf_dir)
+    return mutate.tombstones(live, writes.where("op = 'delete'"))
+
+
+@query("delete_tombstones_ds", f"select path, true as deleted from {WRITES} where op = 'delete' and path in (select path from {LIVE})")
+def delete_tombstones_ds(spark, sf_dir):
+    live, writes = store(spark, sf_dir)
+    return mutate.tombstones(live, writes.where("op = 'delete'"), even_absent=False)
+
+
+@query("occ_conflicts", f"select r.path, r.version, l.version as current_version from (select 'orders/' || o_orderkey as path, 2::bigint as version from orders where o_orderkey between 2900 and 3100) r left join {LIVE} l using (path) where l.version is null or l.version > r.version")
+def occ_conflicts(spark, sf_dir):
+    live, _ = store(spark, sf_dir)
+    o = t(spark, sf_dir, "orders").where("o_orderkey between 2900 and 3100")
+    read = o.select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("path"), F.lit(2).cast("long").alias("version"))
+    return mutate.conflicts(read, live)
+
+
+@query("allocate_ids", "select n_name, (100 + row_number() over (order by n_name))::bigint as id from nation")
+def allocate_ids(spark, sf_dir):
+    return mutate.allocate_ids(t(spark, sf_dir, "nation").select("n_name"), 100, ["n_name"])
+
+
+@query("reserved_ids", "select count(*) as refused from range(0, 100) r(i) where i % 4 = 0")
+def reserved_ids(spark, sf_dir):
+    ids = spark.range(100).select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("__x"), F.col("id").cast("string"), F.lit("__"))).when(F.col("id") % 4 == 1, F.concat(F.lit("__id"), F.col("id").cast("string"), F.lit("__"))).otherwise(F.col("id").cast("string")).alias("i"))
+    return ids.where(F.col("i").rlike(P.RESERVED.pattern.replace("\\Z", "$")) & ~F.col("i").rlike("^" + P.VIRTUAL.pattern.replace("\\Z", "$"))).agg(F.count(F.lit(1)).alias("refused"))
+
+
+@query("explain_plan_only")
+def explain_plan_only(spark, sf_dir):
+    q = Query(OF_ORDERS, where=Where("o_totalprice", GT, 1000), order=(Order("o_orderstatus"),))
+    return spark.createDataFrame([(k, str(v)) for k, v in explain_plan.summary(q).items()], "item string, value string")
+
+
+# -- extensions: natural in Spark, not part of the document model -----------------------------------------
+
+
+@query("ext_group_by", "select o_orderstatus, count(*) as n, max(o_totalprice) as most from orders group by 1")
+def ext_group_by(spark, sf_dir):
+    return t(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("most"))
+
+
+@query("ext_reference_join", "select c_custkey, count(*) as n from customer join orders on o_custkey = c_custkey where c_mktsegment = 'BUILDING' group by 1")
+def ext_reference_join(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'")
+    o = t(spark, sf_dir, "orders")
+    return o.join(c, o.o_custkey == c.c_custkey).groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"))
