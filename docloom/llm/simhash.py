@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, mix64, running, slices, span_hashes, word_bounds, word_hashes
 
 SHINGLE = 4
 RADIUS = 4
@@ -213,9 +213,132 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **kw) -> DataFrame:
-    """One document of each component: that with the smallest doc_id (of equal ids, one; null ids last)."""
-    found = near_duplicates(docs, **kw)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    lone = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return lone.dropDuplicates(["doc_id"])
+# -- near-duplicates by similarity: documents whose shingle sets have a Jaccard similarity of at least ``least`` --------
+#
+# At a similarity of 0.8 fingerprints of 64 bits differ in 5 to 14 bits, too many for tables that agree on whole blocks,
+# and comparing all tiles of a corpus at such a radius is quadratic.  So tiles hold documents that share a band of
+# minimal shingle hashes; tiles are compared with exclusive-or and bit counts as above, and every pair that is left
+# is checked by its exact shingle sets before it links.
+
+NEAR_SHINGLE, LEAST, NEAR_RADIUS = 5, 0.8, 20
+BINS, BAND_ROWS = 64, 4
+NEAR_TILE = 2048
+_SHINGLE_BASE = 0xB5297A4D3F84D5B5
+_SHINGLE_INV = pow(_SHINGLE_BASE, -1, 1 << 64)
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(58)
+
+
+def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
+    """Sorted different hashes of the shingles of a word-hash sequence (a short one is one shingle)."""
+    n = len(words)
+    if not n:
+        return np.empty(0, np.uint64)
+    sums = running(words, _SHINGLE_BASE)
+    start = np.arange(max(1, n - shingle + 1))
+    return np.unique(span_hashes(sums, start, np.minimum(start + shingle, n), _SHINGLE_BASE, _SHINGLE_INV))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """Keys of bands of minimal hashes; an empty bin borrows from the next one that isn't."""
+    at = np.searchsorted(hashes, _EDGES) % len(hashes)
+    least = hashes[at].reshape(-1, BAND_ROWS)
+    key = np.arange(len(least), dtype=np.uint64)
+    for c in range(BAND_ROWS):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + least[:, c])
+    return key
+
+
+def _sign_batches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower = np.frombuffer(_LOWER, np.uint8)
+        for b in batches:
+            for a, e, data, offsets in slices(b.column("text")):
+                starts, ends, first = word_bounds(data, offsets)
+                words = word_hashes(lower[data], starts, ends)
+                fps, prints, sets, keys = [], [], [], []
+                for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    own = words[x:y]
+                    h = shingle_set(own, shingle)
+                    total = sum((np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), 8192)), np.zeros(64, np.int64))
+                    fps.append(int(np.packbits(total * 2 > len(h), bitorder="little").view(np.int64)[0]))
+                    prints.append(int(span_hashes(running(own, _SHINGLE_BASE), np.array([0]), np.array([len(own)]), _SHINGLE_BASE, _SHINGLE_INV).view(np.int64)[0]))
+                    sets.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
+                    keys.append(bands(h).view(np.int64) if len(h) else np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(a, e - a), pa.array(prints, pa.int64()), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "print", "fp", "set", "bands"],
+                )
+
+    return run
+
+
+def link_similar(fps: np.ndarray, nodes: np.ndarray, sets: list[np.ndarray], split: int, radius: int, least: float) -> list[tuple[int, int]]:
+    """A forest of verified links: of all pairs (split 0), or of those between the first ``split`` documents and the others."""
+    n, out = len(fps), []
+    size = np.array([len(s) for s in sets])
+    side = np.arange(n) < split
+    waiting = np.ones(n, bool)
+    for seed in range(n):
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        queue = [seed]
+        while queue:
+            x = queue.pop()
+            ask = waiting & (np.bitwise_count(fps ^ fps[x]) <= radius) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x]))
+            if split:
+                ask &= side != side[x]
+            for y in np.flatnonzero(ask):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both >= least * (size[x] + size[y] - both):
+                    waiting[y] = False
+                    queue.append(y)
+                    out.append((int(nodes[x]), int(nodes[y])))
+    return out
+
+
+def _similar_batches(radius: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for own, p, q in zip(b.column("members"), b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True):
+                v = own.values
+                part = np.asarray(v.field("part"))
+                order = np.argsort(part != p, kind="stable")
+                sets = [np.unique(np.frombuffer(s.as_buffer(), np.uint32)) for s in v.field("set").take(pa.array(order))]
+                split = int((part == p).sum()) if p != q else 0
+                found += link_similar(np.asarray(v.field("fp")).view(np.uint64)[order], np.asarray(v.field("print"))[order], sets, split, radius, least)
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+
+    return run
+
+
+def similar(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, least: float = LEAST, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE) -> DataFrame:
+    """doc_id, print, component_id: documents linked by a similarity of ``least`` or more (equal word sequences are one class).
+
+    A pair at 0.8 shares one of 16 bands of four minimal hashes with a
+    probability of 0.9998; pairs that meet are decided exactly.
+    """
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign_batches(shingle), "doc_id long, print long, fp long, set binary, bands array<long>"), "signed")
+    classes = scratch.keep(signed.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min_by(F.struct("fp", "bands"), "fp").alias("s")).select("print", "first_id", "s.fp", "s.bands"), "classes")
+    met = classes.select("print", "fp", F.explode("bands").alias("band"))
+    sized = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = met.join(sized, "band").withColumn("parts", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+    # The sets of documents that share a band with another, each once; then to every pair of tiles of its bucket.
+    needed = scratch.keep(crowded, "crowded")
+    sets = signed.join(needed.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.first("set").alias("set"))
+    placed = needed.join(sets, "print").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = placed.groupBy("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.collect_list(F.struct("print", "fp", "set", "part")).alias("members"))
+    forest = tiles.where("size(members) > 1").select("members", "p", "q").mapInArrow(_similar_batches(radius, least), "a long, b long").distinct()
+    stars = components(forest, scratch)
+    grouped = classes.join(stars, classes["print"] == stars["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
+    named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("print", "component_id")
+    return signed.select("doc_id", "print").join(named, "print").select("doc_id", "print", "component_id")
+
+
+def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
+    """One document of each group of similar ones: that with the smallest doc_id (of rows with one id, one; a null id if there is no other)."""
+    kept = similar(docs, **kw).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
