@@ -116,6 +116,7 @@ def _present(p: Column) -> Column:
 
 
 def _typed(w: Where, source, flavour: str) -> Column:
+    """Predicates over typed columns.  A null result counts as false in a filter, so it is only replaced below a negation: bare comparisons reach the scan."""
     c, kind = source.typed(w.field)
     entity = flavour == ENTITY
     array = isinstance(kind, T.ArrayType)
@@ -126,7 +127,7 @@ def _typed(w: Where, source, flavour: str) -> Column:
     if w.op == IS_NOT_NULL or (w.op == NE and w.value is None):
         return c.isNotNull()
     if w.op == IS_NAN:
-        return _present(F.isnan(c)) if floating else _false()
+        return F.isnan(c) if floating else _false()
     if w.op == IS_NOT_NAN:
         return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
 
@@ -142,28 +143,29 @@ def _typed(w: Where, source, flavour: str) -> Column:
         return got & ~F.isnan(x) if isinstance(k, (T.DoubleType, T.FloatType)) and w.op in (GT, GE) else got
 
     if w.op == EQ:
-        return _present(equal(w.value))
+        return equal(w.value)
     if w.op == NE:
         return ~_present(equal(w.value)) if entity else c.isNotNull() & ~_present(equal(w.value))
     if w.op in RANGES:
         if array and entity and not isinstance(w.value, (list, tuple)):
-            return _present(F.exists(c, lambda x: span(x, kind.elementType, w.value)))
-        return _present(span(c, kind, w.value))
+            return F.exists(c, lambda x: span(x, kind.elementType, w.value))
+        return span(c, kind, w.value)
     if w.op in (IN, NOT_IN):
         plain = [v for v in w.value if _fits(kind, v) and not is_nan(v) and not isinstance(v, (list, tuple, dict, V.Geo, V.Ref, V.Vector))]
         rest = [v for v in w.value if not any(v is p for p in plain) and v is not None]
         terms = ([c.isin(plain)] if plain else []) + [equal(v) for v in rest]
-        some = _present(reduce(lambda a, b: a | b, terms)) if terms else _false()
+        some = reduce(lambda a, b: a | b, terms) if terms else _false()
         if w.op == IN:
             return some
+        some = _present(some)
         if any(v is None for v in w.value):
             return _false()
         return ~some if entity or not w.value else c.isNotNull() & ~some
     if w.op == CONTAINS:
-        return _present(F.exists(c, lambda x: _present(_equal(x, kind.elementType, w.value)))) if array else _false()
+        return F.exists(c, lambda x: _present(_equal(x, kind.elementType, w.value))) if array else _false()
     if w.op == CONTAINS_ANY:
         fit = [v for v in w.value if array and _fits(kind.elementType, v)]
-        return _present(F.arrays_overlap(c, F.array(*[typed_literal(v, kind.elementType) for v in fit]))) if fit else _false()
+        return F.arrays_overlap(c, F.array(*[typed_literal(v, kind.elementType) for v in fit])) if fit else _false()
     raise InvalidArgument(f"{w.op} is no operator")
 
 
@@ -226,6 +228,7 @@ def _dynamic(w: Where, source, flavour: str) -> Column:
         return ~some if entity or not w.value else _present(rank > V.NULL) & ~some
     if w.op in (CONTAINS, CONTAINS_ANY):
         wanted = [w.value] if w.op == CONTAINS else list(w.value)
-        terms = [F.exists(key["items"], lambda x, v=v: _leaf(x) == _leaf_of(v)) for v in wanted]
+        held = lambda v: F.exists(key["items"], lambda x: _leaf(x) == _leaf_of(v))
+        terms = [held(v) for v in wanted]
         return _present((rank == V.ARRAY) & reduce(lambda a, b: a | b, terms)) if terms else _false()
     raise InvalidArgument(f"{w.op} is no operator")
