@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import SLICE_BYTES, Scratch, slices, word_bounds, word_hashes
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 LENGTH = 4096
 DIMS, BITS, BUCKETS = 4, 8, 1024
-CACHE_WORDS = 600_000
+CACHE_WORDS = 3_000_000
 MISSES = 2_000
 
 
@@ -47,8 +47,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.empty(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.n + len(more)
+        if need > len(self.data):
+            bigger = np.empty(max(need, 2 * len(self.data)), self.data.dtype)
+            bigger[: self.n] = self.data[: self.n]
+            self.data = bigger
+        self.data[self.n : need] = more
+        self.n = need
+
+
 class Words:
-    """Ids of white-space separated words as packed 16-bit numbers, from a bounded cache."""
+    """Ids of white-space separated words, kept by the 64-bit hash of a word in sorted arrays of bounded size."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,7 +75,7 @@ class Words:
             raise ValueError("ids of this vocabulary don't fit in 16 bits")
         # A digit is always a token of its own, so it can part words that don't hold it.
         self.parting = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.seen: dict[bytes, bytes] = {}
+        self.clear()
 
     @classmethod
     def held(cls, path: str) -> Words:
@@ -69,8 +85,39 @@ class Words:
             home.__dict__[path] = cls(path)
         return home.__dict__[path]
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of a few words; one call to the tokenizer for all without the parting digit."""
+    def clear(self) -> None:
+        # Two sorted runs of (hash, entry): a large one, and a small one that is merged into it now and then.
+        self.runs = [(np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in range(2)]
+        self.begin, self.size, self.flat = Grown(np.int64), Grown(np.int64), Grown(np.uint16)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entries of words by hash, -1 for new ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, entries in self.runs:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, entries[at], out)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Keep new words: different hashes in rising order."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        entries = np.arange(self.size.n, self.size.n + len(ids))
+        self.begin.add(self.flat.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.flat.add(np.frombuffer(b"".join(ids), np.uint16))
+
+        def merged(run, keys, values):
+            at = np.searchsorted(run[0], keys)
+            return np.insert(run[0], at, keys), np.insert(run[1], at, values)
+
+        large, small = self.runs[0], merged(self.runs[1], hashes, entries)
+        if len(small[0]) * 8 > len(large[0]):
+            large, small = merged(large, *small), (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self.runs = [large, small]
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of a few words; one call to the tokenizer for many without the parting digit."""
         out: list[bytes] = [b""] * len(words)
         plain = [i for i, w in enumerate(words) if b"0" not in w]
         for at in range(0, len(plain), MISSES):
@@ -88,33 +135,58 @@ class Words:
                 out[i] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint16).tobytes()
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        """Add words to the cache.  ASCII words share the entry of their lower case, and of themselves without a last point or comma."""
-        seen, base = self.seen, {}
+    def _known(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of different words without white space; new ones are encoded and kept."""
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        hashes = word_hashes(data, *word_bounds(data, np.array([0, len(data)]))[:2])
+        entry = self.find(hashes)
+        new = np.flatnonzero(entry < 0)
+        new = new[np.argsort(hashes[new])]
+        got = self.encode([words[i] for i in new])
+        if len(new):
+            self.add(hashes[new], got)
+        out = dict(zip((words[i] for i in new), got, strict=True))
+        for i in np.flatnonzero(entry >= 0):
+            a = self.begin.data[entry[i]]
+            out[words[i]] = self.flat.data[a : a + self.size.data[entry[i]]].tobytes()
+        return out
+
+    def learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Keep words of rising hashes.  An ASCII word has the ids of its lower case; a last point or comma is a token of its own."""
+        stems = []
         for w in words:
             stem, tail = w, b""
             if w.isascii() and b"<" not in w:
                 stem = w.lower()
                 if stem[-1] in b".," and stem[:-1].isalpha():
                     stem, tail = stem[:-1], stem[-1:]
-            base[w] = stem, tail
-        wanted = [w for w in {x for pair in base.values() for x in pair if x} if w not in seen]
-        seen.update(zip(wanted, self._encode(wanted), strict=True))
-        for w, (stem, tail) in base.items():
-            seen[w] = seen[stem] + seen[tail] if tail else seen[stem]
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-        seen = self.seen
-        fresh: set[bytes] = set()
-        for words in split:
-            fresh.update(words)
-        fresh.difference_update(seen)
-        if fresh:
-            self.learn(fresh)
-        return [b"".join(map(seen.__getitem__, words)) for words in split]
+            stems.append((stem, tail))
+        own = set(words)
+        base = list({x for pair in stems for x in pair if x and x not in own})
+        known = self._known(base) if base else {}
+        alone = [w for w, (stem, _) in zip(words, stems, strict=True) if stem == w]
+        known.update(zip(alone, self.encode(alone), strict=True))
+        rest = list({x for pair in stems for x in pair if x and x not in known})
+        known.update(zip(rest, self.encode(rest), strict=True))
+        self.add(hashes, [known[stem] + known[tail] if tail else known[stem] for stem, tail in stems])
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of texts, and where each text's ids start (and the last end)."""
+        starts, ends, first = word_bounds(data, offsets)
+        hashes, at, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if self.size.n > CACHE_WORDS:
+            self.clear()
+        entry = self.find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            raw = data.tobytes()
+            self.learn([raw[i:j] for i, j in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)], hashes[new])
+            entry = self.find(hashes)
+        begin, size = self.begin.data[entry], self.size.data[entry]
+        each = size[which]
+        done = np.append(0, np.cumsum(each))
+        where = np.repeat(begin[which] - done[:-1], each) + np.arange(done[-1])
+        return self.flat.data[where], done[first]
 
 
 def _projection() -> np.ndarray:
@@ -158,15 +230,14 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def _token_batches(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = Words.held(path), np.uint16(end_id).tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                packed = [x + end for x in words.ids([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in b.column("text")])]
-                ids = [np.frombuffer(x, np.uint16) for x in packed]
+        words, end = Words.held(path), np.array([end_id], np.uint16)
+        for b in batches:
+            for first, last, data, offsets in slices(b.column("text"), 2 * SLICE_BYTES):
+                flat, cut = words.ids(data, offsets)
+                ids = [np.concatenate([flat[x:y], end]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 keys = hilbert(place(ids))
-                rest = [b.column(i) for i in range(b.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], [*b.schema.names[:-1], "curve_key", "doc_tokens", "ids"])
+                rest = [b.column(i).slice(first, last - first) for i in range(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], [*b.schema.names[:-1], "curve_key", "doc_tokens", "ids"])
 
     return run
 
