@@ -40,8 +40,8 @@ PER_WORDS = 40.0
 ROUNDS, STEP, RIDGE = 60, 0.3, 2e-5
 #: A feature of fewer training documents gets no weight.
 FEWEST = 3
-#: So many features, those most unevenly spread over the two classes, get a weight.
-KEEP = 2_000
+#: So many features for each training document, those most unevenly spread over the two classes, get a weight.
+KEEP = 0.2
 
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
@@ -103,7 +103,7 @@ def fit(rows, slots, rates, before: np.ndarray, y: np.ndarray) -> Linear:
     seen, met = np.bincount(slots, minlength=DIM), np.bincount(slots, y[rows], DIM)
     uneven = np.where(seen >= FEWEST, (met - seen * base) ** 2 / (seen * base * (1 - base) + 1), -1)
     best = np.zeros(DIM, bool)
-    best[np.argsort(-uneven, kind="stable")[:KEEP]] = True
+    best[np.argsort(-uneven, kind="stable")[: max(64, int(KEEP * n))]] = True
     often = (best & (seen >= FEWEST))[slots]
     rows, slots, rates = rows[often], slots[often], rates[often]
     used, at = np.unique(slots, return_inverse=True)
