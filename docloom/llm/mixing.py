@@ -133,7 +133,8 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = M
     line = in_shard.orderBy("key", "doc_id", "size", "print")
     laid = placed.withColumn("ends", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0))).withColumn("block_no", F.floor(F.col("ends") / block).cast("long"))
     upto = F.col("earlier") * block + F.col("picked") * (F.col("ends") % block)
-    counted = laid.join(chosen, ["source_no", "shard", "block_no"], "left").withColumn("upto", F.coalesce(upto, F.lit(0)))
+    # Before the explode Spark takes the blocks for a few rows and would broadcast them at any size.
+    counted = laid.join(chosen.hint("merge"), ["source_no", "shard", "block_no"], "left").withColumn("upto", F.coalesce(upto, F.lit(0)))
     overlap = F.col("upto") - F.coalesce(F.lag("upto").over(in_shard.orderBy("ends", "key", "doc_id", "size", "print")), F.lit(0))
     taken = (F.coalesce("passes", F.lit(0)) * F.col("size") + overlap).cast("long")
     return counted.withColumn("taken", taken).select("doc_id", "print", "size", "source", "source_size", "target", "taken")
