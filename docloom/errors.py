@@ -27,3 +27,7 @@ class InvalidArgument(EngineError):
 
 class Unimplemented(EngineError):
     status, http = "UNIMPLEMENTED", 501
+
+
+class Conflict(Aborted):
+    """A write whose base version isn't the present one."""

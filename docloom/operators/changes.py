@@ -37,6 +37,10 @@ def since_seq(log: DataFrame, seq: int) -> DataFrame:
     return got.select("path", "first_seq", *[F.col(f"_r.`{c}`").alias(c) for c in rest]).orderBy("first_seq")
 
 
+def point_since_seq(log: DataFrame, path: str, seq: int) -> DataFrame:
+    return since_seq(log.where(F.col("path") == path), seq)
+
+
 def since_time(log: DataFrame, time) -> DataFrame:
     """Latest state, tombstones kept, of paths whose last change is behind ``time``."""
     return latest(log).where(F.col("change_time") > F.lit(time))

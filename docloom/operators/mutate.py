@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import Aborted, FailedPrecondition, InvalidArgument, NotFound
 
@@ -73,7 +74,7 @@ def allocate_ids(incomplete: DataFrame, base: int, order: list[str]) -> DataFram
     """Gapless ids behind ``base``: rank inside partitions sorted by ``order``, with offsets from partition counts."""
     ranged = incomplete.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     zipped = ranged.rdd.zipWithIndex().map(lambda t: (*t[0], t[1] + base + 1))
-    return zipped.toDF([*incomplete.columns, "id"])
+    return incomplete.sparkSession.createDataFrame(zipped, T.StructType([*incomplete.schema.fields, T.StructField("id", T.LongType())]), verifySchema=False)
 
 
 def auto_id() -> str:

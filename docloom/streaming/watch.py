@@ -76,3 +76,28 @@ def documents_target(paths: list[str]) -> Column:
 def resume(log: DataFrame, *, seq: int | None = None, time=None) -> DataFrame:
     """The changes behind a resume token (a sequence number) or a read time."""
     return log.where(F.col("seq") > seq) if seq is not None else log.where(F.col("change_time") > F.lit(time))
+
+
+class Heartbeat:
+    """Counts progress and idle reports of streaming queries (attach with ``spark.streams.addListener(Heartbeat().listener)``)."""
+
+    def __init__(self):
+        from pyspark.sql.streaming import StreamingQueryListener
+
+        beat = self
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                beat.started += 1
+
+            def onQueryProgress(self, event):
+                beat.progress += 1
+
+            def onQueryIdle(self, event):
+                beat.idle += 1
+
+            def onQueryTerminated(self, event):
+                beat.ended += 1
+
+        self.started = self.progress = self.idle = self.ended = 0
+        self.listener = Listener()
