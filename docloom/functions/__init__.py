@@ -1 +1 @@
-
+"""Columns over paths and values."""

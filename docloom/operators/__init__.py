@@ -1 +1 @@
-
+"""Aggregates, lookups, time travel and writes."""

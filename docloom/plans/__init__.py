@@ -1 +1 @@
-
+"""From a query description to a DataFrame."""

@@ -1 +1 @@
-
+"""Watching queries over a stream of changes."""
