@@ -216,7 +216,8 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFram
     fields = "key long, content long, doc_id long, print long, begin int, n int"
     every = scratch.keep(texts.mapInArrow(_segment_batches(window), fields), "segments")
     met = every.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-    shared = met.where("low < high").select("key", (F.col("c0") != F.col("c1")).alias("mixed"))
+    # A written table, so that both sides of the join are plain shuffles: then a hot key is split between tasks.
+    shared = scratch.keep(met.where("low < high").select("key", (F.col("c0") != F.col("c1")).alias("mixed")), "shared")
     held = scratch.keep(every.join(shared, "key"), "held")
     scratch.drop("segments")
     classes = scratch.keep(
@@ -230,7 +231,7 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFram
         .agg(F.collect_list("s").alias("asked"))
     )
     windows = scratch.keep(texts.join(asked, ["doc_id", "print"]).select("text", "asked").mapInArrow(_window_batches(window), "key long, content long, x int, hash long, owner long"), "windows")
-    owners = windows.groupBy("key", "hash").agg(F.min("owner").alias("first_owner"), F.max("owner").alias("last_owner")).where("first_owner < last_owner")
+    owners = scratch.keep(windows.groupBy("key", "hash").agg(F.min("owner").alias("first_owner"), F.max("owner").alias("last_owner")).where("first_owner < last_owner"), "owners")
     later = (
         windows.join(owners, ["key", "hash"])
         .where("owner > first_owner")
