@@ -144,7 +144,7 @@ def apply_mix(docs: DataFrame, **kw) -> DataFrame:
     """The mixed corpus: each document whole, as often as its taken words make it (half and more counts as once)."""
     plan = mix(docs, **kw)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int")
-    copies = plan.groupBy("doc_id", "print").agg(F.sum(times).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    copies = Scratch(docs.sparkSession).keep(plan.groupBy("doc_id", "print").agg(F.sum(times).alias("_sum"), F.count(F.lit(1)).alias("_rows")), "copies")
     held = docs.withColumn("_print", F.xxhash64("text")).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._print") == F.col("c.print"))
     each = held.join(copies.alias("c"), on).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("_sum") / F.col("_rows")), F.lit(1)).cast("int"))))
