@@ -51,14 +51,15 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-"), part(13, 4), F.lit("-"), part(17, 4), F.lit("-"), part(21, 12), F.lit(">"))
 
 
-def resolve(pages: DataFrame) -> DataFrame:
+def resolve(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, payload, digest (hex), owner: the largest page_id with the same payload.
 
     The key is the bare hash, which is never null: for a key built from it Spark
     would add a null check that hashes the payload again for every part.
     """
     held = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
-    owners = held.groupBy("digest").agg(F.max("page_id").alias("owner"))
+    # A written table, so that both sides of the join are plain shuffles: then a hot payload is split between tasks.
+    owners = scratch.keep(held.groupBy("digest").agg(F.max("page_id").alias("owner")), "owners")
     return held.join(owners, "digest")
 
 
@@ -173,7 +174,7 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark)
     path = path or scratch.path("archives")
-    write(records(resolve(pages)), path)
+    write(records(resolve(pages, scratch)), path)
     scratch.release()
     return follow(scratch.keep(read(spark, path), "heads"))
 
