@@ -195,10 +195,14 @@ def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = CATEGORIE
     known = labels.select(F.col("doc_id").alias("_id"), F.array(*label_columns(names)).alias("labels")).where(F.col("_id").isNotNull() & ~F.exists("labels", lambda x: x.isNull()))
     # The sample has a fixed size, which bounds the broadcast.
     sample = known.orderBy(F.xxhash64("_id"), "_id", "labels").limit(most)
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").select("labels", "text")
-    got = texts.mapInArrow(_feature_batches, "labels array<int>, slots array<int>, rates array<float>").orderBy(F.xxhash64("slots", "rates"), "labels").toArrow() if most else None
-    each = [(np.asarray(s.values), np.asarray(r.values)) for s, r in zip(got.column("slots"), got.column("rates"), strict=True)][:most]
-    y = np.array(got.column("labels").to_pylist()).reshape(-1, len(names))[:most]
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").select(F.concat(F.array(F.xxhash64("_id", "text")), F.col("labels").cast("array<long>")).alias("labels"), "text")
+    got = texts.mapInArrow(_feature_batches, "labels array<long>, slots array<int>, rates array<float>").limit(most).toArrow()
+    # Sorted here, as a sort in Spark would read the corpus twice: the same sample gives the same model in any order.
+    known_rows = got.column("labels").to_pylist()
+    order = sorted(range(len(known_rows)), key=lambda i: known_rows[i])
+    slots, rates = (got.column(c).combine_chunks() for c in ("slots", "rates"))
+    each = [(np.asarray(slots[i].values), np.asarray(rates[i].values)) for i in order]
+    y = np.array([known_rows[i][1:] for i in order]).reshape(-1, len(names))
     return fit_chain(each, y, names)
 
 
