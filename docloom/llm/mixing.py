@@ -95,6 +95,11 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = M
     ``taken`` counts words with repeats; it never exceeds ``most`` = 2 times the
     size, and a source's sum differs from its target by about a block a shard.
     """
+    return _laid(docs, weights, share, most, block, shard_tokens, seed).select("doc_id", "print", "size", "source", "source_size", "target", "taken")
+
+
+def _laid(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
+    """The rows of ``mix`` with the place of each document: source_no, shard."""
     scratch = Scratch(docs.sparkSession)
     sized = scratch.keep(
         docs.select("doc_id", "source", F.xxhash64("text").alias("print"), n_words(F.col("text")).alias("size")).withColumn("key", _key(seed, F.col("doc_id"))),
@@ -137,18 +142,28 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: int = M
     counted = laid.join(chosen.hint("merge"), ["source_no", "shard", "block_no"], "left").withColumn("upto", F.coalesce(upto, F.lit(0)))
     overlap = F.col("upto") - F.coalesce(F.lag("upto").over(in_shard.orderBy("ends", "key", "doc_id", "size", "print")), F.lit(0))
     taken = (F.coalesce("passes", F.lit(0)) * F.col("size") + overlap).cast("long")
-    return counted.withColumn("taken", taken).select("doc_id", "print", "size", "source", "source_size", "target", "taken")
+    return counted.withColumn("taken", taken).select("doc_id", "print", "size", "source", "source_no", "shard", "source_size", "target", "taken")
 
 
 def apply_mix(docs: DataFrame, **kw) -> DataFrame:
-    """The mixed corpus: each document whole, as often as its taken words make it (half and more counts as once)."""
-    plan = mix(docs, **kw)
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("int")
-    copies = Scratch(docs.sparkSession).keep(plan.groupBy("doc_id", "print").agg(F.sum(times).alias("_sum"), F.count(F.lit(1)).alias("_rows")), "copies")
+    """The mixed corpus: each document whole, as often as its taken words make it, rounded up or down.
+
+    Down a shard's documents, the longest first, the running sum of the parts
+    of a copy is rounded, not each part: a shard's words stay within half of
+    its longest document of the words taken (repeated rows count as one document).
+    """
+    unit = _laid(docs, **kw).groupBy("source_no", "shard", "source", "doc_id", "print").agg(F.sum("size").alias("words"), F.sum("taken").alias("due"))
+    line = W.partitionBy("source_no", "shard").orderBy(F.desc("words"), "print", "doc_id")
+    part = F.when(F.col("words") > 0, (F.col("due") % F.col("words")) / F.col("words")).otherwise(F.lit(0.0))
+    upto = F.floor(F.sum("part").over(line.rowsBetween(W.unboundedPreceding, 0)) + F.lit(0.5))
+    whole = F.when(F.col("words") > 0, F.floor(F.col("due") / F.col("words"))).otherwise(F.lit(1))
+    times = (whole + F.col("upto") - F.coalesce(F.lag("upto").over(line), F.lit(0))).cast("int")
+    counted = unit.withColumn("part", part).withColumn("upto", upto).withColumn("times", times)
+    copies = Scratch(docs.sparkSession).keep(counted.where("times > 0").select("source", "doc_id", "print", "times"), "copies")
     held = docs.withColumn("_print", F.xxhash64("text")).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._print") == F.col("c.print"))
-    each = held.join(copies.alias("c"), on).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("_sum") / F.col("_rows")), F.lit(1)).cast("int"))))
-    return each.where(F.col("_nth") <= F.ceil(F.col("_sum") / F.col("_rows"))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    on = F.col("d.source").eqNullSafe(F.col("c.source")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._print") == F.col("c.print"))
+    each = held.join(copies.alias("c"), on).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("c.times"))))
+    return each.select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

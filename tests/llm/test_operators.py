@@ -201,6 +201,19 @@ def test_mix_applied(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mix_of_long_documents_meets_targets(spark):
+    r = random.Random(4)
+    rows = [(i, f"w{i} " * r.randint(2000, 5000), f"s{i % 3}") for i in range(240)] + [(300, "again " * 700, "s1")] * 3 + [(300, "again " * 700, "s2"), (301, "", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (0.8, 1.2):
+        want = {x.source: (x.target, x.source_size) for x in mixing.mix(df, share=share).select("source", "target", "source_size").distinct().collect()}
+        kept = {}
+        for x in mixing.apply_mix(df, share=share).collect():
+            kept[x.source] = kept.get(x.source, 0) + len(x.text.split())
+        assert share > 1 or min(t / n for t, n in want.values()) < 0.45
+        assert all(abs(kept.get(s, 0) - t) <= 2500 + 2 * 256 for s, (t, _) in want.items())
+
+
 # -- 5 ----------------------------------------------------------------------------------------------------
 
 
