@@ -265,8 +265,8 @@ def _sign_batches(shingle: int):
                     sets.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
                     keys.append(bands(h).view(np.int64) if len(h) else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(a, e - a), pa.array(prints, pa.int64()), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "print", "fp", "set", "bands"],
+                    [b.column("doc_id").slice(a, e - a), b.column("text_hash").slice(a, e - a), pa.array(prints, pa.int64()), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "print", "fp", "set", "bands"],
                 )
 
     return run
@@ -320,8 +320,14 @@ def similar(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, least: float = LEAS
     A pair at 0.8 shares one of 16 bands of four minimal hashes with a
     probability of 0.9998; pairs that meet are decided exactly.
     """
+    return _grouped(docs, shingle, least, radius, tile).select("doc_id", "print", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = LEAST, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE) -> DataFrame:
+    """The rows of ``similar`` with the hash of the text and the root of the component."""
     scratch = Scratch(docs.sparkSession)
-    signed = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sign_batches(shingle), "doc_id long, print long, fp long, set binary, bands array<long>"), "signed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    signed = scratch.keep(rows.mapInArrow(_sign_batches(shingle), "doc_id long, text_hash long, print long, fp long, set binary, bands array<long>"), "signed")
     classes = scratch.keep(signed.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min_by(F.struct("fp", "bands"), "fp").alias("s")).select("print", "first_id", "s.fp", "s.bands"), "classes")
     met = classes.select("print", "fp", F.explode("bands").alias("band"))
     sized = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -334,11 +340,21 @@ def similar(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, least: float = LEAS
     forest = tiles.where("size(members) > 1").select("members", "p", "q").mapInArrow(_similar_batches(radius, least), "a long, b long").distinct()
     stars = components(forest, scratch)
     grouped = classes.join(stars, classes["print"] == stars["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("print", "component_id")
-    return signed.select("doc_id", "print").join(named, "print").select("doc_id", "print", "component_id")
+    named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("print", "root", "component_id")
+    return signed.select("doc_id", "text_hash", "print").join(named, "print").select("doc_id", "text_hash", "print", "root", "component_id")
 
 
 def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
-    """One document of each group of similar ones: that with the smallest doc_id (of rows with one id, one; a null id if there is no other)."""
-    kept = similar(docs, **kw).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of similar ones: the smallest doc_id (a null one last), then the smallest hash of the text.
+
+    Rows that repeat that doc_id and text are one, by the least of their other columns.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = _grouped(docs, **kw).groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.doc_id").alias("_best_id"), F.col("b.text_hash").alias("_best_hash"))
+    kept = Scratch(docs.sparkSession).keep(best, "kept")
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    mine = hashed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_best_id")) & (F.col("_hash") == F.col("_best_hash")), "left_semi")
+    rest = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.to_json(F.struct(*rest)) if rest else F.lit("")
+    one = mine.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), least).alias("_row"))
+    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -125,6 +125,17 @@ def test_representatives(spark, docs):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_representatives_of_shared_and_null_ids(spark):
+    a, b, c, d = (prose(60, k) for k in (201, 202, 203, 204))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "x"), (5, c, "x"), (5, d, "y"), (5, d, "x"), (7, d + " tail", "x"), (3, c.upper(), "x")]
+    rows += [(None, d + " end", "x"), (9, None, "x"), (9, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted([(None, a, "x"), (None, b, "x"), (3, c.upper(), "x"), (5, d, "x")], key=str)
+    for k in (1, 5):
+        got = tuples(simhash.keep_representatives(df.repartition(k)), "doc_id", "text", "source")
+        assert [r for r in got if r[0] != 9] == want and len(got) == 5
+
+
 # -- 3 ----------------------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a.b/x", "<p>é</p>"), (2, "http://a.b/y z\r\nX: 1", "<p>é</p>"), (3, None, None), (4, "u", ""), (5, "u", "a\r\n\r\nWARC/1.1\r\n\r\nb"), (None, "u", "<p>é</p>"), (7, "v", "long " * 9000), (7, "v", "long " * 9000)]
