@@ -398,6 +398,28 @@ def test_extract(spark):
     assert [r.h for r in hosts] == ["h.x", "h.x", "", "", ""]
 
 
+def test_articles_are_never_left_out():
+    text = "word " * 60
+    assert html.main_text(f"<body><div class='social promo'><article><p>{text}</p></article></div><div class=footer>f</div></body>") == text.strip()
+    assert html.main_text(f"<body><article class='search-result'><div class='notice'><p>{text}</p></div><div class=share>s</div></article></body>") == text.strip()
+    assert html.main_text(f"<form id=page><div class=menu>m</div><article><p>{text}</p></article></form>") == text.strip()
+
+
+def test_wrapper_decides_on_pages_with_articles():
+    def page(k):
+        body = "".join(f"<p>{prose(40, 10 * k + j)}</p>" for j in range(3))
+        return f"<body><div class=list><article><p>Latest offers of the house</p></article></div><div class=text>{body}<div class=legal>All of this is the same everywhere</div></div></body>", [prose(40, 10 * k + j) for j in range(3)]
+
+    pages = [page(k) for k in range(4)]
+    w = None
+    for p, _ in pages:
+        s = html.skeleton(p)
+        w = s if w is None else html.align(w, s)
+    path = html.main_path(w)
+    assert path == ["body", "div.text"]
+    assert [html.main_text(p, path, html.constant_paths(w, path)).split("\n\n") for p, _ in pages] == [t for _, t in pages]
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------
 
 
