@@ -271,6 +271,11 @@ def project_fields(spark, sf_dir):
     return db.query(Query(OF_ORDERS, select=("o_orderkey", "o_totalprice", "absent"))).drop(PATH)
 
 
+@query("project_fields_whole", "select o_orderkey, o_totalprice from orders")
+def project_fields_whole(spark, sf_dir):
+    return db_of(spark, sf_dir, "orders").query(Query(OF_ORDERS, select=("o_orderkey", "o_totalprice", "absent"))).drop(PATH)
+
+
 @query("project_nested", "select event_id, json_extract_string(props, '$.k')::int as k from events where event_type = 'click'")
 def project_nested(spark, sf_dir):
     e = t(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k int, z int"))
@@ -443,9 +448,10 @@ def order_virtual_ids(spark, sf_dir):
     return placed(got).select("o_orderkey", "place")
 
 
-def mixed(spark, sf_dir) -> Database:
-    """Orders whose field ``v`` is of a type that depends on the key, absent for keys divisible by 6."""
-    o = t(spark, sf_dir, "orders").where("o_orderkey <= 600")
+def mixed(spark, sf_dir, whole: bool = False) -> Database:
+    """Orders (the first 600 keys, or all) whose field ``v`` is of a type that depends on the key, absent for keys divisible by 6."""
+    o = t(spark, sf_dir, "orders")
+    o = o if whole else o.where("o_orderkey <= 600")
     k = F.col("o_orderkey")
     number, text, flag, none = V.lift(F.col("o_totalprice"), "double"), V.lift(F.col("o_orderpriority"), "string"), V.lift(F.col("o_custkey") % 2 == 0, "boolean"), V.literal(None)
     v = F.when(k % 6 == 1, number).when(k % 6 == 2, text).when(k % 6 == 3, flag).when(k % 6 == 4, V.lift(F.col("o_custkey"), "bigint")).otherwise(none)
@@ -463,6 +469,19 @@ find("dynamic_not_equal", Where("v", NE, True), "rank > 0 and (flag is null or n
 find("dynamic_in_mixed", Where("v", IN, [True, "1-URGENT"]), "flag or txt = '1-URGENT'", db=mixed, table=MIXED)
 
 
+# The same over all orders.
+def mixed_whole(spark, sf_dir) -> Database:
+    return mixed(spark, sf_dir, whole=True)
+
+
+MIXED_WHOLE = MIXED.replace(" where o_orderkey <= 600", "")
+page("order_cross_type_whole", Query(OF_ORDERS, order=(Order("v"),)), _ranked(f"rank, flag, num, txt, {BY_PATH}", "", "rank is not null", table=MIXED_WHOLE), db=mixed_whole)
+find("dynamic_range_same_type_whole", Where("v", GE, 500), "rank = 2 and num >= 500", db=mixed_whole, table=MIXED_WHOLE)
+find("dynamic_is_null_whole", Where("v", IS_NULL), "rank = 0", db=mixed_whole, table=MIXED_WHOLE)
+find("dynamic_not_equal_whole", Where("v", NE, True), "rank > 0 and (flag is null or not flag)", db=mixed_whole, table=MIXED_WHOLE)
+find("dynamic_in_mixed_whole", Where("v", IN, [True, "1-URGENT"]), "flag or txt = '1-URGENT'", db=mixed_whole, table=MIXED_WHOLE)
+
+
 # -- aggregates -------------------------------------------------------------------------------------------
 
 
@@ -489,6 +508,9 @@ total("agg_limit_unordered_ds", "select sum(o_custkey)::bigint as property_1 fro
 total("agg_sum_mixed", "select count(*) as n, null::bigint as s_int from orders where o_orderkey <= 600 and o_orderkey % 6 <> 0", [Count("n"), Sum("v", "s")], db=mixed)
 _sum_mixed = QUERIES["agg_sum_mixed"]
 QUERIES["agg_sum_mixed"] = lambda spark, sf_dir: _sum_mixed(spark, sf_dir).drop("s")
+total("agg_sum_mixed_whole", "select count(*) as n, null::bigint as s_int from orders where o_orderkey % 6 <> 0", [Count("n"), Sum("v", "s")], db=mixed_whole)
+_sum_mixed_whole = QUERIES["agg_sum_mixed_whole"]
+QUERIES["agg_sum_mixed_whole"] = lambda spark, sf_dir: _sum_mixed_whole(spark, sf_dir).drop("s")
 
 
 @query("agg_avg", "select round(avg(l_quantity), 6) as a, round(avg(l_discount), 6) as b from lineitem where l_linestatus = 'O'")
@@ -663,6 +685,11 @@ def transform_request_time(spark, sf_dir):
     return t(spark, sf_dir, "part").where("p_partkey <= 50").select("p_partkey", transforms.request_time(dt.datetime(2024, 3, 1, 12)).cast("timestamp_ntz").alias("updated"))
 
 
+@query("transform_request_time_whole", "select p_partkey, timestamp '2024-03-01 12:00:00' as updated from part")
+def transform_request_time_whole(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", transforms.request_time(dt.datetime(2024, 3, 1, 12)).cast("timestamp_ntz").alias("updated"))
+
+
 def store(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(live documents, writes): orders up to key 3000 live; writes by key modulo 10, some behind the live range."""
     o = t(spark, sf_dir, "orders")
@@ -727,6 +754,70 @@ def occ_conflicts(spark, sf_dir):
     return mutate.conflicts(read, live)
 
 
+# The same over all orders: two of three keys are live, every key is written by its residue modulo 4 and read at version 2.
+
+
+def store_whole(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(live documents, writes) of all orders: each key in every pair of a live or absent document with an operation."""
+    o = t(spark, sf_dir, "orders")
+    path = F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"))
+    live = o.where("o_orderkey % 3 <> 0").select(path.alias("path"), "o_totalprice", "o_orderstatus", (F.col("o_orderkey") % 5 + 1).alias("version"))
+    k = F.col("o_orderkey") % 4
+    op = F.when(k == 0, "insert").when(k == 1, "update").when(k == 2, "delete").otherwise("upsert")
+    writes = o.select(path.alias("path"), op.alias("op"), (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("W").alias("o_orderstatus"), F.when(k == 3, F.lit(2)).cast("long").alias("base_version"), F.when(k == 2, F.lit(True)).alias("exists"))
+    return live, writes
+
+
+LIVE_WHOLE = "(select 'orders/' || o_orderkey as path, o_totalprice, o_orderstatus, o_orderkey % 5 + 1 as version from orders where o_orderkey % 3 <> 0)"
+WRITES_WHOLE = "(select 'orders/' || o_orderkey as path, case o_orderkey % 4 when 0 then 'insert' when 1 then 'update' when 2 then 'delete' else 'upsert' end as op, o_totalprice + 1 as o_totalprice, 'W' as o_orderstatus, case when o_orderkey % 4 = 3 then 2 end as base_version, case when o_orderkey % 4 = 2 then true end as must_exist from orders)"
+
+
+@query("write_status_whole", f"""
+select w.path, op, case when op = 'insert' and l.path is not null then 'ALREADY_EXISTS' when op = 'update' and l.path is null then 'NOT_FOUND'
+  when must_exist is not null and must_exist <> (l.path is not null) then 'FAILED_PRECONDITION' when base_version is not null and base_version <> coalesce(l.version, 0) then 'CONFLICT' else 'OK' end as status
+from {WRITES_WHOLE} w left join {LIVE_WHOLE} l using (path)""")
+def write_status_whole(spark, sf_dir):
+    return mutate.judged(*store_whole(spark, sf_dir)).select("path", "op", "status")
+
+
+@query("upsert_merge_whole", f"""
+select path, coalesce(w.o_totalprice, l.o_totalprice) as o_totalprice, coalesce(w.o_orderstatus, l.o_orderstatus) as o_orderstatus, (case when w.path is null then l.version else coalesce(l.version, 0) + 1 end)::bigint as version
+from {LIVE_WHOLE} l full join {WRITES_WHOLE} w using (path) where coalesce(op, '') <> 'delete'""")
+def upsert_merge_whole(spark, sf_dir):
+    return mutate.post_image(*store_whole(spark, sf_dir), ["o_totalprice", "o_orderstatus"]).select("path", "o_totalprice", "o_orderstatus", "version")
+
+
+@query("update_mask_merge_whole", f"select path, coalesce(w.o_totalprice, l.o_totalprice) as o_totalprice, l.o_orderstatus from {LIVE_WHOLE} l left join (select * from {WRITES_WHOLE} where op = 'upsert') w using (path)")
+def update_mask_merge_whole(spark, sf_dir):
+    live, writes = store_whole(spark, sf_dir)
+    held = writes.where("op = 'upsert'").join(live.select("path"), "path", "left_semi")
+    return mutate.post_image(live, held, ["o_totalprice", "o_orderstatus"], ["o_totalprice"]).select("path", "o_totalprice", "o_orderstatus")
+
+
+@query("insert_conflicts_whole", f"select w.path from {WRITES_WHOLE} w join {LIVE_WHOLE} l using (path) where op = 'insert'")
+def insert_conflicts_whole(spark, sf_dir):
+    live, writes = store_whole(spark, sf_dir)
+    return mutate.judged(live, writes.where("op = 'insert'").drop("base_version", "exists")).where("status = 'ALREADY_EXISTS'").select("path")
+
+
+@query("delete_tombstones_whole", f"select path, true as deleted from {WRITES_WHOLE} where op = 'delete'")
+def delete_tombstones_whole(spark, sf_dir):
+    live, writes = store_whole(spark, sf_dir)
+    return mutate.tombstones(live, writes.where("op = 'delete'"))
+
+
+@query("delete_tombstones_ds_whole", f"select path, true as deleted from {WRITES_WHOLE} where op = 'delete' and path in (select path from {LIVE_WHOLE})")
+def delete_tombstones_ds_whole(spark, sf_dir):
+    live, writes = store_whole(spark, sf_dir)
+    return mutate.tombstones(live, writes.where("op = 'delete'"), even_absent=False)
+
+
+@query("occ_conflicts_whole", f"select r.path, r.version, l.version as current_version from (select 'orders/' || o_orderkey as path, 2::bigint as version from orders) r left join {LIVE_WHOLE} l using (path) where l.version is null or l.version > r.version")
+def occ_conflicts_whole(spark, sf_dir):
+    live, writes = store_whole(spark, sf_dir)
+    return mutate.conflicts(writes.select("path", F.lit(2).cast("long").alias("version")), live)
+
+
 @query("allocate_ids", "select n_name, (100 + row_number() over (order by n_name))::bigint as id from nation")
 def allocate_ids(spark, sf_dir):
     return mutate.allocate_ids(t(spark, sf_dir, "nation").select("n_name"), 100, ["n_name"])

@@ -40,3 +40,12 @@ def test_matches_sql(spark, duck, name):
     mine = sorted(tuple(plain(r[c]) for c in cols) for r in rows)
     theirs = sorted(tuple(plain(r[names.index(c)]) for c in cols) for r in got.fetchall())
     assert mine == theirs
+
+
+def test_whole_queries_use_every_order(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    got = {n: catalogue.QUERIES[n](spark, SF) for n in ("write_status_whole", "project_fields_whole", "occ_conflicts_whole")}
+    assert got["write_status_whole"].count() == got["project_fields_whole"].count() == orders
+    kinds = {(r.op, r.status) for r in got["write_status_whole"].select("op", "status").distinct().collect()}
+    assert kinds == {("insert", "OK"), ("insert", "ALREADY_EXISTS"), ("update", "OK"), ("update", "NOT_FOUND"), ("delete", "OK"), ("delete", "FAILED_PRECONDITION"), ("upsert", "OK"), ("upsert", "CONFLICT")}
+    assert {r.current_version for r in got["occ_conflicts_whole"].collect()} == {None, 3, 4, 5}
