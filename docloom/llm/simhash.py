@@ -217,10 +217,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
 #
 # At a similarity of 0.8 fingerprints of 64 bits differ in 5 to 14 bits, too many for tables that agree on whole blocks,
 # and comparing all tiles of a corpus at such a radius is quadratic.  So tiles hold documents that share a band of
-# minimal shingle hashes; tiles are compared with exclusive-or and bit counts as above, and every pair that is left
-# is checked by its exact shingle sets before it links.
+# minimal shingle hashes.  Inside a tile a pair is skipped only if its sizes, or the numbers of its hashes in 64 ranges,
+# leave no room for an overlap that is large enough; every other pair is checked by its exact shingle sets.
 
-NEAR_SHINGLE, LEAST, NEAR_RADIUS = 5, 0.8, 20
+NEAR_SHINGLE, LEAST = 5, 0.8
 BINS, BAND_ROWS = 64, 4
 NEAR_TILE = 2048
 _SHINGLE_BASE = 0xB5297A4D3F84D5B5
@@ -255,27 +255,26 @@ def _sign_batches(shingle: int):
             for a, e, data, offsets in slices(b.column("text")):
                 starts, ends, first = word_bounds(data, offsets)
                 words = word_hashes(lower[data], starts, ends)
-                fps, prints, sets, keys = [], [], [], []
+                prints, sets, keys = [], [], []
                 for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     own = words[x:y]
                     h = shingle_set(own, shingle)
-                    total = sum((np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), 8192)), np.zeros(64, np.int64))
-                    fps.append(int(np.packbits(total * 2 > len(h), bitorder="little").view(np.int64)[0]))
                     prints.append(int(span_hashes(running(own, _SHINGLE_BASE), np.array([0]), np.array([len(own)]), _SHINGLE_BASE, _SHINGLE_INV).view(np.int64)[0]))
                     sets.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
                     keys.append(bands(h).view(np.int64) if len(h) else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(a, e - a), b.column("text_hash").slice(a, e - a), pa.array(prints, pa.int64()), pa.array(fps, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "text_hash", "print", "fp", "set", "bands"],
+                    [b.column("doc_id").slice(a, e - a), b.column("text_hash").slice(a, e - a), pa.array(prints, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "print", "set", "bands"],
                 )
 
     return run
 
 
-def link_similar(fps: np.ndarray, nodes: np.ndarray, sets: list[np.ndarray], split: int, radius: int, least: float) -> list[tuple[int, int]]:
+def link_similar(nodes: np.ndarray, sets: list[np.ndarray], split: int, least: float) -> list[tuple[int, int]]:
     """A forest of verified links: of all pairs (split 0), or of those between the first ``split`` documents and the others."""
-    n, out = len(fps), []
+    n, out = len(sets), []
     size = np.array([len(s) for s in sets])
+    spread = np.array([np.bincount(s >> np.uint32(26), minlength=BINS) for s in sets]).reshape(n, BINS).astype(np.int32)
     side = np.arange(n) < split
     waiting = np.ones(n, bool)
     for seed in range(n):
@@ -285,10 +284,12 @@ def link_similar(fps: np.ndarray, nodes: np.ndarray, sets: list[np.ndarray], spl
         queue = [seed]
         while queue:
             x = queue.pop()
-            ask = waiting & (np.bitwise_count(fps ^ fps[x]) <= radius) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x]))
+            ask = waiting & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x]))
             if split:
                 ask &= side != side[x]
-            for y in np.flatnonzero(ask):
+            near = np.flatnonzero(ask)
+            room = np.minimum(spread[near], spread[x]).sum(axis=1)  # at least the size of the overlap
+            for y in near[room >= least * (size[near] + size[x] - room)]:
                 both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                 if both >= least * (size[x] + size[y] - both):
                     waiting[y] = False
@@ -297,7 +298,7 @@ def link_similar(fps: np.ndarray, nodes: np.ndarray, sets: list[np.ndarray], spl
     return out
 
 
-def _similar_batches(radius: int, least: float):
+def _similar_batches(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[tuple[int, int]] = []
@@ -307,37 +308,37 @@ def _similar_batches(radius: int, least: float):
                 order = np.argsort(part != p, kind="stable")
                 sets = [np.unique(np.frombuffer(s.as_buffer(), np.uint32)) for s in v.field("set").take(pa.array(order))]
                 split = int((part == p).sum()) if p != q else 0
-                found += link_similar(np.asarray(v.field("fp")).view(np.uint64)[order], np.asarray(v.field("print"))[order], sets, split, radius, least)
+                found += link_similar(np.asarray(v.field("print"))[order], sets, split, least)
             pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
     return run
 
 
-def similar(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, least: float = LEAST, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE) -> DataFrame:
+def similar(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, least: float = LEAST, tile: int = NEAR_TILE) -> DataFrame:
     """doc_id, print, component_id: documents linked by a similarity of ``least`` or more (equal word sequences are one class).
 
     A pair at 0.8 shares one of 16 bands of four minimal hashes with a
     probability of 0.9998; pairs that meet are decided exactly.
     """
-    return _grouped(docs, shingle, least, radius, tile).select("doc_id", "print", "component_id")
+    return _grouped(docs, shingle, least, tile).select("doc_id", "print", "component_id")
 
 
-def _grouped(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = LEAST, radius: int = NEAR_RADIUS, tile: int = NEAR_TILE) -> DataFrame:
+def _grouped(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = LEAST, tile: int = NEAR_TILE) -> DataFrame:
     """The rows of ``similar`` with the hash of the text and the root of the component."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    signed = scratch.keep(rows.mapInArrow(_sign_batches(shingle), "doc_id long, text_hash long, print long, fp long, set binary, bands array<long>"), "signed")
-    classes = scratch.keep(signed.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.min_by(F.struct("fp", "bands"), "fp").alias("s")).select("print", "first_id", "s.fp", "s.bands"), "classes")
-    met = classes.select("print", "fp", F.explode("bands").alias("band"))
+    signed = scratch.keep(rows.mapInArrow(_sign_batches(shingle), "doc_id long, text_hash long, print long, set binary, bands array<long>"), "signed")
+    classes = scratch.keep(signed.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "classes")
+    met = classes.select("print", F.explode("bands").alias("band"))
     sized = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = met.join(sized, "band").withColumn("parts", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
     # The sets of documents that share a band with another, each once; then to every pair of tiles of its bucket.
     needed = scratch.keep(crowded, "crowded")
     sets = signed.join(needed.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.first("set").alias("set"))
     placed = needed.join(sets, "print").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = placed.groupBy("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.collect_list(F.struct("print", "fp", "set", "part")).alias("members"))
-    forest = tiles.where("size(members) > 1").select("members", "p", "q").mapInArrow(_similar_batches(radius, least), "a long, b long").distinct()
+    tiles = placed.groupBy("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.collect_list(F.struct("print", "set", "part")).alias("members"))
+    forest = tiles.where("size(members) > 1").select("members", "p", "q").mapInArrow(_similar_batches(least), "a long, b long").distinct()
     stars = components(forest, scratch)
     grouped = classes.join(stars, classes["print"] == stars["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("print", "root", "component_id")

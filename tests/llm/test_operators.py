@@ -125,6 +125,25 @@ def test_representatives(spark, docs):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_pairs_at_the_limit_are_decided_by_their_sets():
+    r = np.random.default_rng(6)
+    for n in (4, 12, 400):
+        whole = np.unique(r.integers(0, 1 << 32, n + n // 4, dtype=np.uint32))
+        part = np.sort(r.permutation(whole)[:n])
+        other = np.unique(r.integers(0, 1 << 32, n, dtype=np.uint32))
+        assert simhash.link_similar(np.array([1, 2, 3]), [whole, part, other], 0, 0.8) == [(1, 2)]
+        assert simhash.link_similar(np.array([1, 2, 3]), [part, whole, other], 1, 0.8) == [(1, 2)]
+
+
+def test_short_pairs_whose_fingerprints_differ_link(spark):
+    rows = []
+    for k in range(1500):
+        words = [f"q{k}x{j}" for j in range(9)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:8]))]
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[2 * k + 1] == got[2 * k] == 2 * k for k in range(1500))
+
+
 def test_representatives_of_shared_and_null_ids(spark):
     a, b, c, d = (prose(60, k) for k in (201, 202, 203, 204))
     rows = [(None, a, "x"), (None, b, "x"), (None, b, "x"), (5, c, "x"), (5, d, "y"), (5, d, "x"), (7, d + " tail", "x"), (3, c.upper(), "x")]
