@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, _BYTES, mix64, running, slices, span_hashes
+from .common import BASE, BASE_INV, _BYTES, Scratch, mix64, running, slices, span_hashes
 
 #: Earlier categories feed later ones.
 CATEGORIES = ("low_quality", "toxic")
-TRAIN = 6_000
+TRAIN = 10_000
 FOLDS = 3
 DIM = 1 << 18
 #: Word beginnings of so many bytes count as features beside the word.
@@ -100,7 +100,7 @@ def fit(rows, slots, rates, before: np.ndarray, y: np.ndarray) -> Linear:
     weight, earlier, bias = np.zeros(DIM), np.zeros(k), np.log(base / (1 - base))
     if y.min(initial=1) == y.max(initial=0) or not n:
         return Linear(weight, earlier, bias)
-    seen, met = np.bincount(slots, minlength=DIM), np.bincount(slots, y[rows], DIM)
+    seen, met = np.bincount(slots, minlength=DIM), np.bincount(slots[(y > 0)[rows]], minlength=DIM)
     uneven = np.where(seen >= FEWEST, (met - seen * base) ** 2 / (seen * base * (1 - base) + 1), -1)
     best = np.zeros(DIM, bool)
     best[np.argsort(-uneven, kind="stable")[: max(64, int(KEEP * n))]] = True
@@ -146,17 +146,17 @@ def best_limit(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_chain(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, names: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
-    """docs: (slots, rates) of each training document; labels: a column of 0/1 for each category."""
+    """docs: (slots, rates) of each training document (emptied, to free them); labels: a column of 0/1 for each category."""
     n = len(docs)
     seen = np.zeros(DIM, np.int32)
     for slots, _ in docs:
         seen[slots] += 1
-    # Rare features get no weight anyway; without them the training set is a fraction of its size.
-    docs = [(s[k], r[k]) for s, r in docs for k in [seen[s] >= FEWEST]]
-    rows = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s, _ in docs]) if n else np.empty(0, np.int32)
-    slots = np.concatenate([s for s, _ in docs]).astype(np.int32) if n else np.empty(0, np.int32)
-    rates = np.concatenate([r for _, r in docs]) if n else np.empty(0, np.float32)
-    del docs
+    # Rare features get no weight anyway; without them the training set is smaller.
+    often = seen >= FEWEST
+    rows = np.repeat(np.arange(n, dtype=np.int32), [np.count_nonzero(often[s]) for s, _ in docs]) if n else np.empty(0, np.int32)
+    rates = np.concatenate([r[often[s]] for s, r in docs]) if n else np.empty(0, np.float32)
+    slots = np.concatenate([s[often[s]] for s, _ in docs]).astype(np.int32, copy=False) if n else np.empty(0, np.int32)
+    docs.clear()
     fold = np.arange(n) % folds
     before, models, limits = np.zeros((n, 0)), [], []
     for c in range(len(names)):
@@ -165,10 +165,10 @@ def fit_chain(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, nam
         for f in range(folds):
             out = fold == f
             take = ~out[rows]
-            new = np.cumsum(~out) - 1
+            new = (np.cumsum(~out) - 1).astype(np.int32)
             m = fit(new[rows[take]], slots[take], rates[take], before[~out], y[~out])
             held = out[rows]
-            at = np.cumsum(out) - 1
+            at = (np.cumsum(out) - 1).astype(np.int32)
             unseen[out] = m.predict(at[rows[held]], slots[held], rates[held], before[out], int(out.sum()))
         models.append(fit(rows, slots, rates, before, y))
         limits.append(best_limit(unseen, y))
@@ -185,6 +185,21 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([b.column("labels").slice(a, e - a), *lists], ["labels", "slots", "rates"])
 
 
+def _common_batches(common: np.ndarray):
+    """Rows without the features that are not in ``common``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots, rates = b.column("slots"), b.column("rates")
+            offsets = slots.offsets.to_numpy() - slots.offsets[0].as_py()
+            keep = common[slots.flatten().to_numpy()]
+            cut = pa.array(np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, x.flatten().filter(pa.array(keep))) for x in (slots, rates)]
+            yield pa.RecordBatch.from_arrays([b.column("labels"), *lists], ["labels", "slots", "rates"])
+
+    return run
+
+
 def label_columns(names: tuple[str, ...]) -> list[Column]:
     """0/1 for each category; ``low_quality`` is the complement of ``quality``."""
     return [(1 - F.col("quality") if n == "low_quality" else F.col(n)).cast("int") for n in names]
@@ -196,13 +211,20 @@ def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = CATEGORIE
     # The sample has a fixed size, which bounds the broadcast.
     sample = known.orderBy(F.xxhash64("_id"), "_id", "labels").limit(most)
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").select(F.concat(F.array(F.xxhash64("_id", "text")), F.col("labels").cast("array<long>")).alias("labels"), "text")
-    got = texts.mapInArrow(_feature_batches, "labels array<long>, slots array<int>, rates array<float>").limit(most).toArrow()
+    schema = "labels array<long>, slots array<int>, rates array<float>"
+    held = Scratch(docs.sparkSession).keep(texts.mapInArrow(_feature_batches, schema).limit(most), "features")
+    # Rare features get no weight anyway: left out before they reach the driver.
+    met = held.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEWEST).select("slot").toArrow()
+    common = np.zeros(DIM, bool)
+    common[met.column("slot").to_numpy()] = True
+    got = held.mapInArrow(_common_batches(common), schema).toArrow()
     # Sorted here, as a sort in Spark would read the corpus twice: the same sample gives the same model in any order.
     known_rows = got.column("labels").to_pylist()
     order = sorted(range(len(known_rows)), key=lambda i: known_rows[i])
     slots, rates = (got.column(c).combine_chunks() for c in ("slots", "rates"))
     each = [(np.asarray(slots[i].values), np.asarray(rates[i].values)) for i in order]
     y = np.array([known_rows[i][1:] for i in order]).reshape(-1, len(names))
+    del got, slots, rates, known_rows
     return fit_chain(each, y, names)
 
 

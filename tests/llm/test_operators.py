@@ -470,6 +470,17 @@ def test_chain_on_held_out_documents(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.toxic}
 
 
+def test_training_sample(spark, monkeypatch):
+    rows = [(i, f"common w{i % 4000} only{i}") for i in range(10_050)]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda docs, labels, names: seen.append(docs))
+    toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int"))
+    held = [set(s.tolist()) for s, _ in seen[0]]
+    counts = np.bincount(np.concatenate([s for s, _ in seen[0]]), minlength=toxicity.DIM)
+    assert len(held) == 10_000 and counts[counts > 0].min() >= toxicity.FEWEST and counts.max() >= 10_000
+    assert all(len(s) == len(r) for s, r in seen[0])
+
+
 def test_chain_without_labels(spark):
     docs = spark.createDataFrame(labelled(20)[0], DOCS)
     chain = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
