@@ -27,6 +27,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BLOCK = 256
+#: A source of fewer words than so many blocks is no party to the apportionment: it has FINE blocks or single words, and its own target.
+FEW_BLOCKS, FINE = 8, 64
 SHARD_TOKENS = 2_000_000
 SEED = 17
 
@@ -105,24 +107,29 @@ def _laid(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
         docs.select("doc_id", "source", F.xxhash64("text").alias("print"), n_words(F.col("text")).alias("size")).withColumn("key", _key(seed, F.col("doc_id"))),
         "sizes",
     )
-    by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    by_source = scratch.keep(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+    small = F.col("source_size") < FEW_BLOCKS * block
+    fine = F.greatest(F.floor(F.col("source_size") / FINE), F.lit(1)).cast("long")
     seats = F.floor(F.sum("target").over(W.partitionBy(F.lit(0))) / block + F.lit(0.5)).cast("long")
+    columns = ["source", "source_no", "source_size", "target", "quota", "block"]
+    own = by_source.where(small).withColumn("block", fine).withColumn("quota", F.floor(F.col("target") / F.col("block") + F.lit(0.5)).cast("long"))
+    shared = apportion(by_source.where(~small).withColumn("seats", seats), [], "source_no", "target", "seats", "quota").withColumn("block", F.lit(block).cast("long"))
     sources = scratch.keep(
-        apportion(by_source.withColumn("seats", seats), [], "source_no", "target", "seats", "quota")
+        own.select(*columns).unionByName(shared.select(*columns))
         .withColumn("shards", F.greatest(F.ceil(F.col("source_size") / F.lit(shard_tokens)), F.lit(1)).cast("long"))
-        .select("source", "source_no", "source_size", "target", "quota", "shards"),
+        .select(*columns, "shards"),
         "sources",
     )
     placed = (
         sized.join(sources, sized["source"].eqNullSafe(sources["source"]))
-        .select("doc_id", sized["source"], "print", "size", "key", "source_no", "source_size", "target", "quota", "shards")
+        .select("doc_id", sized["source"], "print", "size", "key", "source_no", "source_size", "target", "quota", "block", "shards")
         .withColumn("shard", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("shards"))
     )
-    shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.max("quota").alias("quota"))
+    shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.max("quota").alias("quota"), F.max("block").alias("block"))
     quotas = (
         apportion(shards, ["source_no"], "shard", "shard_size", "quota", "blocks_due")
         .where(F.col("shard_size") > 0)
-        .withColumn("blocks", F.ceil(F.col("shard_size") / F.lit(block)).cast("long"))
+        .withColumn("blocks", F.ceil(F.col("shard_size") / F.col("block")).cast("long"))
         .withColumn("blocks_due", F.least(F.col("blocks_due"), F.col("blocks") * most))
         .select("source_no", "shard", "blocks", F.floor(F.col("blocks_due") / F.col("blocks")).cast("long").alias("passes"), (F.col("blocks_due") % F.col("blocks")).alias("part"))
     )
@@ -136,8 +143,8 @@ def _laid(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
         .select("source_no", "shard", "block_no", "passes", "picked", "earlier")
     )
     line = in_shard.orderBy("key", "doc_id", "size", "print")
-    laid = placed.withColumn("ends", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0))).withColumn("block_no", F.floor(F.col("ends") / block).cast("long"))
-    upto = F.col("earlier") * block + F.col("picked") * (F.col("ends") % block)
+    laid = placed.withColumn("ends", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0))).withColumn("block_no", F.floor(F.col("ends") / F.col("block")).cast("long"))
+    upto = F.col("earlier") * F.col("block") + F.col("picked") * (F.col("ends") % F.col("block"))
     # Before the explode Spark takes the blocks for a few rows and would broadcast them at any size.
     counted = laid.join(chosen.hint("merge"), ["source_no", "shard", "block_no"], "left").withColumn("upto", F.coalesce(upto, F.lit(0)))
     overlap = F.col("upto") - F.coalesce(F.lag("upto").over(in_shard.orderBy("ends", "key", "doc_id", "size", "print")), F.lit(0))

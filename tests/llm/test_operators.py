@@ -231,6 +231,12 @@ def test_mix_applied(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mix_keeps_small_sources(spark):
+    rows = [(i, "w " * 900, "a") for i in range(30)] + [(100 + i, "x " * n, f"s{i}") for i, n in enumerate((1, 9, 30, 63, 100, 500, 1500))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.first("source_size").alias("n")).collect()
+    assert len(got) == 8 and all(abs(x.t - x.w) <= max(1, x.n / 32) for x in got if x.source != "a")
+
+
 def test_mix_of_long_documents_meets_targets(spark):
     r = random.Random(4)
     rows = [(i, f"w{i} " * r.randint(2000, 5000), f"s{i % 3}") for i in range(240)] + [(300, "again " * 700, "s1")] * 3 + [(300, "again " * 700, "s2"), (301, "", "s1")]
