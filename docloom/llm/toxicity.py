@@ -6,13 +6,17 @@ of the categories before it.  While training, those probabilities are
 out-of-fold predictions, so a later model learns how far to trust an earlier
 one on documents it has not seen.
 
-The models are fitted on the driver from at most ``TRAIN`` labelled documents
-(a hash-ordered sample: a documented bound); every document is then scored
-whole, in one pass without a shuffle, with the models as part of the task.
+The models are fitted on the driver from at most ``TRAIN`` different labelled
+documents and ``TRAIN_VALUES`` feature values (a hash-ordered sample: two
+documented bounds, in rows and in bytes), a few documents at a time, so that
+training holds no more than the sample.  Every feature has a weight.  Every
+document is then scored whole, in one pass without a shuffle, with the models
+as part of the task.
 
 Defined cases: a null text is an empty one (rates of zero); a label that is
 null, or a labelled id without a document, is not used; without labels of both
-kinds a category is predicted at its base rate; repeated rows are scored each;
+kinds a category is predicted at its base rate; repeated rows are scored each
+and one of them is trained on;
 an empty table gives an empty result; other columns are ignored by ``score``
 and kept by ``keep_clean``.
 """
@@ -32,16 +36,16 @@ from .common import BASE, BASE_INV, _BYTES, Scratch, mix64, running, slices, spa
 #: Earlier categories feed later ones.
 CATEGORIES = ("low_quality", "toxic")
 TRAIN = 10_000
+#: Feature values of the sample: 8 bytes each on the driver.
+TRAIN_VALUES = 12_000_000
 FOLDS = 3
 DIM = 1 << 18
 #: Word beginnings of so many bytes count as features beside the word.
 BEGINNINGS = (4, 6)
 PER_WORDS = 40.0
-ROUNDS, STEP, RIDGE = 60, 0.3, 2e-5
-#: A feature of fewer training documents gets no weight.
-FEWEST = 3
-#: So many features for each training document, those most unevenly spread over the two classes, get a weight.
-KEEP = 0.2
+EPOCHS, BATCHES, STEP, RIDGE = 6, 40, 0.1, 1e-3
+#: Documents of the sample that are handled at a time outside of training.
+SOME = 256
 
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
@@ -93,32 +97,52 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows, slots, rates, before: np.ndarray, y: np.ndarray) -> Linear:
-    """Adaptive full-batch gradient steps from zero; the same data give the same model."""
-    n, k = before.shape
-    base = float(np.clip(y.mean() if n else 0.0, 1e-4, 1 - 1e-4))
-    weight, earlier, bias = np.zeros(DIM), np.zeros(k), np.log(base / (1 - base))
-    if y.min(initial=1) == y.max(initial=0) or not n:
-        return Linear(weight, earlier, bias)
-    seen, met = np.bincount(slots, minlength=DIM), np.bincount(slots[(y > 0)[rows]], minlength=DIM)
-    uneven = np.where(seen >= FEWEST, (met - seen * base) ** 2 / (seen * base * (1 - base) + 1), -1)
-    best = np.zeros(DIM, bool)
-    best[np.argsort(-uneven, kind="stable")[: max(64, int(KEEP * n))]] = True
-    often = (best & (seen >= FEWEST))[slots]
-    rows, slots, rates = rows[often], slots[often], rates[often]
-    used, at = np.unique(slots, return_inverse=True)
-    w, sq = np.zeros(len(used) + k + 1), np.full(len(used) + k + 1, 1e-12)
-    w[-1] = bias
-    moment = np.zeros_like(w)
-    for t in range(1, ROUNDS + 1):
-        z = np.bincount(rows, w[at] * rates, n) + before @ w[len(used) : -1] + w[-1]
-        gap = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        g = np.concatenate([np.bincount(at, rates * gap[rows], len(used)) + RIDGE * w[: len(used)], before.T @ gap, [gap.sum()]])
-        moment = 0.9 * moment + 0.1 * g
-        sq = 0.99 * sq + 0.01 * g * g
-        w -= STEP * (moment / (1 - 0.9**t)) / (np.sqrt(sq / (1 - 0.99**t)) + 1e-6)
-    weight[used] = w[: len(used)]
-    return Linear(weight, w[len(used) : -1], float(w[-1]))
+@dataclass
+class Rates:
+    """Feature rates of training documents, one after another: document i has the entries ends[i] .. ends[i + 1]."""
+
+    ends: np.ndarray
+    slots: np.ndarray
+    rates: np.ndarray
+
+    def take(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row (a place in ``docs``), feature and rate of some documents."""
+        n = self.ends[docs + 1] - self.ends[docs]
+        done = np.append(0, np.cumsum(n))
+        at = np.repeat(self.ends[docs] - done[:-1], n) + np.arange(done[-1])
+        return np.repeat(np.arange(len(docs)), n), self.slots[at], self.rates[at]
+
+    def sorted(self, order: np.ndarray) -> Rates:
+        """The same documents in another order."""
+        slots, rates = np.empty_like(self.slots), np.empty_like(self.rates)
+        ends = np.append(0, np.cumsum(np.diff(self.ends)[order]))
+        for at in range(0, len(order), SOME):
+            some = order[at : at + SOME]
+            _, slots[ends[at] : ends[at + len(some)]], rates[ends[at] : ends[at + len(some)]] = self.take(some)
+        return Rates(ends, slots, rates)
+
+
+def fit(held: Rates, docs: np.ndarray, before: np.ndarray, y: np.ndarray) -> Linear:
+    """Adaptive gradient steps over small batches in a fixed order; the same data give the same model."""
+    k = before.shape[1]
+    base = float(np.clip(y[docs].mean() if len(docs) else 0.0, 1e-4, 1 - 1e-4))
+    w = np.zeros(DIM + k + 1, np.float32)
+    w[-1] = np.log(base / (1 - base))
+    if y[docs].min(initial=1) < y[docs].max(initial=0):
+        moment, sq, t = np.zeros_like(w), np.zeros_like(w), 0
+        rng = np.random.default_rng(3)
+        for epoch in range(EPOCHS):
+            order = rng.permutation(docs)
+            for some in np.array_split(order, min(BATCHES, len(order))):
+                rows, slots, rates = held.take(some)
+                z = np.bincount(rows, w[slots] * rates, len(some)) + before[some] @ w[DIM:-1] + w[-1]
+                gap = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[some]) / len(some)).astype(np.float32)
+                g = np.concatenate([np.bincount(slots, rates * gap[rows], DIM) + RIDGE * w[:DIM], before[some].T @ gap, [gap.sum()]]).astype(np.float32)
+                t += 1
+                moment += 0.1 * (g - moment)
+                sq += 0.01 * (g * g - sq)
+                w -= STEP * (1 - epoch / EPOCHS) * (moment / (1 - 0.9**t)) / (np.sqrt(sq / (1 - 0.99**t)) + 1e-5)
+    return Linear(w[:DIM], w[DIM:-1].astype(np.float64), float(w[-1]))
 
 
 @dataclass
@@ -145,34 +169,21 @@ def best_limit(p: np.ndarray, y: np.ndarray) -> float:
     return float(p[order[k]] if k + 1 == len(p) else (p[order[k]] + p[order[k + 1]]) / 2)
 
 
-def fit_chain(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, names: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
-    """docs: (slots, rates) of each training document (emptied, to free them); labels: a column of 0/1 for each category."""
-    n = len(docs)
-    seen = np.zeros(DIM, np.int32)
-    for slots, _ in docs:
-        seen[slots] += 1
-    # Rare features get no weight anyway; without them the training set is smaller.
-    often = seen >= FEWEST
-    rows = np.repeat(np.arange(n, dtype=np.int32), [np.count_nonzero(often[s]) for s, _ in docs]) if n else np.empty(0, np.int32)
-    rates = np.concatenate([r[often[s]] for s, r in docs]) if n else np.empty(0, np.float32)
-    slots = np.concatenate([s[often[s]] for s, _ in docs]).astype(np.int32, copy=False) if n else np.empty(0, np.int32)
-    docs.clear()
-    fold = np.arange(n) % folds
-    before, models, limits = np.zeros((n, 0)), [], []
+def fit_chain(held: Rates, labels: np.ndarray, names: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
+    """labels: a column of 0/1 for each category, a row for each document of ``held``."""
+    n = len(held.ends) - 1
+    every, fold = np.arange(n), np.arange(n) % folds
+    before, models, limits = np.zeros((n, 0), np.float32), [], []
     for c in range(len(names)):
-        y = labels[:, c].astype(np.float64) if n else np.empty(0)
+        y = labels[:, c].astype(np.float32)
         unseen = np.zeros(n)
         for f in range(folds):
-            out = fold == f
-            take = ~out[rows]
-            new = (np.cumsum(~out) - 1).astype(np.int32)
-            m = fit(new[rows[take]], slots[take], rates[take], before[~out], y[~out])
-            held = out[rows]
-            at = (np.cumsum(out) - 1).astype(np.int32)
-            unseen[out] = m.predict(at[rows[held]], slots[held], rates[held], before[out], int(out.sum()))
-        models.append(fit(rows, slots, rates, before, y))
+            m = fit(held, every[fold != f], before, y)
+            for out in np.array_split(every[fold == f], max(1, n // SOME)):
+                unseen[out] = m.predict(*held.take(out), before[out], len(out))
+        models.append(fit(held, every, before, y))
         limits.append(best_limit(unseen, y))
-        before = np.column_stack([before, unseen])
+        before = np.column_stack([before, unseen]).astype(np.float32)
     return Chain(tuple(names), models, limits)
 
 
@@ -185,47 +196,32 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([b.column("labels").slice(a, e - a), *lists], ["labels", "slots", "rates"])
 
 
-def _common_batches(common: np.ndarray):
-    """Rows without the features that are not in ``common``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slots, rates = b.column("slots"), b.column("rates")
-            offsets = slots.offsets.to_numpy() - slots.offsets[0].as_py()
-            keep = common[slots.flatten().to_numpy()]
-            cut = pa.array(np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cut, x.flatten().filter(pa.array(keep))) for x in (slots, rates)]
-            yield pa.RecordBatch.from_arrays([b.column("labels"), *lists], ["labels", "slots", "rates"])
-
-    return run
-
-
 def label_columns(names: tuple[str, ...]) -> list[Column]:
     """0/1 for each category; ``low_quality`` is the complement of ``quality``."""
     return [(1 - F.col("quality") if n == "low_quality" else F.col(n)).cast("int") for n in names]
 
 
-def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = CATEGORIES, most: int = TRAIN) -> Chain:
-    """Fit the chain on a hash-ordered sample of at most ``most`` labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = CATEGORIES, most: int = TRAIN, values: int = TRAIN_VALUES) -> Chain:
+    """Fit the chain on a hash-ordered sample of at most ``most`` labelled documents with ``values`` feature values."""
     known = labels.select(F.col("doc_id").alias("_id"), F.array(*label_columns(names)).alias("labels")).where(F.col("_id").isNotNull() & ~F.exists("labels", lambda x: x.isNull()))
     # The sample has a fixed size, which bounds the broadcast.
     sample = known.orderBy(F.xxhash64("_id"), "_id", "labels").limit(most)
     texts = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id").select(F.concat(F.array(F.xxhash64("_id", "text")), F.col("labels").cast("array<long>")).alias("labels"), "text")
-    schema = "labels array<long>, slots array<int>, rates array<float>"
-    held = Scratch(docs.sparkSession).keep(texts.mapInArrow(_feature_batches, schema).limit(most), "features")
-    # Rare features get no weight anyway: left out before they reach the driver.
-    met = held.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEWEST).select("slot").toArrow()
-    common = np.zeros(DIM, bool)
-    common[met.column("slot").to_numpy()] = True
-    got = held.mapInArrow(_common_batches(common), schema).toArrow()
-    # Sorted here, as a sort in Spark would read the corpus twice: the same sample gives the same model in any order.
-    known_rows = got.column("labels").to_pylist()
-    order = sorted(range(len(known_rows)), key=lambda i: known_rows[i])
-    slots, rates = (got.column(c).combine_chunks() for c in ("slots", "rates"))
-    each = [(np.asarray(slots[i].values), np.asarray(rates[i].values)) for i in order]
-    y = np.array([known_rows[i][1:] for i in order]).reshape(-1, len(names))
-    del got, slots, rates, known_rows
-    return fit_chain(each, y, names)
+    held = Scratch(docs.sparkSession).keep(texts.mapInArrow(_feature_batches, "labels array<long>, slots array<int>, rates array<float>"), "features")
+    # An id may have many rows: the first ``most`` different ones, as long as their values fit.
+    sizes = held.groupBy("labels").agg(F.max(F.size("slots")).alias("n")).orderBy("labels").limit(most).collect()
+    fits = int(np.searchsorted(np.cumsum([r.n for r in sizes]), values, "right"))
+    if not fits:
+        return fit_chain(Rates(np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.float32)), np.zeros((0, len(names))), names)
+    last = F.array(*[F.lit(x).cast("long") for x in sizes[fits - 1].labels])
+    got = held.where(F.col("labels") <= last).dropDuplicates(["labels"]).toArrow()
+    # Sorted here: the same sample gives the same model in any order.
+    keys = got.column("labels").to_pylist()
+    order = np.array(sorted(range(len(keys)), key=lambda i: keys[i]), np.int64)
+    parts = [np.concatenate([c.flatten().to_numpy() for c in got.column(n).chunks]) for n in ("slots", "rates")]
+    ends = np.append(0, np.cumsum(np.concatenate([c.value_lengths().to_numpy() for c in got.column("slots").chunks])))
+    del got
+    return fit_chain(Rates(ends, *parts).sorted(order), np.array([keys[i][1:] for i in order]).reshape(-1, len(names)), names)
 
 
 def _score_batches(chain: Chain):

@@ -1,6 +1,9 @@
 """Plain versions of the operators for small inputs."""
 
 import hashlib
+import math
+import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -95,3 +98,33 @@ def maximal_chats(rows):
         if not longer and c == min(equal, key=lambda d: (d is None, d)):
             out[c] = len(equal)
     return out
+
+
+def _hash(word):
+    """The shared word hash of one word, in plain integers."""
+    from docloom.llm.common import _BYTES, BASE
+
+    most = (1 << 64) - 1
+    x = sum(int(_BYTES[b]) * pow(BASE, i, 1 << 64) for i, b in enumerate(word)) & most
+    return _mix(x)
+
+
+def _mix(x):
+    most = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & most
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & most
+    return x ^ x >> 31
+
+
+def chain(models, text):
+    """Probabilities of a classifier chain for one text, word by word."""
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", re.sub(rb"\xc3([\x80-\x96\x98-\x9e])", lambda m: b"\xc3" + bytes([m[1][0] + 32]), (text or "").encode().translate(LOWER)))
+    count = Counter()
+    for w, n in Counter(words).items():
+        for key in (_hash(w), *(_mix(_hash(w[:k]) + k & (1 << 64) - 1) for k in (4, 6))):
+            count[key % (1 << 18)] += n
+    out = []
+    for m in models.models:
+        z = m.bias + sum(e * p for e, p in zip(m.earlier, out, strict=True)) + sum(float(m.weight[s]) * min(n * 40 / max(len(words), 12), 1.0) for s, n in count.items())
+        out.append(1 / (1 + math.exp(-z)))
+    return out

@@ -479,12 +479,28 @@ def test_chain_on_held_out_documents(spark):
 def test_training_sample(spark, monkeypatch):
     rows = [(i, f"common w{i % 4000} only{i}") for i in range(10_050)]
     seen = []
-    monkeypatch.setattr(toxicity, "fit_chain", lambda docs, labels, names: seen.append(docs))
-    toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int"))
-    held = [set(s.tolist()) for s, _ in seen[0]]
-    counts = np.bincount(np.concatenate([s for s, _ in seen[0]]), minlength=toxicity.DIM)
-    assert len(held) == 10_000 and counts[counts > 0].min() >= toxicity.FEWEST and counts.max() >= 10_000
-    assert all(len(s) == len(r) for s, r in seen[0])
+    monkeypatch.setattr(toxicity, "fit_chain", lambda held, labels, names: seen.append((held, labels)))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    toxicity.train(docs, labels)
+    toxicity.train(docs.repartition(7), labels.repartition(3))
+    (one, y), (two, z) = seen
+    assert len(one.ends) == 10_001 and len(y) == 10_000 and len(one.slots) == one.ends[-1] > 60_000
+    assert all((getattr(one, k) == getattr(two, k)).all() for k in ("ends", "slots", "rates")) and (y == z).all()
+    # An id of many rows counts once for each different text, and the values are bounded too.
+    many = spark.createDataFrame([(7, f"text number {i % 5}") for i in range(300)], DOCS)
+    toxicity.train(many, spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int"))
+    toxicity.train(docs, labels, values=1000)
+    assert len(seen[2][0].ends) == 6 and 900 < len(seen[3][0].slots) <= 1000
+
+
+def test_scores_equal_plain_ones(spark):
+    rows, labels = labelled(300)
+    rows += [(2000, None), (2001, ""), (2002, "ÉTÉ Villain-rotten x_y 9a é"), (2003, "rotten villain " * 200_000), (2002, rows[5][1])]
+    docs = spark.createDataFrame(rows, DOCS)
+    chain = toxicity.train(docs.where("doc_id < 2000"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    want = sorted(((i, *brute.chain(chain, t)) for i, t in rows), key=str)
+    got = tuples(toxicity.score(docs, chain), "doc_id", "p_low_quality", "p_toxic")
+    assert [r[0] for r in got] == [r[0] for r in want] and np.allclose([r[1:] for r in got], [r[1:] for r in want], atol=1e-5)
 
 
 def test_chain_without_labels(spark):
