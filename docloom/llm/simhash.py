@@ -1,14 +1,19 @@
 """SimHash near-duplicates by tiled exact comparison (operator 2).
 
-Fingerprints are made per document in numpy; equal ones become one class.  To
-compare all classes exactly without comparing all pairs, the 64 bits are cut
-into blocks: two fingerprints that differ in at most r bits agree on at least
-m of r + m blocks, so every choice of m blocks is one table in which such a
-pair meets.  Inside a bucket the fingerprints are sorted by their number of set
-bits and cut into tiles; a pair of tiles is skipped when the bit counts differ
-by more than r throughout, else the tiles are compared with exclusive-or and
-bit counts.  A tile pair returns a spanning forest of its links, never all
-pairs, and a bucket of many tiles is spread over tasks by tile pair.
+Fingerprints are made per document in numpy; equal ones become one class.  The
+classes are cut into tiles of one number of set bits each, and a pair of tiles
+is skipped when their bit counts differ by more than the radius: such
+fingerprints can't link.  The other pairs of tiles are compared in full with
+exclusive-or and bit counts.  A tile pair returns a spanning forest of its
+links, never all pairs.
+
+All tiles of a corpus would be a quadratic number of pairs, so tiles are also
+pruned by agreement: the 64 bits are cut into radius + ``agree`` blocks, two
+fingerprints within the radius agree on ``agree`` blocks at least, and only
+tiles that agree on a choice of so many blocks (a table and its bucket) are
+paired.  Every link is met in one of the tables; the number of blocks is a
+parameter and the same at every size.  A bucket of many tiles is spread over
+tasks by tile pair.
 
 Components come from alternating star steps over the forest (aggregates and
 joins only), with each round written to the shared folder.
@@ -38,8 +43,8 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 TILE = 2048
-#: Classes a bucket is expected to hold before more blocks are required to agree.
-BUCKET = 1024
+#: Blocks that must agree: 15 tables of 21 bits each for the radius of 4.
+AGREE = 2
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -80,14 +85,6 @@ def tables(radius: int, agree: int) -> list[int]:
     return [sum(blocks[i] for i in pick) for pick in combinations(range(n), agree)]
 
 
-def blocks_to_agree(classes: int, radius: int, bucket: int = BUCKET) -> int:
-    """The fewest blocks whose bits spread ``classes`` fingerprints to about ``bucket`` per value."""
-    for m in range(1, 4):
-        if classes / 2 ** (64 * m // (radius + m)) <= bucket:
-            return m
-    return 4
-
-
 def _grow(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
     """A spanning forest of the links left-right, by breadth-first search over values not reached yet."""
     waiting, out = [left, left if same else right], []
@@ -141,35 +138,32 @@ def _compare(radius: int):
     return run
 
 
-def links(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE, agree: int | None = None) -> DataFrame:
-    """a < b: a forest of links over distinct fingerprints (``fp``) with the components of all links."""
-    agree = agree or blocks_to_agree(classes.count(), radius)
+def make_tiles(classes: DataFrame, radius: int = RADIUS, tile: int = TILE, agree: int = AGREE) -> DataFrame:
+    """t, bucket, bits, part, fps: the fingerprints (``fp``) of one bit count in each bucket of each table, at most about ``tile`` of them."""
     signed = [m - (1 << 64) if m >> 63 else m for m in tables(radius, agree)]
     keyed = classes.select("fp", F.bit_count("fp").alias("bits"), F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("t", "mask"))
     keyed = keyed.select("fp", "bits", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"))
     counts = keyed.groupBy("t", "bucket", "bits").agg(F.count(F.lit(1)).alias("n"))
     size = F.sum("n").over(W.partitionBy("t", "bucket"))  # at most 65 rows
-    # A bucket of one tile is compared as a whole; a larger one has tiles of one bit count each.
-    cut = (
-        counts.withColumn("size", size)
-        .where("size > 1")
-        .withColumn("large", F.col("size") > tile)
-        .withColumn("band", F.when(F.col("large"), F.col("bits")).otherwise(F.lit(0)))
-        .withColumn("parts", F.when(F.col("large"), F.ceil(F.col("n") / F.lit(tile))).otherwise(F.lit(1)).cast("long"))
-        .select("t", "bucket", "bits", "large", "band", "parts")
-    )
-    tiles = scratch.keep(
-        keyed.join(cut, ["t", "bucket", "bits"])
-        .withColumn("part", F.pmod(F.xxhash64("fp", "t"), F.col("parts")))
-        .groupBy("t", "bucket", "large", "band", "part")
-        .agg(F.collect_list("fp").alias("fps")),
-        "tiles",
-    )
-    within = tiles.select(F.col("fps").alias("x"), F.lit(None).cast("array<long>").alias("y"))
-    x, y = tiles.where("large").alias("x"), tiles.where("large").alias("y")
-    gap = F.col("y.band") - F.col("x.band")
-    ordered = ((gap > 0) & (gap <= radius)) | ((gap == 0) & (F.col("y.part") > F.col("x.part")))
-    across = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.bucket") == F.col("y.bucket")) & ordered).select(F.col("x.fps").alias("x"), F.col("y.fps").alias("y"))
+    cut = counts.withColumn("size", size).where("size > 1").select("t", "bucket", "bits", F.ceil(F.col("n") / F.lit(tile)).cast("long").alias("parts"))
+    placed = keyed.join(cut, ["t", "bucket", "bits"]).withColumn("part", F.pmod(F.xxhash64("fp", "t"), F.col("parts")))
+    return placed.groupBy("t", "bucket", "bits", "part").agg(F.collect_list("fp").alias("fps"))
+
+
+def tile_pairs(tiles: DataFrame) -> DataFrame:
+    """Pairs of different tiles of a bucket, each once, with the gap between their bit counts."""
+    x, y = tiles.alias("x"), tiles.alias("y")
+    gap = F.col("y.bits") - F.col("x.bits")
+    ordered = (gap > 0) | ((gap == 0) & (F.col("y.part") > F.col("x.part")))
+    met = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.bucket") == F.col("y.bucket")) & ordered)
+    return met.select(F.col("x.fps").alias("x"), F.col("y.fps").alias("y"), gap.alias("gap"))
+
+
+def links(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE, agree: int = AGREE) -> DataFrame:
+    """a < b: a forest of links over distinct fingerprints (``fp``) with the components of all links."""
+    tiles = scratch.keep(make_tiles(classes, radius, tile, agree), "tiles")
+    within = tiles.where("size(fps) > 1").select(F.col("fps").alias("x"), F.lit(None).cast("array<long>").alias("y"))
+    across = tile_pairs(tiles).where(F.col("gap") <= radius).select("x", "y")
     pairs = within.unionByName(across).repartition(F.xxhash64("x", "y"))
     return pairs.mapInArrow(_compare(radius), "a long, b long").distinct()
 
@@ -185,13 +179,15 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     seen = None
     for k in range(1, most_rounds):
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        # Written tables, so that both sides of the joins are plain shuffles: then the centre of a star is split between tasks.
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), f"least{k}")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.keep(large, f"large{k}")
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"low{k}")
         met = large.join(low, "u")
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = scratch.keep(small, f"edges{k}")
-        scratch.drop(f"edges{k - 1}")
+        scratch.drop(f"edges{k - 1}", f"least{k}", f"large{k}", f"low{k}")
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break
@@ -201,7 +197,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, agree: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, agree: int = AGREE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per document."""
     scratch = Scratch(docs.sparkSession)
     fps = scratch.keep(fingerprints(docs, shingle), "fps")
@@ -218,11 +214,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
 # At a similarity of 0.8 fingerprints of 64 bits differ in 5 to 14 bits, too many for tables that agree on whole blocks,
 # and comparing all tiles of a corpus at such a radius is quadratic.  So tiles hold documents that share a band of
 # minimal shingle hashes.  Inside a tile a pair is skipped only if its sizes, or the numbers of its hashes in 64 ranges,
-# leave no room for an overlap that is large enough; every other pair is checked by its exact shingle sets.
+# leave no room for an overlap that is large enough; every other pair is checked by its whole shingle sets.  Sets hold
+# 32 bits of each shingle's hash: of n shingles of one text and m of another, n * m / 2**32 agree by chance (2e-5 for
+# texts of 300 words), which can only decide a pair within that of the limit.
 
 NEAR_SHINGLE, LEAST = 5, 0.8
 BINS, BAND_ROWS = 64, 4
-NEAR_TILE = 2048
+NEAR_TILE, NEAR_TILE_BYTES = 2048, 32 << 20
 _SHINGLE_BASE = 0xB5297A4D3F84D5B5
 _SHINGLE_INV = pow(_SHINGLE_BASE, -1, 1 << 64)
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(58)
@@ -329,10 +327,12 @@ def _grouped(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = LEAST,
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     signed = scratch.keep(rows.mapInArrow(_sign_batches(shingle), "doc_id long, text_hash long, print long, set binary, bands array<long>"), "signed")
-    classes = scratch.keep(signed.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "classes")
-    met = classes.select("print", F.explode("bands").alias("band"))
-    sized = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = met.join(sized, "band").withColumn("parts", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
+    classes = scratch.keep(signed.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.max(F.octet_length("set")).cast("long").alias("bytes")), "classes")
+    met = classes.select("print", "bytes", F.explode("bands").alias("band"))
+    # A tile is bounded in rows and in bytes.
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(tile), F.sum("bytes") / F.lit(NEAR_TILE_BYTES))).cast("int")
+    sized = met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).where("n > 1")
+    crowded = met.drop("bytes").join(sized, "band").withColumn("part", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
     # The sets of documents that share a band with another, each once; then to every pair of tiles of its bucket.
     needed = scratch.keep(crowded, "crowded")
     sets = signed.join(needed.select("print").distinct(), "print", "left_semi").groupBy("print").agg(F.first("set").alias("set"))

@@ -89,11 +89,22 @@ def test_symbols_inside_equal_substrings_agree():
 # -- 2 ----------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("kw", [{}, {"tile": 3, "agree": 1}, {"agree": 2}])
+@pytest.mark.parametrize("kw", [{}, {"tile": 3, "agree": 1}, {"agree": 3}])
 def test_simhash_equals_brute_force(docs, kw):
     assert tuples(simhash.near_duplicates(docs, **kw), "doc_id", "fingerprint", "component_id") == brute.simhash(corpus())
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_tiles_are_skipped_by_bit_counts(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    simhash.fingerprints(docs).select("fp").distinct().write.parquet(str(tmp_path / "fps"))
+    classes = spark.read.parquet(str(tmp_path / "fps"))
+    tiles = simhash.make_tiles(classes)
+    assert tiles.where("exists(fps, x -> bit_count(x) <> bits)").isEmpty()
+    gaps = simhash.tile_pairs(tiles).agg(F.count_if(F.col("gap") > 4), F.count_if(F.col("gap") <= 4)).first()
+    assert gaps[0] > 0 and gaps[1] > 0
+
+
 def test_tiles_keep_components():
     r = np.random.default_rng(0)
     base = r.integers(0, 1 << 63, 12, dtype=np.uint64)
