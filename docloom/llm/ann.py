@@ -9,15 +9,18 @@ blocks); queries that reach a block join it in groups, the block's vectors
 within reach are ranked by exact distance in double precision, and the ten best
 of every block are merged.
 
-Only centroids and cell counts (K * K numbers at most) go to the driver and to
-every task.  Recall is set by ``probe``, the share of all vectors that a query
-reranks; ``tests/llm`` measures it against brute force.
-
-Defined cases: vectors that are null, zero, of another length than most, or
-hold null or non-finite components take no part, nor do null ids; of rows with
-one id a query takes one, and none of them answers it; with fewer candidates
-than asked all are returned; ties go to the smaller vec_id; an empty table gives
-no row; other columns are ignored.
+The number of centroids of a half grows with the cube root of the number of
+vectors, up to ``MOST_CENTROIDS``; only centroids and cell counts (at most the
+square of that) go to the driver and to every task.  Recall is set by
+``probe``, the share of all vectors that a query reranks, at every size alike;
+``tests/llm`` measures it against brute force.
+
+Defined cases: vectors that are null, zero, of another length than most (no
+distance is defined between lengths), or hold null or non-finite components
+take no part, nor do null ids; of rows with one id a query takes one, and none
+of them answers it; with fewer candidates than asked all are returned; ties go
+to the smaller vec_id; an empty table gives no row; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +38,16 @@ from .common import Scratch
 
 NEAREST = 10
 EVERY = 100
-CENTROIDS = 64
-SAMPLE = 8192
+MOST_CENTROIDS = 1024
+#: Vectors that k-means is fitted on, for each centroid and at least.
+SAMPLE_EACH, SAMPLE = 32, 8192
 PROBE = 0.4
-LEAST = 4096
-BLOCK, QUERIES = 1024, 256
+BLOCK, QUERIES, WALKS = 1024, 256, 64
+
+
+def centroids_for(n: int) -> int:
+    """Centroids of each half for n vectors: cells hold about half the cube root of n."""
+    return max(2, min(MOST_CENTROIDS, int(np.ceil(2 * n ** (1 / 3)))))
 
 
 def kmeans(data: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -97,15 +105,18 @@ def sound(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 class Index:
     """Centroids, cell counts, and the blocks of all vectors."""
 
-    def __init__(self, vectors: DataFrame, scratch: Scratch, centroids: int = CENTROIDS, sample: int = SAMPLE):
-        some = [r.v for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).collect()]
-        sizes = [len(v) for v in some]
-        self.dim = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
-        self.half = self.dim // 2
-        self.empty = not sizes
+    def __init__(self, vectors: DataFrame, scratch: Scratch, centroids: int | None = None, sample: int | None = None):
+        by_size = vectors.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+        self.empty = by_size is None
         if self.empty:
             return
-        data = np.array([v for v in some if len(v) == self.dim])
+        self.dim = by_size["size"]
+        self.half = self.dim // 2
+        centroids = centroids or centroids_for(by_size["count"])
+        sample = sample or max(SAMPLE, SAMPLE_EACH * centroids)
+        vectors = vectors.where(F.size("v") == self.dim)
+        some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toArrow().column("v")
+        data = np.concatenate([_matrix(c) for c in some.chunks])
         self.centres = [kmeans(part, centroids) for part in (data[:, : self.half], data[:, self.half :])] if self.half else [np.zeros((1, 0)), kmeans(data, centroids)]
         centres, half = self.centres, self.half
 
@@ -116,7 +127,7 @@ class Index:
                     codes = [assign(p, c) if p.shape[1] else np.zeros(len(x), np.int64) for p, c in zip((x[:, :half], x[:, half:]), centres, strict=True)]
                     yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c.astype(np.int32)) for c in codes)], ["vec_id", "v", "i", "j"])
 
-        self.coded = scratch.keep(vectors.where(F.size("v") == self.dim).mapInArrow(code, "vec_id long, v array<double>, i int, j int"), "coded")
+        self.coded = scratch.keep(vectors.mapInArrow(code, "vec_id long, v array<double>, i int, j int"), "coded")
         self.counts = np.zeros((len(centres[0]), len(centres[1])), np.int64)
         for r in self.coded.groupBy("i", "j").count().collect():  # a row per pair of centroids at most
             self.counts[r.i, r.j] = r["count"]
@@ -168,7 +179,7 @@ def _rank_batches(index: Index, nearest: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, *, every: int = EVERY, nearest: int = NEAREST, centroids: int = CENTROIDS, sample: int = SAMPLE, probe: float = PROBE, least: int = LEAST) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame | None = None, *, every: int = EVERY, nearest: int = NEAREST, centroids: int | None = None, sample: int | None = None, probe: float = PROBE) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each query (by default the rows whose id ``every`` divides)."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -177,11 +188,15 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, *, every: int =
     if index.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total = int(index.counts.sum())
-    wanted = max(least, int(np.ceil(probe * total)))
-    asked = (sound(queries).where(F.size("v") == index.dim) if queries is not None else index.coded.select("vec_id", "v").where(F.col("vec_id") % every == 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = (sound(queries).where(F.size("v") == index.dim) if queries is not None else index.coded.select("vec_id", "v").where(F.col("vec_id") % every == 0)).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    asked = scratch.keep(asked, "asked")
+    n_asked, own = asked.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    # A query's own rows don't answer it, so there must be ``nearest`` beside them.
+    wanted = max(nearest + own, int(np.ceil(probe * total)))
+    asked = asked.select("vec_id", "v").repartition(max(1, -(-n_asked // WALKS)), "vec_id")
     parts = F.array(*[F.lit(n) for n in index.parts()])
     of_row = F.element_at(parts, F.col("i") + 1)
-    groups = F.lit(max(1, -(-total // (every * QUERIES))))
+    groups = F.lit(max(1, -(-n_asked // QUERIES)))
     reached = (
         asked.mapInArrow(_reach_batches(index, wanted), "vec_id long, v array<double>, most double, rows array<int>")
         .withColumn("i", F.explode("rows"))

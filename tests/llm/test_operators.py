@@ -275,7 +275,7 @@ def vectors(spark, n=1200, dim=16):
 def test_search_is_exact_when_it_reads_all(spark):
     rows, df = vectors(spark)
     got = {}
-    for r in ann.search(df, centroids=8).orderBy("rank").collect():
+    for r in ann.search(df, centroids=8, probe=1).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == brute.nearest([r for r in rows if r[0] != 5400])
 
@@ -283,13 +283,37 @@ def test_search_is_exact_when_it_reads_all(spark):
 def test_search_recall(spark):
     rows, df = vectors(spark, 4000)
     got = {}
-    for r in ann.search(df, every=50, centroids=32, least=1, probe=0.4).collect():
+    for r in ann.search(df, every=50).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     want = brute.nearest([r for r in rows if r[0] != 5400], every=50)
     hit = [len(got[q] & set(w)) / len(w) for q, w in want.items()]
     assert set(got) == set(want) and np.mean(hit) >= 0.9
 
 
+def test_search_recall_by_probe(spark):
+    """Vectors in clusters: a small share of them holds the nearest."""
+    r = np.random.default_rng(8)
+    middle = r.standard_normal((60, 16))
+    x = middle[r.integers(0, 60, 3000)] + 0.15 * r.standard_normal((3000, 16))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("i", F.lit(None))
+    want = brute.nearest(rows)
+    recall = {}
+    for probe in (0.01, 0.1):
+        got = {}
+        for x in ann.search(df, probe=probe).collect():
+            got.setdefault(x.query_id, set()).add(x.vec_id)
+        recall[probe] = np.mean([len(got[q] & set(w)) / len(w) for q, w in want.items()])
+    assert recall[0.1] >= 0.99 and recall[0.01] >= 0.7
+    assert [ann.centroids_for(n) for n in (1, 500, 51_000, 10**9)] == [2, 16, 75, 1024]
+
+
+def test_search_beside_many_rows_of_one_id(spark):
+    rows = [(0, [1.0, float(i) / 100]) for i in range(40)] + [(i, [0.0, float(i)]) for i in range(1, 13)]
+    got = [r.vec_id for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probe=0.01).orderBy("rank").collect()]
+    assert got == list(range(1, 11))
+
+
 def test_search_small_and_empty(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.search(few).orderBy("rank").collect()] == [(0, 1, 4, 0.0), (0, 2, 3, 1.414214)]
