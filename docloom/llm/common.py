@@ -44,9 +44,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and read it back: later steps restart from the files, not from lineage."""
+    def keep(self, df: DataFrame, name: str, files: int = 0) -> DataFrame:
+        """Write ``df`` once and read it back: later steps restart from the files, not from lineage.
+
+        ``files``: so many of about equal size, for a table too small for a file of each task.
+        """
         schema = df.schema
+        df = df.repartition(files) if files else df
         df.write.mode("overwrite").parquet(self.path(name))
         del df
         self.release()

@@ -45,6 +45,7 @@ SEED = 42
 TILE = 2048
 #: Blocks that must agree: 15 tables of 21 bits each for the radius of 4.
 AGREE = 2
+EDGES_PER_FILE = 1_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -176,22 +177,24 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     is a star.  Each round is aggregates and joins on nodes, and a written table.
     """
     edges = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges0")
+    n = edges.count()
     seen = None
     for k in range(1, most_rounds):
+        files = max(1, -(-n // EDGES_PER_FILE))
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         # Written tables, so that both sides of the joins are plain shuffles: then the centre of a star is split between tasks.
-        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), f"least{k}")
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), f"least{k}", files)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.keep(large, f"large{k}")
-        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"low{k}")
+        large = scratch.keep(large, f"large{k}", files)
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"low{k}", files)
         met = large.join(low, "u")
         small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = scratch.keep(small, f"edges{k}")
+        edges = scratch.keep(small, f"edges{k}", files)
         scratch.drop(f"edges{k - 1}", f"least{k}", f"large{k}", f"low{k}")
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break
-        seen = state
+        seen, n = state, state[0]
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
