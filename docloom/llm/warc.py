@@ -1,19 +1,23 @@
 """WARC archives with revisit resolution (operator 3).
 
-Headers (digest, page_id) are shuffled by payload digest and aggregated to the
-owner of each payload; pages join their owner, and each page becomes one record
-of a deduplicated archive: ``response`` for the owner, ``revisit`` with fresh
-headers for the others.  Spark's own text writer puts the records into gzipped
-files (its line separator is the CRLF CRLF that ends a WARC record), so the
-commit protocol covers lost executors and any file system that Spark can write.
-Reading streams each file by Content-Length, recomputes the digest of every
-payload, and joins revisits to their original responses.
+Headers (digest, page_id, size) are shuffled by payload digest and aggregated
+to the owner of each payload; pages join their owner, and each page becomes one
+record of a deduplicated archive: ``response`` for the owner, ``revisit`` with
+fresh headers for the others.  Every record is a gzip member of its own, so a
+reader can start at any record.  Spark's text writer puts the members into
+files, so the commit protocol covers lost executors and any file system that
+Spark can write; what it puts behind each row is an empty gzip member.  Files
+are bounded in bytes by the sizes in the headers.
+
+Reading inflates one record at a time, finds its end by Content-Length,
+recomputes the digest of every payload, and joins revisits to their original
+responses.
 
 Defined cases: a null html is an empty payload; empty payloads count as equal
 like any other; a null page_id never owns a payload that another page has; rows
 that share page_id and payload are all responses when they own it; white space
 and control characters in a url become %20; an empty table gives an empty
-archive; other columns are ignored.
+archive; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,11 @@ CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 20_000
+#: Payload bytes of a file, about: files of records of the mean size hold so many, those of the largest 16 times as many at most.
+FILE_BYTES = 64 << 20
+#: The empty gzip member behind each record, as ISO-8859-1 text.
+EMPTY_MEMBER = (b"\x1f\x8b\x08\x00" + bytes(4) + b"\x00\xff\x03\x00" + bytes(8)).decode("latin-1")
+INFLATE = 1 << 18
 
 
 def base32(hexed: Column) -> Column:
@@ -51,6 +59,11 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-"), part(13, 4), F.lit("-"), part(17, 4), F.lit("-"), part(21, 12), F.lit(">"))
 
 
+def headers(pages: DataFrame) -> DataFrame:
+    """page_id, digest (hex), size: what is shuffled to find the owners."""
+    return pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
+
+
 def resolve(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """page_id, url, payload, digest (hex), owner: the largest page_id with the same payload.
 
@@ -59,8 +72,15 @@ def resolve(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """
     held = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
     # A written table, so that both sides of the join are plain shuffles: then a hot payload is split between tasks.
-    owners = scratch.keep(held.groupBy("digest").agg(F.max("page_id").alias("owner")), "owners")
-    return held.join(owners, "digest")
+    each = headers(pages).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
+    owners = scratch.keep(each, "owners")
+    return held.join(owners.select("digest", "owner"), "digest")
+
+
+def records_per_file(owners: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """Records of a file by the mean and the largest size in the headers of all payloads."""
+    mean, most = owners.agg(F.sum(F.col("size") * F.col("copies")) / F.sum("copies"), F.max("size")).first()
+    return max(1, int(file_bytes / max(mean or 1, (most or 1) / 16, 512)))
 
 
 def records(resolved: DataFrame, least: int = 0) -> DataFrame:
@@ -86,32 +106,54 @@ def records(resolved: DataFrame, least: int = 0) -> DataFrame:
     return resolved.select(F.concat(head, F.lit(CRLF), block).alias("record"))
 
 
-def write(record_rows: DataFrame, path: str, codec: str = "gzip") -> None:
-    """Archives at ``path``: each record ends with CRLF CRLF, written by Spark."""
-    record_rows.write.option("lineSep", CRLF * 2).option("compression", codec).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for r in b.column(0):
+            squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
+            out.append(squeeze.compress(r.as_buffer()) + squeeze.compress(b"\r\n\r\n") + squeeze.flush())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
 
-def parse(blob: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """(headers in lower case, content) of each record of one archive, gzipped or not."""
-    if blob[:2] == b"\x1f\x8b":
-        out = []
-        while blob:
-            unzip = zlib.decompressobj(31)
-            out += [unzip.decompress(blob), unzip.flush()]
-            blob = unzip.unused_data
-        blob = b"".join(out)
-    view, at = memoryview(blob), 0
+def write(record_rows: DataFrame, path: str, per_file: int) -> None:
+    """Archives at ``path``: a gzip member for each record (which ends with CRLF CRLF), written by Spark."""
+    members = record_rows.mapInArrow(_member_batches, "member binary")
+    # Bytes cast to a string stay as they are, and the text writer writes them so.
+    rows = members.select(F.col("member").cast("string").alias("value"))
+    rows.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER).option("maxRecordsPerFile", per_file).text(path)
+
+
+def members(blob: memoryview) -> Iterator[bytes]:
+    """The contents of the gzip members of an archive, one at a time; empty ones are left out."""
+    at = 0
     while at < len(blob):
-        end = blob.index(b"\r\n\r\n", at)
-        lines = blob[at:end].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("no WARC record where one must start")
-        head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        stop = end + 4 + int(head["content-length"])
-        yield head, view[end + 4 : stop]
-        if blob[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError("a WARC record doesn't end where its length says")
-        at = stop + 4
+        inflate, out = zlib.decompressobj(31), []
+        while not inflate.eof:
+            part = blob[at : at + INFLATE]
+            if not part:
+                raise ValueError("an archive ends inside a record")
+            out.append(inflate.decompress(part))
+            at += len(part) - len(inflate.unused_data)
+        whole = b"".join(out)
+        if whole:
+            yield whole
+
+
+def parse(blob) -> Iterator[tuple[dict[str, str], memoryview]]:
+    """(headers in lower case, content) of each record of one archive, gzipped (a member for one record or more) or not."""
+    for whole in members(memoryview(blob)) if bytes(blob[:2]) == b"\x1f\x8b" else [bytes(blob)]:
+        view, at = memoryview(whole), 0
+        while at < len(whole):
+            end = whole.index(b"\r\n\r\n", at)
+            lines = whole[at:end].decode("utf-8").split(CRLF)
+            if not lines[0].startswith("WARC/"):
+                raise ValueError("no WARC record where one must start")
+            head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+            stop = end + 4 + int(head["content-length"])
+            yield head, view[end + 4 : stop]
+            if whole[stop : stop + 4] != b"\r\n\r\n":
+                raise ValueError("a WARC record doesn't end where its length says")
+            at = stop + 4
 
 
 FIELDS = "page_id long, record_id string, record_type string, refers_to_id string, declared_digest string, payload_bytes long, payload_digest string, url string"
@@ -133,7 +175,7 @@ def _read_batches(with_payload: bool):
         for batch in batches:
             for blob in batch.column(0):
                 rows = []
-                for head, content in parse(blob.as_py()):
+                for head, content in parse(memoryview(blob.as_buffer())):
                     body = payload_of(content)
                     page = head.get("warc-page-id")
                     got = (int(page) if page is not None else None, head["warc-record-id"], head["warc-type"], head.get("warc-refers-to"), head["warc-payload-digest"].removeprefix("sha1:"), len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), head.get("warc-target-uri"))
@@ -153,7 +195,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     return files.mapInArrow(_read_batches(with_payload), FIELDS + ", payload binary" * with_payload)
 
 
-def follow(heads: DataFrame) -> DataFrame:
+def follow(heads: DataFrame, scratch: Scratch) -> DataFrame:
     """Join revisits to the responses they refer to: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     wrong = F.when((F.col("record_type") == "response") & (F.col("payload_digest") != F.col("declared_digest")), F.raise_error(F.lit("a payload differs from its digest")))
     heads = heads.withColumn("declared_digest", F.coalesce(wrong.cast("string"), F.col("declared_digest")))
@@ -162,6 +204,8 @@ def follow(heads: DataFrame) -> DataFrame:
         .groupBy(F.col("declared_digest").alias("o_digest"), F.col("record_id").alias("o_id"))
         .agg(F.max("page_id").alias("o_page"), F.max("payload_bytes").alias("o_bytes"))
     )
+    # A written table: the revisits of a hot payload are split between tasks.
+    originals = scratch.keep(originals, "originals")
     met = heads.join(originals, (F.col("declared_digest") == F.col("o_digest")) & (F.coalesce("refers_to_id", "record_id") == F.col("o_id")), "left")
     revisit = F.col("record_type") == "revisit"
     return met.select(
@@ -174,9 +218,10 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark)
     path = path or scratch.path("archives")
-    write(records(resolve(pages, scratch)), path)
+    resolved = resolve(pages, scratch)
+    write(records(resolved), path, records_per_file(spark.read.parquet(scratch.path("owners"))))
     scratch.release()
-    return follow(scratch.keep(read(spark, path), "heads"))
+    return follow(scratch.keep(read(spark, path), "heads"), scratch)
 
 
 ORACLE = r"""
