@@ -8,9 +8,13 @@ by its tables: it finds the program map, the elementary stream, checks
 continuity counters, reassembles the elementary packets and returns payload,
 timestamps and random-access points.
 
-Per document nothing is shuffled or collected; one document at a time is in
-memory.  Defined cases: a null text is an empty one; an empty text is one block
-of padding; equal texts give equal streams; other columns are ignored.
+``store`` makes a media column, ``read`` takes one apart into payloads,
+timestamps and random-access points; ``digest`` writes the column as a table
+and describes what it reads back.  Nothing is shuffled or collected; one
+document at a time is in memory.  Defined cases: a null text is an empty one;
+an empty text is one block of padding; equal texts give equal streams; repeated
+rows are stored each; a null doc_id stays null; an empty table gives an empty
+one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch
 
 PACKET, BODY, SYNC = 188, 184, 0x47
 PMT_PID, ES_PID = 0x1000, 0x0100
@@ -204,48 +211,74 @@ def _checked(packet: np.ndarray) -> bytes:
     return raw[8 : size - 4]
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_NAMES = [x.split()[0] for x in DIGEST.split(", ")]
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
+#: Media in a record batch, about.
+BATCH_BYTES = 8 << 20
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            stored = mux(pad(raw))
-            back = demux(stored)
-            rows.append((doc_id, len(raw), len(back.payload), hashlib.sha256(back.payload).hexdigest(), zlib.crc32(back.payload[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), back.feature()))
-        columns = list(zip(*rows, strict=True)) or [[] for _ in _NAMES]
-        types = [pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in _NAMES]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _NAMES)
+def _batches(rows: Iterator[tuple], schema: pa.Schema, weight) -> Iterator[pa.RecordBatch]:
+    """Record batches of about BATCH_BYTES."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += weight(row)
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, media (binary): each text as a transport stream."""
+    """doc_id, n_bytes (of the text), media (binary): each text as a transport stream."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
-    def run(batches):
+    def rows(batches):
         for b in batches:
-            media = [mux(pad(t.as_buffer().to_pybytes() if t.is_valid else b"")) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
+            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+                yield doc_id, len(raw), mux(pad(raw))
+
+    def run(batches):
+        return _batches(rows(batches), schema, lambda r: len(r[2]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def read(media: DataFrame) -> DataFrame:
     """doc_id, payload, pts, random_access, counter_errors from a media column."""
+    schema = pa.schema([("doc_id", pa.int64()), ("payload", pa.binary()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int64())), ("counter_errors", pa.int32())])
+
+    def rows(batches):
+        for b in batches:
+            for doc_id, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                g = demux(m.as_buffer())
+                yield doc_id, g.payload, g.pts, g.random_access, g.counter_errors
 
     def run(batches):
+        return _batches(rows(batches), schema, lambda r: len(r[1]))
+
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, "doc_id long, payload binary, pts array<long>, random_access array<long>, counter_errors int")
+
+
+def describe(media: DataFrame) -> DataFrame:
+    """What is read back from stored media (doc_id, n_bytes, media): sizes, digests, features, timestamps and random-access points."""
+    texts, lists = ("payload_sha256", "media_sha256", "feature"), ("pts", "random_access")
+    schema = pa.schema([(n, pa.string() if n in texts else pa.list_(pa.int64()) if n in lists else pa.int64()) for n in (x.split()[0] for x in DIGEST.split(", "))])
+
+    def rows(batches):
         for b in batches:
-            got = [demux(m.as_buffer().to_pybytes()) for m in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g.payload for g in got], pa.binary()), pa.array([g.pts for g in got], pa.list_(pa.int64())), pa.array([g.random_access for g in got], pa.list_(pa.int64())), pa.array([g.counter_errors for g in got], pa.int32())],
-                ["doc_id", "payload", "pts", "random_access", "counter_errors"],
-            )
+            for doc_id, n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                stored = m.as_buffer()
+                back = demux(stored)
+                yield doc_id, n, len(back.payload), hashlib.sha256(back.payload).hexdigest(), zlib.crc32(back.payload[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), back.feature(), back.pts, back.random_access
+
+    def run(batches):
+        return _batches(rows(batches), schema, lambda r: 1000)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, payload binary, pts array<long>, random_access array<long>, counter_errors int")
+    return media.select(F.col("doc_id").cast("long"), "n_bytes", "media").mapInArrow(run, DIGEST)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Store every text, read it back and describe both; one pass, nothing kept."""
-    return docs.select("doc_id", "text").mapInArrow(_digest_batches, DIGEST)
+    """Store every text as a media column of a written table, and describe what is read back."""
+    return describe(Scratch(docs.sparkSession).keep(store(docs), "media"))
