@@ -4,18 +4,20 @@ Each document becomes token ids and a hashed bag of ids; a fixed random
 projection takes that vector to four dimensions, and the cell it falls in gives
 a Hilbert key.  Documents are range-sorted by (key, doc_id), so neighbours on
 the curve, which share vocabulary, end up in the same sequences, and a group of
-equal documents still spreads over tasks by doc_id.  Every task fills sequences
-of 4096 ids in order and cuts documents where a sequence is full; the rest of a
-task's last sequence is cut into lengths that are powers of two, which need no
-padding.
+equal documents still spreads over tasks by doc_id.  The number of ranges
+follows the number of ids, so a task stays the same size as a corpus grows.
+Every task fills sequences of 4096 ids in order and cuts documents where a
+sequence is full; what doesn't fill a task's last sequence is packed with that
+of the tasks beside it along the curve, and only the last sequence of about a
+thousand tasks is padded.
 
 Ids of a text are found word by word: the tokenizer drops white space and never
 joins across it, so words are looked up in a bounded cache and only new ones go
 to the tokenizer, many at a time.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are
-packed each; a null doc_id sorts first; an empty table gives no piece; other
-columns are ignored by ``pack`` (``neighbours`` keeps them).
+packed each; a null doc_id sorts first; a text of many sequences is cut; an
+empty table gives no piece; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ LENGTH = 4096
 DIMS, BITS, BUCKETS = 4, 8, 1024
 CACHE_WORDS = 3_000_000
 MISSES = 2_000
+#: Ids of a task that packs, about, and tasks whose rests are packed together.
+TASK_IDS, TASKS_TOGETHER = 8_000_000, 1_024
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -247,67 +251,89 @@ def tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_token_batches(path or tokenizer_path(), end_id), "doc_id long, curve_key long, doc_tokens long, ids binary")
 
 
-_PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+_PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "ids"]
+_KINDS = [pa.int64()] * 8 + [pa.binary()]
+_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task long, ids binary"
+#: Sequence numbers of rests start here; those of a task at a multiple of 2**36.
+RESTS = 1 << 62
+
+
+def _fill(pieces: Iterator[tuple], length: int, number: int, with_ids: bool, rest) -> Iterator[pa.RecordBatch]:
+    """Fill sequences with (doc_id, start, ids, doc_tokens) in order; ``rest`` makes rows of what doesn't fill the last one."""
+    open_, filled, rows = [], 0, []
+
+    def sealed(some: list[tuple], task) -> list[tuple]:
+        out, at = [], 0
+        for doc, start, ids, total in some:
+            raw = ids.astype("<u4").tobytes()
+            out.append((doc, start, len(ids), zlib.crc32(raw), total, number, at, task, raw if with_ids else None))
+            at += len(ids)
+        return out
+
+    def table() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], _PIECE)
+
+    for doc, first, ids, total in pieces:
+        at = 0
+        while at < len(ids):
+            take = min(len(ids) - at, length - filled)
+            open_.append((doc, first + at, ids[at : at + take].copy(), total))
+            at, filled = at + take, filled + take
+            if filled == length:
+                rows += sealed(open_, None)
+                open_, filled, number = [], 0, number + 1
+            if len(rows) >= 4096:
+                yield table()
+                rows = []
+    rows += rest(open_, sealed)
+    if rows:
+        yield table()
 
 
 def _pack_batches(length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        # Sequence numbers of a task start at a multiple of 2**36 that no other task has.
-        number = TaskContext.get().partitionId() << 36
-        open_, filled = [], 0
-
-        def emit(pieces):
-            nonlocal number
-            at = 0
-            for doc, start, ids, total in pieces:
-                raw = ids.astype("<u4").tobytes()
-                yield (doc, start, len(ids), zlib.crc32(raw), total, number, at, raw)
-                at += len(ids)
-            number += 1
-
-        def table(rows):
-            kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], _PIECE + ["ids"] * with_ids)
-
-        rows: list[tuple] = []
-        for batch in batches:
-            for doc, total, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids, at = np.frombuffer(packed.as_buffer(), np.uint16), 0
-                while at < total:
-                    take = min(total - at, length - filled)
-                    open_.append((doc, at, ids[at : at + take].copy(), total))
-                    at, filled = at + take, filled + take
-                    if filled == length:
-                        rows += emit(open_)
-                        open_, filled = [], 0
-                if len(rows) >= 4096:
-                    yield table(rows)
-                    rows = []
-        # What is left is cut into powers of two.
-        while filled:
-            size, some, have = 1 << filled.bit_length() - 1, [], 0
-            while have < size:
-                doc, start, ids, total = open_.pop(0)
-                take = min(len(ids), size - have)
-                some.append((doc, start, ids[:take], total))
-                if take < len(ids):
-                    open_.insert(0, (doc, start + take, ids[take:], total))
-                have += take
-            rows += emit(some)
-            filled -= size
-        if rows:
-            yield table(rows)
+        task = TaskContext.get().partitionId()
+
+        def pieces():
+            for b in batches:
+                for doc, total, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    yield doc, 0, np.frombuffer(packed.as_buffer(), np.uint16), total
+
+        def rest(open_, _):
+            return [(doc, start, len(ids), None, total, None, None, task, ids.astype("<u4").tobytes()) for doc, start, ids, total in open_]
+
+        yield from _fill(pieces(), length, task << 36, with_ids, rest)
+
+    return run
+
+
+def _rest_batches(length: int, with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        def pieces():
+            for b in batches:
+                for doc, start, total, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    yield doc, start, np.frombuffer(raw, "<u4"), total
+
+        yield from _fill(pieces(), length, RESTS + (TaskContext.get().partitionId() << 36), with_ids, lambda open_, sealed: sealed(open_, None))
 
     return run
 
 
-def pack(docs: DataFrame, *, length: int = LENGTH, path: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, length: int = LENGTH, path: str | None = None, end_id: int = END_ID, with_ids: bool = False, task_ids: int = TASK_IDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and its ids as 32-bit numbers)."""
     spark = docs.sparkSession
-    held = Scratch(spark).keep(tokens(docs, path, end_id), "tokens")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(spark)
+    held = scratch.keep(tokens(docs, path, end_id), "tokens")
+    total = held.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()[0]
+    n = max(spark.sparkContext.defaultParallelism, -(-total // task_ids))
     lined = held.repartitionByRange(n, "curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return lined.select("doc_id", "doc_tokens", "ids").mapInArrow(_pack_batches(length, with_ids), schema)
+    pieces = scratch.keep(lined.select("doc_id", "doc_tokens", "ids").mapInArrow(_pack_batches(length, with_ids), _SCHEMA), "pieces")
+    full = pieces.where("sequence_id is not null")
+    # Rests are less than a sequence a task; those of tasks beside each other on the curve go together.
+    rests = pieces.where("sequence_id is null").repartitionByRange(-(-n // TASKS_TOGETHER), "task").sortWithinPartitions("task", "doc_id", "start", "ids")
+    packed = rests.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_rest_batches(length, with_ids), _SCHEMA)
+    return full.unionByName(packed).select(*_PIECE[:7], *["ids"] * with_ids)
