@@ -182,6 +182,25 @@ def test_warc_round_trip(spark, tmp_path):
         assert r.payload_digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
 
 
+def test_archives_have_a_gzip_member_for_each_record(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<p>{i % 7}</p>" + "y" * (10 if i % 7 else 300_000)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("owner", F.lit(2)).repartition(3)
+    assert warc.archive(pages, "file://" + str(tmp_path / "w")).where("record_type = 'response'").count() == 7
+    n = 0
+    for f in (tmp_path / "w").glob("part-*"):
+        blob = f.read_bytes()
+        import gzip
+
+        assert gzip.decompress(blob).count(b"WARC/1.1\r\n") == sum(1 for _ in warc.parse(blob))
+        for member in warc.members(memoryview(blob)):
+            ((head, content),) = warc.parse(member)  # one record, which can be read alone
+            assert int(head["content-length"]) == len(content)
+            n += 1
+    assert n == 60
+    owners = spark.createDataFrame([("a", 100, 1000), ("b", 1, 10_000_000)], "digest string, copies long, size long")
+    assert warc.records_per_file(owners, 1 << 20) == 1 and warc.records_per_file(owners.limit(0)) == (64 << 20) // 512
+
+
 def test_warc_empty(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive(none, "file://" + str(tmp_path / "w")).count() == 0
@@ -349,14 +368,26 @@ def test_damage_is_seen():
         media.demux(bytes(stored))
 
 
-def test_media_digest(docs):
-    rows = {r.doc_id: r for r in media.digest(docs).collect()}
-    text = dict(corpus())[0].encode()
-    padded = text + b"\xff" * (-len(text) % 576)
-    assert rows[0].payload_sha256 == hashlib.sha256(padded).hexdigest() and rows[0].tail_crc32 == zlib.crc32(padded[-32:]) and rows[0].n_bytes == len(text)
-    assert rows[50].payload_bytes == rows[51].payload_bytes == 576 and rows[50].media_sha256 == rows[51].media_sha256
-    back = media.read(media.store(docs)).where("doc_id = 0").first()
-    assert bytes(back.payload) == padded
+def test_media_digest_equals_brute_force(spark):
+    rows = corpus() + [(70, "\U0001f600" * 30_000), (71, "x" * 2_000_000)]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        stored, feature = brute.transport_stream(padded)
+        want.append((i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+    df = spark.createDataFrame(rows, DOCS).withColumn("media", F.lit("clash")).withColumn("n_bytes", F.lit(1)).repartition(3)
+    assert tuples(media.digest(df), *names) == sorted(want, key=str)
+    assert media.digest(df.limit(0)).count() == 0
+
+
+def test_media_column(docs):
+    kept = media.store(docs)
+    back = {r.doc_id: r for r in media.read(kept).collect() if r.doc_id is not None}
+    long = dict(corpus())[63].encode()
+    assert bytes(back[63].payload) == media.pad(long) and back[63].pts == [126000] and back[63].random_access == [0] and back[63].counter_errors == 0
+    assert bytes(back[50].payload) == bytes(back[51].payload) == b"\xff" * 576 and kept.count() == len(corpus())
 
 
 # -- 7 ----------------------------------------------------------------------------------------------------
@@ -381,7 +412,13 @@ def test_packing_covers_every_id_once(docs):
         for p in sorted(own, key=lambda p: p.offset):
             assert p.offset == at
             at += p.length
-        assert at <= 256 and at & at - 1 == 0
+        assert at <= 256
+    short = [own for own in by_sequence.values() if sum(p.length for p in own) < 256]
+    assert len(short) <= 1
+    bare = packing.pack(docs.withColumn("ids", F.lit(1)).withColumn("task", F.lit(2)).withColumn("curve_key", F.lit(0)), length=256, task_ids=500)
+    assert bare.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    fill = bare.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("offset").alias("k"), F.count(F.lit(1)).alias("m")).collect()
+    assert sum(r.n for r in fill) == sum(p.length for p in pieces) and sum(r.n < 256 for r in fill) <= 1 and all(r.n <= 256 and r.k == r.m for r in fill)
 
 
 @pytest.mark.parametrize("text", ["", "a0b 10 0 The THE the, x. <|endoftext|> <|ENDOFTEXT|> a<|startoftext|>b it's IT'S don't.", "é İ ΣΑΣ \x1c\x1d x y z 東京 ½ ⅐ 0０ ,. .", "a b c\x85 'S 's ... ,,, < é x́"])
