@@ -169,3 +169,42 @@ def transport_stream(payload):
             rest, counter, first = rest[room:], counter + 1 & 15, False
     n = len(units)
     return b"".join(out), f"programs=1;streams=1;packets={len(out)};units={n};pts=126000-{126000 + 3600 * (n - 1)};access={n};counter_errors=0"
+
+
+def article_text(page):
+    """Blocks of the article element of a page, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.raw, self.blocks, self.part = 0, 0, [], []
+
+        def flush(self):
+            text = " ".join("".join(self.part).split())
+            self.blocks += [text] if text else []
+            self.part = []
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style")
+            self.depth += tag == "article"
+            if tag in ("p", "h1", "h2", "h3", "ul", "li", "article", "div"):
+                self.flush()
+            elif tag == "br":
+                self.part.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "h3", "ul", "li", "article", "div"):
+                self.flush()
+            self.depth -= tag == "article"
+            self.raw -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if self.depth and not self.raw:
+                self.part.append(data)
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    reader.flush()
+    return "\n\n".join(reader.blocks)

@@ -502,6 +502,58 @@ def test_articles_are_never_left_out():
     assert html.main_text(f"<form id=page><div class=menu>m</div><article><p>{text}</p></article></form>") == text.strip()
 
 
+def test_names_leave_out_containers_only_if_they_say_nothing_else():
+    page = '<article><p>keep</p><section class="related-work"><p>too</p></section><p class="reply">He said yes.</p><div class="comments-list"><p>no</p></div><div id="share-buttons">no</div></article>'
+    assert html.main_text(page) == "keep\n\ntoo\n\nHe said yes."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div>" * 5000 + "deep text" + "</div>" * 5000, "deep text"),
+        ("<article>" + "<div><b>" * 50_000 + "deep", "deep"),
+        ("<p>start</p>" + '<a "' * 250_000, None),
+        ("<a 'x>' " * 100_000 + "end", None),
+        ("<" * 300_000 + "end", None),
+        ("<!x" * 200_000 + "end", None),
+        ("<div>" * 20_000 + "</b>" * 200_000 + "end", "end"),
+        ("<p>a</p><div>b</div>" * 20_000, "\n\n".join(["a", "b"] * 20_000)),
+        ("".join(f"<div class=c{i}>t</div>" for i in range(30_000)), "\n\n".join("t" * 30_000)),
+        ("<script>" * 1000 + "var x", ""),
+        ('<p title="a > b <i>">kept</p><p title=">">too</p><svg/>end', "kept\n\ntoo\n\nend"),
+    ],
+)
+def test_awkward_pages_take_linear_time(page, want):
+    import json
+    import time
+
+    began = time.process_time()
+    got = html.main_text(page)
+    wrapper = html.skeleton(page)
+    for other in (html.skeleton("<div><p>x</p></div>"), html.skeleton(page)):
+        wrapper = html.prune(html.align(wrapper, other))
+    assert json.loads(json.dumps(wrapper))[1] == 3 and html.main_path(wrapper) is not None and html.constant_paths(wrapper, []) is not None and html.expression(wrapper)
+    assert time.process_time() - began < 10
+    assert want is None and got.startswith(("start", "'", "<")) or got == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_extract_equals_a_plain_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = sorted(((r.page_id, brute.article_text(r.html)) for r in pages.collect()), key=str)
+    assert tuples(html.extract(pages.withColumn("path", F.lit("clash")).withColumn("drop", F.lit(1)).repartition(5)), "page_id", "text") == want
+
+
+def test_wrapper_of_a_hot_host_is_merged_from_many_tasks(spark):
+    """Without article tags, class words or menus: only the alignment of a host's pages tells text from what is on every page."""
+    rows = [(i, "http://hot.x/p", f"<body><div class=k1><div class=q>Everything on this site is served fresh each day to all</div><div class=z>{'<p>' + prose(50, i) + '</p>' if i % 5 else '<dl><dd>' + prose(60, i) + '</dd></dl>'}</div></div></body>") for i in range(120)]
+    rows += [(1000 + i, f"http://cold{i}.x/p", f"<body><div class=k1>{prose(20, i)}</div></body>") for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df.repartition(11)).collect()}
+    assert all(got[i] == prose(50 if i % 5 else 60, i) for i in range(120)) and all(got[1000 + i] == prose(20, i) for i in range(30))
+    assert html.wrappers(df.repartition(9)).count() == 31
+
+
 def test_wrapper_decides_on_pages_with_articles():
     def page(k):
         body = "".join(f"<p>{prose(40, 10 * k + j)}</p>" for j in range(3))
