@@ -3,21 +3,23 @@
 Each document is a sequence of word hashes.  A round first names runs of one
 word (round 0), then pairs: every symbol falls left or right by a bit of its
 name, and a left symbol followed by a right one becomes a new symbol.  A name is
-the hash of its parts, so equal substrings get equal names on every executor
-with no dictionary to shuffle.  With each symbol goes the span of words its
-making depended on; inside any two equal substrings, symbols whose span fits
-are the same.
-
-After the rounds, every window of 50 words is represented by one of the symbols
-inside it: the one whose surrounding words have the least hash (a window with
-no such symbol stands for itself).  Consecutive windows with one representative
-form a segment: (key, content).  Then
-
-1. keys met in two documents are found by an aggregate (one row per key and
-   task is shuffled, however hot the key is),
-2. segments with such a key are kept (a sort-merge join that AQE may split),
-3. segments of equal content go to their smallest document; all others repeat,
-4. keys with segments of different content are compared window by window, with
+the hash of its parts, so a substring has the same name in every document and on
+every executor, with no dictionary to shuffle: one pass over the texts makes
+all rounds.  With each symbol goes the span of words its making depended on;
+inside any two equal substrings, symbols whose span fits are the same.
+
+A window of 50 words is represented by a symbol whose span lies inside it: one
+of the highest round, of these the one with the least hashed name.  The level
+and the name are the window's key (a window without such a symbol, within a long
+run, has a key of its own).  Consecutive windows with one key form a segment:
+(key, content).  Then Spark looks for names that documents share:
+
+1. names met in two documents are found by an aggregate (one row per name and
+   task is shuffled, however hot the name is); all other windows are done with,
+2. segments with such a name are kept (a sort-merge join that AQE may split),
+3. segments of equal content, the expansion around the symbol, go to their
+   smallest document; all others repeat,
+4. names with segments of different content are compared window by window, with
    one document standing for each content,
 5. the repeated spans of each document are removed from its text.
 
@@ -27,8 +29,8 @@ content).  Steps write tables to the shared folder; no step has a cap.
 Defined cases: null and empty texts have no words; documents shorter than a
 window are unchanged; rows with a null doc_id are neither kept from nor counted
 as earlier; rows with the same doc_id don't repeat each other; an empty table
-gives an empty result; other columns are ignored by ``repeats`` and kept by
-``remove``.
+gives an empty result; other columns, whatever their names, are ignored by
+``repeats`` and kept by ``remove``.
 """
 
 from __future__ import annotations
@@ -40,26 +42,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, mix64, powers, running, slices, span_hashes, word_bounds, word_hashes
 
 WINDOW = 50
-ROUNDS = 6
-#: Words before and behind a symbol's first word on which the symbol may depend.
-BEFORE, BEHIND = 10, 20
+ROUNDS = 7
+#: Rounds whose symbols may represent a window, counted from the last.
+LAST_ROUNDS = 4
 CHUNK_WORDS = 200_000
 CHUNK_BYTES = 4 << 20
+#: Windows of one document in a record batch.
+BATCH_WINDOWS = 500_000
 WORD_BASE = 0xD1342543DE82EF95
 WORD_INV = pow(WORD_BASE, -1, 1 << 64)
 KEY_BASE = 0xA24BAED4963EE407 | 5
 KEY_INV = pow(KEY_BASE, -1, 1 << 64)
 _FAR = 1 << 40
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _u = np.uint64
 
 
-def recompress(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """Symbols after the rounds: name, first word, and the span [left, right) each depends on.
+def recompress(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, ...]]:
+    """The symbols behind each round: name, first word, and the span [left, right) each depends on.
 
     ``first`` has the index of the first word of each document, and the end.
     """
@@ -79,60 +83,72 @@ def recompress(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> t
         left = np.where(opens, -_FAR, at - 1)
         right = np.where(closes, _FAR, at + size + 1)
         name = np.where(size > 1, mix64(name[at] * _u(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64)), name[at])
+    yield name, start, left, right
     for k in range(rounds):
         m = len(name)
-        if m < 2:
-            break
-        more = np.zeros(m, bool)  # the next symbol is of the same document
-        more[:-1] = doc[1:] == doc[:-1]
-        bit = (mix64(name + _u(k + 1)) >> _u(17) & _u(1)).astype(bool)
-        pair = np.zeros(m, bool)
-        pair[:-1] = ~bit[:-1] & bit[1:] & more[:-1]
-        second = np.zeros(m, bool)
-        second[1:] = pair[:-1]
-        far_right = np.where(more, np.append(right[1:], 0), _FAR)
-        far_left = np.where(np.append(False, more[:-1]), np.append(0, left[:-1]), -_FAR)
-        new_left = np.where(bit & ~second, np.minimum(left, far_left), left)  # a right symbol left alone has looked left
-        new_right = np.where(~bit, np.maximum(right, far_right), right)
-        behind = np.append(name[1:], _u(0))
-        joined = mix64(name * _u(0x9E3779B97F4A7C15) + (behind << _u(23) | behind >> _u(41)) + _u(k))
-        new_left = np.where(pair, np.minimum(left, np.append(left[1:], 0)), new_left)
-        kept = ~second
-        name, start, left, right, doc = np.where(pair, joined, name)[kept], start[kept], new_left[kept], new_right[kept], doc[kept]
-    return name, start, left, right
-
-
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of values[i : i + width] for every i (the end is padded)."""
-    got, have = values, 1
-    while have < width:
-        step = min(have, width - have)
-        got = np.minimum(got, np.append(got[step:], np.full(min(step, len(got)), _NONE)))
-        have += step
-    return got
+        if m:
+            more = np.zeros(m, bool)  # the next symbol is of the same document
+            more[:-1] = doc[1:] == doc[:-1]
+            bit = (mix64(name + _u(k + 1)) >> _u(17) & _u(1)).astype(bool)
+            pair = np.zeros(m, bool)
+            pair[:-1] = ~bit[:-1] & bit[1:] & more[:-1]
+            second = np.zeros(m, bool)
+            second[1:] = pair[:-1]
+            far_right = np.where(more, np.append(right[1:], 0), _FAR)
+            far_left = np.where(np.append(False, more[:-1]), np.append(0, left[:-1]), -_FAR)
+            new_left = np.where(bit & ~second, np.minimum(left, far_left), left)  # a right symbol left alone has looked left
+            new_right = np.where(~bit, np.maximum(right, far_right), right)
+            behind = np.append(name[1:], _u(0))
+            joined = mix64(name * _u(0x9E3779B97F4A7C15) + (behind << _u(23) | behind >> _u(41)) + _u(k))
+            new_left = np.where(pair, np.minimum(left, np.append(left[1:], 0)), new_left)
+            kept = ~second
+            name, start, left, right, doc = np.where(pair, joined, name)[kept], start[kept], new_left[kept], new_right[kept], doc[kept]
+        yield name, start, left, right
+
+
+def _raise_over(best: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The greatest of ``best`` and of all values whose interval [lo, hi) holds a place; an interval is two of a power of two."""
+    power = np.frexp(np.maximum(hi - lo, 1).astype(np.float64))[1] - 1
+    above = np.zeros(len(best), np.uint64)
+    for k in range(int(power.max(initial=0)), -1, -1):
+        own, half = power == k, 1 << k
+        np.maximum.at(above, lo[own], value[own])
+        np.maximum.at(above, hi[own] - half, value[own])
+        if k:  # what holds for 2**k places holds for both halves
+            lower = above.copy()
+            lower[half // 2 :] = np.maximum(lower[half // 2 :], above[: len(above) - half // 2])
+            above = lower
+    return np.maximum(best, above)
+
+
+def window_keys(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> np.ndarray:
+    """The key of the window that starts at each word: round and name of its symbol, 0 where it has none."""
+    opens, ends = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
+    best = np.zeros(len(hashes), np.uint64)
+    for k, (name, start, left, right) in enumerate(recompress(hashes, first, rounds)):
+        if k <= rounds - LAST_ROUNDS or not len(name):
+            continue
+        # The windows of the document that hold the whole span.
+        lo, hi = np.maximum(right - window, opens[start]), np.minimum(left, ends[start] - window) + 1
+        fits = (left >= 0) & (right < _FAR) & (lo < hi)
+        key = _u(k + 1) << _u(58) | mix64(name[fits]) >> _u(6)
+        best = _raise_over(best, lo[fits], hi[fits], key)
+    return best
 
 
 def segments(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """key, content, document, first window and number of windows of all segments."""
     n = len(hashes)
-    ends = np.repeat(first[1:], np.diff(first))
-    is_window = np.arange(n) + window <= ends
-    sums, others = running(hashes, WORD_BASE), running(mix64(hashes + _u(0x51ED270B)), KEY_BASE)
-    _, start, left, right = recompress(hashes, first)
-    opens = np.repeat(first[:-1], np.diff(first))
-    good = (left >= start - BEFORE) & (right <= start + BEHIND) & (start - BEFORE >= opens[start]) & (start + BEHIND <= ends[start])
-    start = start[good]
-    rank = np.full(n, _NONE)
-    rank[start] = span_hashes(others, start - BEFORE, start + BEHIND, KEY_BASE, KEY_INV) >> _u(1)
-    # Window p holds the surroundings of the symbols at p + BEFORE .. p + window - BEHIND.
-    least = _sliding_min(rank, window - BEHIND - BEFORE + 1)
-    key = np.append(least[BEFORE:], np.full(min(BEFORE, n), _NONE))[:n]
-    alone = np.flatnonzero(is_window & (key == _NONE))
-    key[alone] = span_hashes(others, alone, alone + window, KEY_BASE, KEY_INV) >> _u(1) | _u(1 << 63)
+    is_window = np.arange(n) + window <= np.repeat(first[1:], np.diff(first))
     at = np.flatnonzero(is_window)
     if not len(at):
         e = np.empty(0, np.int64)
         return e, e, e, e, e
+    sums = running(hashes, WORD_BASE)
+    key = window_keys(hashes, first, window)
+    alone = np.flatnonzero(is_window & (key == 0))
+    if len(alone):
+        key[alone] = span_hashes(running(mix64(hashes + _u(0x51ED270B)), KEY_BASE), alone, alone + window, KEY_BASE, KEY_INV) >> _u(6)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[at]
     fresh = np.ones(len(at), bool)
     fresh[1:] = (key[at][1:] != key[at][:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
@@ -159,7 +175,7 @@ def document_hashes(data: np.ndarray) -> np.ndarray:
 
 def _long_segments(hashes: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Segments of one long document; a piece sees enough words around its windows to decide as the whole would."""
-    n, margin = len(hashes), 64 << ROUNDS
+    n, margin = len(hashes), 2 * window
     for a in range(0, max(0, n - window + 1), CHUNK_WORDS):
         b = min(a + CHUNK_WORDS, n - window + 1)
         lo, hi = max(0, a - margin), min(n, b + window - 1 + margin)
@@ -201,8 +217,12 @@ def _window_batches(window: int):
             for text, asked in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 hashes = document_hashes(np.frombuffer(text.as_buffer(), np.uint8))
                 sums = running(hashes, WORD_BASE)
-                out = []
+                out, held = [], 0
                 for s in asked:
+                    if held + s["n"] > BATCH_WINDOWS and out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "content", "x", "hash", "owner"])
+                        out, held = [], 0
+                    held += s["n"]
                     at = np.arange(s["begin"], s["begin"] + s["n"])
                     out.append((np.full(len(at), s["key"]), np.full(len(at), s["content"]), np.arange(len(at), dtype=np.int32), span_hashes(sums, at, at + window, WORD_BASE, WORD_INV).view(np.int64), np.full(len(at), s["owner"])))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "content", "x", "hash", "owner"])
@@ -270,14 +290,16 @@ def _digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    held = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_print", F.xxhash64("text"))
-    return held.join(spans.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "spans"), ["_id", "_print"], "left")
+    """row (all columns of a document), spans."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"))
+    return held.join(spans.select(F.col("doc_id").alias("id"), "print", "spans"), ["id", "print"], "left").select("row", "spans")
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     spans = repeats(docs, Scratch(docs.sparkSession), window)
-    return _with_spans(docs.select("doc_id", "text"), spans).select("doc_id", "text", "spans").mapInArrow(_digest_batches, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), spans).select("row.doc_id", "row.text", "spans").mapInArrow(_digest_batches, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(text: bytes, spans: pa.Scalar) -> bytes:
@@ -296,19 +318,21 @@ def cut(text: bytes, spans: pa.Scalar) -> bytes:
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with their repeated words removed; ``n_chars`` follows the text where it is a column."""
-    spans = repeats(docs, Scratch(docs.sparkSession), window)
+    tagged = _with_spans(docs, repeats(docs, Scratch(docs.sparkSession), window))
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    # Columns go by number, so that no name can clash.
+    names = [f"c{i}" for i in range(len(rest))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [cut(t.as_buffer().to_pybytes(), s) if t.is_valid else None for t, s in zip(b.column("_text"), b.column("_spans"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(out, pa.binary()).cast(pa.string())], [*rest, "_text"])
-
-    tagged = _with_spans(docs, spans)
-    touched = tagged.where("spans is not null")
-    cols = [F.col(f"`{c}`") for c in rest]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest) + ", _text string"
-    edited = touched.select(*cols, F.col("text").alias("_text"), F.col("spans").alias("_spans")).mapInArrow(run, schema)
-    back = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    same = tagged.where("spans is null").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return same.union(edited.select(*[back[c].alias(c) if c in back else F.col(f"`{c}`") for c in docs.columns]))
+            out = [cut(t.as_buffer().to_pybytes(), s) if t.is_valid else None for t, s in zip(b.column("new"), b.column("spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.binary()).cast(pa.string())], [*names, "new"])
+
+    kept = [F.col("row")[c].alias(n) for c, n in zip(rest, names, strict=True)]
+    schema = T.StructType([*(T.StructField(n, docs.schema[c].dataType) for c, n in zip(rest, names, strict=True)), T.StructField("new", T.StringType())])
+    edited = tagged.where("spans is not null").select(*kept, F.col("row.text").alias("new"), "spans").mapInArrow(run, schema)
+    back = {c: F.col(n) for c, n in zip(rest, names, strict=True)} | {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        back["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    same = tagged.where("spans is null").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return same.union(edited.select(*[back[c].alias(c) for c in docs.columns]))
