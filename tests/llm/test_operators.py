@@ -80,10 +80,55 @@ def test_symbols_inside_equal_substrings_agree():
     seen = []
     for side in sides:
         h = np.array(side + common + side, np.uint64)
-        name, start, left, right = substring.recompress(h, np.array([0, len(h)]))
-        inside = (left >= len(side)) & (right <= len(side) + len(common))
-        seen.append(list(zip(name[inside].tolist(), start[inside].tolist(), strict=True)))
-    assert seen[0] == seen[1] and len(seen[0]) > 10
+        every = []
+        for name, start, left, right in substring.recompress(h, np.array([0, len(h)])):
+            inside = (left >= len(side)) & (right <= len(side) + len(common))
+            every.append(list(zip(name[inside].tolist(), start[inside].tolist(), strict=True)))
+        seen.append(every)
+    assert seen[0] == seen[1] and all(len(x) > 10 for x in seen[0])
+    sizes = [len(x) for x in seen[0]]
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] < sizes[0] / 3  # symbols of the last round stand for several words
+
+
+def test_names_reveal_the_repeats(spark, docs, monkeypatch):
+    """Names that differ between documents find nothing; names of single words make no symbol of the last rounds."""
+    real = substring.recompress
+    count = lambda: substring.digest(docs).agg(F.sum("n_removed")).first()[0]
+    want = count()
+
+    def salted(hashes, first, rounds=substring.ROUNDS):
+        salt = np.repeat(np.arange(len(first) - 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.diff(first))
+        return real(hashes ^ salt, first, rounds)
+
+    h = substring.document_hashes(np.frombuffer(prose(3000, 12).encode(), np.uint8))
+    keys = len(np.unique(substring.window_keys(h, np.array([0, len(h)]))))
+    monkeypatch.setattr(substring, "recompress", salted)
+    assert count() < want / 2
+    monkeypatch.setattr(substring, "recompress", lambda h, first, rounds=7: ((h, np.arange(len(h)), np.arange(len(h)), np.arange(len(h)) + 1) for _ in range(rounds + 1)))
+    assert len(np.unique(substring.window_keys(h, np.array([0, len(h)])))) < keys / 2
+
+
+def test_window_keys_equal_plain_ones():
+    r = random.Random(4)
+    words = [r.choice(["a", "b", "c d", "e f g"]) if r.random() < 0.3 else r.choice(VOCAB) for _ in range(400)] + ["z"] * 120
+    h = np.array([hash(w) & (1 << 63) - 1 for w in " ".join(words).split()], np.uint64)
+    first = np.array([0, 150, 150, len(h)])
+    want = np.zeros(len(h), np.uint64)
+    for k, (name, _, left, right) in enumerate(substring.recompress(h, first)):
+        for x, a, b in zip(name, left, right, strict=True):
+            for lo, hi in zip(first[:-1], first[1:], strict=True):
+                if k > substring.ROUNDS - substring.LAST_ROUNDS and a >= lo and b <= hi:
+                    for p in range(max(b - 50, lo), min(a, hi - 50) + 1):
+                        want[p] = max(want[p], np.uint64(k + 1) << np.uint64(58) | substring.mix64(x[None])[0] >> np.uint64(6))
+    assert (substring.window_keys(h, first) == want).all() and (want > 0).mean() > 0.5
+
+
+def test_remove_keeps_columns_of_any_name(spark):
+    shared = prose(60, 300)
+    rows = [(1, shared, "x", [1], 5, 6, 7, 8), (2, "own " + shared, None, None, 5, 6, 7, 8), (None, shared, "y", [2], 5, 6, 7, 8), (3, None, "z", [], 5, 6, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, spans array<int>, _id int, _print int, row int, `c0` int")
+    got = {r.doc_id: tuple(r) for r in substring.remove(df).collect()}
+    assert got == {1: rows[0], 2: (2, "own", None, None, 5, 6, 7, 8), None: rows[2], 3: rows[3]}
 
 
 # -- 2 ----------------------------------------------------------------------------------------------------
