@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,10 +35,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows and bytes of a batch that goes to Python, so that texts of any length take bounded memory on both sides.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the size of Arrow batches where the session has Spark's defaults."""
+    for key, plain, value in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", None, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if plain is None or spark.conf.get(key, plain) == plain:
+            spark.conf.set(key, str(value))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` frees them early."""
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark, self.root = spark, f"{scratch_dir(spark)}/docloom-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
