@@ -253,7 +253,7 @@ def field_index_rows(spark, sf_dir):
     kind = V.VALUE
     words = F.split("p_name", " ")
     none = V.literal([])
-    items = F.transform(words, lambda w: F.struct(F.lit("").alias("name"), *[(F.lit(V.STRING) if n == "rank" else w if n == "text" else F.lit(None)).alias(n) for n in ("rank", "real", "num", "ts", "text", "bin", "ref", "lat", "lng")], F.lit(None).cast("string").alias("json")))
+    items = F.transform(words, lambda w: F.struct(F.lit("").alias("name"), *[(F.lit(V.STRING) if n == "rank" else w if n == "text" else F.lit(None)).alias(n) for n in ("rank", "real", "num", "exact", "ts", "text", "bin", "ref", "lat", "lng")], F.lit(None).cast("string").alias("json")))
     key = none["key"].withField("items", items)
     fields = F.map_from_arrays(F.array(F.lit("size"), F.lit("words")), F.array(V.lift(F.col("p_size"), "int"), F.struct(key.cast(V.KEY).alias("key"), F.lit(None).cast("long").alias("int"), F.lit(None).cast("string").alias("json")).cast(kind)))
     db = Database(spark)

@@ -22,10 +22,11 @@ from .paths import path_key
 #: Ranks of the types in the total order (fixed values).
 NULL, BOOLEAN, NUMBER, TIMESTAMP, STRING, BYTES, REFERENCE, GEO, ARRAY, VECTOR, MAP = range(11)
 
-_LEAF = "rank:int,real:int,num:double,ts:timestamp,text:string,bin:binary,ref:array<struct<kind:int,number:bigint,text:string>>,lat:double,lng:double"
+_LEAF = "rank:int,real:int,num:double,exact:bigint,ts:timestamp,text:string,bin:binary,ref:array<struct<kind:int,number:bigint,text:string>>,lat:double,lng:double"
 LEAF = f"struct<{_LEAF}>"
 KEY = f"struct<{_LEAF},size:int,items:array<struct<name:string,{_LEAF},json:string>>>"
 VALUE = f"struct<key:{KEY},int:bigint,json:string>"
+ITEMS = f"array<struct<name:string,{_LEAF},json:string>>"
 
 
 @dataclass(frozen=True)
@@ -77,14 +78,23 @@ def canonical(v: Any) -> str:
     return json.dumps(plain(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _exact(c: Column, integer: bool) -> Column:
+    """Tells integers apart that are one double (beyond 53 bits); for a double its whole part, so that equal numbers are equal."""
+    if integer:
+        return c.cast("long")
+    inside = (c < F.lit(float(1 << 63))) & (c >= F.lit(-float(1 << 63)))
+    return F.when(inside, c.cast("long")).when(c >= 0, F.lit((1 << 63) - 1)).when(c < 0, F.lit(-(1 << 63)))
+
+
 def _leaf_fields(v: Any, rank: int) -> dict[str, Column]:
-    none = {"real": "int", "num": "double", "ts": "timestamp", "text": "string", "bin": "binary", "ref": "array<struct<kind:int,number:bigint,text:string>>", "lat": "double", "lng": "double"}
+    none = {"real": "int", "num": "double", "exact": "bigint", "ts": "timestamp", "text": "string", "bin": "binary", "ref": "array<struct<kind:int,number:bigint,text:string>>", "lat": "double", "lng": "double"}
     got = {k: F.lit(None).cast(t) for k, t in none.items()}
     if rank == BOOLEAN:
         got["real"] = F.lit(int(v))
     elif rank == NUMBER:
         nan = isinstance(v, float) and math.isnan(v)
         got["real"], got["num"] = F.lit(0 if nan else 1), F.lit(0.0 if nan else float(v) + 0.0)
+        got["exact"] = got["exact"] if nan else _exact(F.lit(v), isinstance(v, int))
     elif rank == TIMESTAMP:
         got["ts"] = F.lit(v).cast("timestamp")
     elif rank == STRING:
@@ -142,6 +152,7 @@ def lift(c: Column, kind: str) -> Column:
     elif rank == NUMBER:
         d = c.cast("double")
         got["real"], got["num"] = F.when(F.isnan(d), 0).otherwise(1), F.when(F.isnan(d), 0.0).otherwise(d + F.lit(0.0))
+        got["exact"] = F.when(~F.isnan(d), _exact(c, kind in ("bigint", "int")))
     else:
         slot = {TIMESTAMP: "ts", STRING: "text", BYTES: "bin"}[rank]
         got[slot] = c.cast("timestamp") if rank == TIMESTAMP else c

@@ -169,7 +169,7 @@ def _typed(w: Where, source, flavour: str) -> Column:
     raise InvalidArgument(f"{w.op} is no operator")
 
 
-_LEAF_NAMES = ["rank", "real", "num", "ts", "text", "bin", "ref", "lat", "lng"]
+_LEAF_NAMES = ["rank", "real", "num", "exact", "ts", "text", "bin", "ref", "lat", "lng"]
 
 
 def _leaf(x: Column) -> Column:

@@ -1,13 +1,14 @@
 """A writable collection: a change log, its live view, and commits.
 
 ``Store`` is the stateful face of the engine: reads are plans over the log,
-writes are judged as a set against the live view and appended in one atomic
-commit.
+writes are folded path by path over the live documents they touch and appended
+in one atomic commit, whose number is the one that followed what was read.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +17,25 @@ from pyspark.sql import types as T
 from ..errors import AlreadyExists, Conflict, EngineError, FailedPrecondition, NotFound
 from ..functions.paths import check_id
 from ..operators import changes, lookup, mutate
+from ..operators.numbering import numbered
 from ..plans.model import Query
 from ..streaming import watch
 from .changelog import ChangeLog
 from .database import PATH, Database
+from .shared import written
 
 _SYSTEM = "seq long, path string, change_time timestamp, deleted boolean, version long, create_time timestamp"
 _ERRORS: dict[str, type[EngineError]] = {"ALREADY_EXISTS": AlreadyExists, "NOT_FOUND": NotFound, "FAILED_PRECONDITION": FailedPrecondition, "CONFLICT": Conflict}
 
 
+@dataclass
+class Committed:
+    """A commit: the number of the last change before it, and what each write did (place, path, op, status, update_time, version, results)."""
+
+    base: int
+    writes: DataFrame
+
+
 class Store:
     """Documents of one typed collection (``columns`` as a DDL string) kept in a change log at ``root``."""
 
@@ -38,10 +49,19 @@ class Store:
     # -- reads
 
     def changes(self) -> DataFrame:
-        return self.log.read() if self.log.manifests() else self.spark.createDataFrame([], self.schema)
+        return self.log.read() if self.log.commits() else self.spark.createDataFrame([], self.schema)
+
+    def _recent(self, number: int | None = None) -> DataFrame:
+        got = self.log.recent(self.log.next_number() if number is None else number)
+        return self.spark.createDataFrame([], self.schema) if got is None else got
 
     def live(self) -> DataFrame:
-        return changes.live(self.changes())
+        return changes.live(self._recent())
+
+    def snapshot(self) -> None:
+        """Keep the latest changes, so that later reads of what is live take only the commits behind them."""
+        number = self.log.next_number()
+        self.log.snapshot(changes.latest(self._recent(number)), number)
 
     def as_of(self, time: dt.datetime) -> DataFrame:
         return changes.as_of(self.changes(), time)
@@ -83,64 +103,85 @@ class Store:
 
     # -- writes
 
-    def writes(self, rows: list[tuple[str, str, dict]], **conditions) -> DataFrame:
-        """Writes from (op, path, values); ``exists`` or ``base_version`` hold for all."""
+    def writes(self, rows: list[tuple[str, str, dict]], *, masks: list | None = None, transforms: list | None = None, **conditions) -> DataFrame:
+        """Writes from (op, path, values), in order; ``exists``, ``base_version`` and ``update_time`` hold for all.
+
+        ``masks`` and ``transforms`` have an entry for each write: field paths or
+        None; a list of (field path, kind, operand) or None.
+        """
         for _, path, _ in rows:
             check_id(path.rpartition("/")[2])
         names = self.columns.fieldNames()
-        kinds = T.StructType([T.StructField("op", T.StringType()), T.StructField("path", T.StringType()), *self.columns.fields])
-        df = self.spark.createDataFrame([(op, path, *(v.get(n) for n in names)) for op, path, v in rows], kinds)
+        kinds = T.StructType([T.StructField("place", T.LongType()), T.StructField("op", T.StringType()), T.StructField("path", T.StringType()), *self.columns.fields, T.StructField("mask", T.ArrayType(T.StringType())), T.StructField("transforms", T._parse_datatype_string(f"array<{mutate.TRANSFORM}>"))])
+        masks, wanted = masks or [None] * len(rows), transforms or [None] * len(rows)
+        df = self.spark.createDataFrame([(i, op, path, *(v.get(n) for n in names), m, mutate.transforms_column(x or [])) for i, ((op, path, v), m, x) in enumerate(zip(rows, masks, wanted, strict=True))], kinds)
+        df = df if any(m is not None for m in masks) else df.drop("mask")
+        df = df if any(wanted) else df.drop("transforms")
+        casts = {"exists": "boolean", "base_version": "long", "update_time": "timestamp"}
         for k, v in conditions.items():
-            df = df.withColumn(k, F.lit(v).cast("boolean" if k == "exists" else "long"))
+            df = df.withColumn(k, F.lit(v).cast(casts[k]))
         return df
 
-    def _append(self, judged: DataFrame, live: DataFrame, time: dt.datetime, mask: list[str] | None) -> int:
-        """Change rows of the writes that are OK: numbered by path order, a millisecond apart."""
-        base = self.current_seq()
-        held = live.select(F.col("path"), F.col("create_time").alias("_created"), *[F.col(c).alias(f"_old_{c}") for c in self.columns.fieldNames()])
-        ok = judged.where("status = 'OK'").select("path", "op", F.coalesce("_version", F.lit(0)).alias("_v"), *self.columns.fieldNames())
-        numbered = mutate.allocate_ids(ok.join(held, "path", "left"), base, ["path"])
-        keep = set(self.columns.fieldNames() if mask is None else mask)
-        gone = F.col("op") == mutate.DELETE
-        value = lambda c: F.when(gone, F.lit(None)).otherwise(F.col(c) if c in keep else F.col(f"_old_{c}")).alias(c)
-        at = F.timestamp_millis(F.lit(int(time.timestamp() * 1000)) + F.col("id") - base - 1)
-        out = numbered.select(F.col("id").alias("seq"), "path", at.alias("change_time"), gone.alias("deleted"), (F.col("_v") + 1).alias("version"), F.coalesce("_created", at).alias("create_time"), *map(value, self.columns.fieldNames()))
-        self.log.commit(self.spark.createDataFrame(out.rdd, self.schema))
-        return base
-
-    def commit(self, writes: DataFrame, *, transaction: str | None = None, time: dt.datetime | None = None, mask: list[str] | None = None) -> int:
-        """All writes or none; the number of the last change before them."""
-        live = self.live().cache()
+    def _folded(self, writes: DataFrame, number: int, time: dt.datetime, mask: list[str] | None) -> tuple[DataFrame, str]:
+        """What each write does, as a written table, and its folder."""
+        if "place" not in writes.columns:  # one write for each path, in any order
+            writes = writes.withColumn("place", F.xxhash64("path"))
+        if mask is not None:
+            writes = writes.withColumn("mask", F.array(*[F.lit(m) for m in mask]).cast("array<string>"))
+        recent = self._recent(number)
+        touched = changes.live(recent.join(writes.select("path").distinct(), "path", "left_semi"))
+        folder = self.log.staging()
+        return written(mutate.fold(touched, writes, self.columns, time), folder), folder
+
+    def _append(self, folded: DataFrame, number: int, time: dt.datetime) -> Committed:
+        """Publish the writes that are OK as commit ``number``: numbered in their order, a millisecond apart and behind all changes before."""
+        last = self._recent(number).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("seq"), F.max("change_time").alias("time")).first()
+        base, begin = last["seq"], time
+        if last["time"] is not None:
+            begin = max(time, last["time"].astimezone(dt.timezone.utc) + dt.timedelta(milliseconds=1))
+        ok, folder = folded.where("status = 'OK'"), self.log.staging()
         try:
-            if transaction is not None:
-                self.transactions.commit(transaction, live, None)
-            judged = mutate.judged(live, writes)
-            bad = judged.where("status <> 'OK'").orderBy("path").first()
-            if bad is not None:
-                raise _ERRORS[bad["status"]](bad["path"])
-            return self._append(judged, live, time or dt.datetime.now(dt.timezone.utc), mask)
+            at = F.timestamp_millis(F.lit(int(begin.timestamp() * 1000)) + F.col("seq") - base - 1)
+            out = numbered(ok, ["place", "path"], base, "seq", folder).withColumn("change_time", at).withColumn("create_time", F.coalesce("create_time", at))
+            self.log.commit(out.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.fields]), number)
         finally:
-            live.unpersist()
+            self.log.remove(folder)
+        made = self.log.read(number, number).select("path", "version", F.col("change_time").alias("update_time"))
+        status = folded.select("place", "path", "op", "status", "results", F.when(F.col("status") == "OK", F.col("version")).alias("version"))
+        return Committed(base, status.join(made, ["path", "version"], "left"))
+
+    def commit(self, writes: DataFrame, *, transaction: str | None = None, time: dt.datetime | None = None, mask: list[str] | None = None) -> Committed:
+        """All writes in their order or none; a writer that was overtaken by another is aborted."""
+        time, number = time or dt.datetime.now(dt.timezone.utc), self.log.next_number()
+        if transaction is not None:
+            self.transactions.check(transaction, changes.live(self._recent(number)), writing=True)
+        folded, folder = self._folded(writes, number, time, mask)
+        bad = folded.where("status <> 'OK'").orderBy("place").first()
+        if bad is not None:
+            self.log.remove(folder)
+            raise _ERRORS[bad["status"]](bad["path"])
+        return self._append(folded, number, time)
 
     def batch_write(self, writes: DataFrame, time: dt.datetime | None = None) -> DataFrame:
-        """Each write on its own: those that can, are made; path, op and status of all."""
-        live = self.live().cache()
-        judged = mutate.judged(live, writes)
-        status = self.spark.createDataFrame(judged.select("path", "op", "status").collect(), "path string, op string, status string")  # a request, not a table
-        self._append(judged, live, time or dt.datetime.now(dt.timezone.utc), None)
-        live.unpersist()
-        return status
-
-    def create(self, path: str, values: dict) -> int:
+        """Each write on its own, in their order: those that can, are made; place, path, op, status, version and update_time of all, as a table."""
+        time, number = time or dt.datetime.now(dt.timezone.utc), self.log.next_number()
+        folded, _ = self._folded(writes, number, time, None)
+        return self._append(folded, number, time).writes
+
+    def end(self, transaction: str) -> None:
+        """Commit a transaction that has no writes."""
+        self.transactions.check(transaction, self.live(), writing=False)
+
+    def create(self, path: str, values: dict) -> Committed:
         return self.commit(self.writes([(mutate.INSERT, path, values)]))
 
-    def update(self, path: str, values: dict, mask: list[str] | None = None) -> int:
+    def update(self, path: str, values: dict, mask: list[str] | None = None) -> Committed:
         return self.commit(self.writes([(mutate.UPDATE, path, values)]), mask=mask)
 
-    def upsert(self, path: str, values: dict) -> int:
+    def upsert(self, path: str, values: dict) -> Committed:
         return self.commit(self.writes([(mutate.UPSERT, path, values)]))
 
-    def delete(self, path: str) -> int:
+    def delete(self, path: str) -> Committed:
         return self.commit(self.writes([(mutate.DELETE, path, {})]))
 
     def sink(self, batch: DataFrame, _: int) -> None:

@@ -27,6 +27,7 @@ def _leaf(raw: Column) -> dict[str, Column]:
         "rank": rank,
         "real": F.when(get("booleanValue").isNotNull(), (get("booleanValue") == "true").cast("int")).when(num.isNotNull(), F.when(nan, 0).otherwise(1)),
         "num": F.when(num.isNotNull(), number),
+        "exact": F.coalesce(get("integerValue").try_cast("long"), F.when(~nan, V._exact(number, False))),
         "ts": get("timestampValue").cast("timestamp"),
         "text": get("stringValue"),
         "bin": F.unbase64(get("bytesValue")),

@@ -185,7 +185,7 @@ def test_watch_stream_equals_batch(spark, log, tmp_path):
 def test_change_log_commits(spark, log, tmp_path):
     cl = ChangeLog(spark, "file://" + str(tmp_path / "cl"))
     assert cl.commit(log.where("seq <= 3")) == 0 and cl.commit(log.where("seq > 3")) == 1
-    log.write.parquet(str(tmp_path / "cl/data/lost"))  # a commit that was never published
+    log.write.parquet(cl.staging())  # a commit that was never published
     assert cl.read().count() == 6 and cl.read(upto=0).count() == 3
 
 

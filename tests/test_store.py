@@ -49,6 +49,84 @@ def test_store(spark, tmp_path):
     with pytest.raises(Aborted):
         s.commit(s.writes([("upsert", "w/z", {"v": 2})]), transaction=two)
     assert s.get("w/z").v == 1 and s.list(2).count() == 2 and s.batch_get(["w/a", "w/q"]).where("found").count() == 1
+    s.snapshot()
+    before = s.live().orderBy("path").collect()
+    s.upsert("w/z", {"v": 3})
+    assert s.get("w/z").v == 3 and s.live().where("path <> 'w/z'").count() == len(before) - 1 and s.changes().count() == s.current_seq()
+
+
+def test_read_only_transactions_cannot_write(spark, tmp_path):
+    s = Store(spark, "file://" + str(tmp_path / "s"), "w", "v int")
+    t = s.transactions.begin(read_only=True)
+    with pytest.raises(FailedPrecondition):
+        s.commit(s.writes([("insert", "w/a", {"v": 1})]), transaction=t)
+    with pytest.raises(NotFound):
+        s.transactions.rollback(t)
+    assert s.current_seq() == 0 and not s.log.commits()
+    u = s.transactions.begin(read_only=True)
+    s.end(u)
+    with pytest.raises(NotFound):
+        s.end(u)
+
+
+def test_writes_to_one_path_go_in_order(spark, tmp_path):
+    s = Store(spark, "file://" + str(tmp_path / "s"), "w", "v int, tag string")
+    with pytest.raises(AlreadyExists):
+        s.commit(s.writes([("insert", "w/a", {"v": 1}), ("insert", "w/a", {"v": 2})]))
+    assert s.current_seq() == 0
+    s.commit(s.writes([("insert", "w/a", {"v": 1}), ("upsert", "w/b", {"v": 5}), ("update", "w/a", {"v": 2}), ("delete", "w/a", {}), ("insert", "w/a", {"v": 3})]))
+    assert [(r.seq, r.path, r.version, r.deleted, r.v) for r in s.changes().orderBy("seq").collect()] == [(1, "w/a", 1, False, 1), (2, "w/b", 1, False, 5), (3, "w/a", 2, False, 2), (4, "w/a", 3, True, None), (5, "w/a", 4, False, 3)]
+    times = [r.change_time for r in s.changes().orderBy("seq").collect()]
+    assert all(b - a >= dt.timedelta(milliseconds=1) for a, b in zip(times, times[1:], strict=False))
+    got = s.batch_write(s.writes([("insert", "w/a", {}), ("delete", "w/a", {}), ("insert", "w/a", {"v": 7}), ("update", "w/x", {})])).orderBy("place").collect()
+    assert [r.status for r in got] == ["ALREADY_EXISTS", "OK", "OK", "NOT_FOUND"] and [r.version for r in got] == [None, 5, 6, None]
+    assert got[1].update_time > times[-1] and s.get("w/a").v == 7
+
+
+def test_masks_transforms_and_update_times(spark, tmp_path):
+    s = Store(spark, "file://" + str(tmp_path / "s"), "w", "n long, d double, at timestamp, tags array<string>, m struct<x: int, y: struct<z: string, k: long>>")
+    s.create("w/a", {"n": 5, "d": 1.5, "tags": ["a", "b", "a"], "m": (1, ("q", 4))})
+    mask = s.writes([("update", "w/a", {"n": 1, "m": (9, ("new", None))})], masks=[["m.y.z", "m.y.k", "d"]])
+    s.commit(mask)
+    a = s.get("w/a")
+    assert (a.n, a.d, tuple(a.m.y), a.m.x, a.tags) == (5, None, ("new", None), 1, ["a", "b", "a"])
+    first = a.change_time.replace(tzinfo=dt.timezone.utc)
+    with pytest.raises(FailedPrecondition):
+        s.commit(s.writes([("upsert", "w/a", {"n": 1})], update_time=first - dt.timedelta(milliseconds=1)))
+    with pytest.raises(FailedPrecondition):
+        s.commit(s.writes([("upsert", "w/none", {"n": 1})], update_time=first))
+    wanted = [("n", "increment", 3), ("d", "increment", 2), ("d", "maximum", 7.5), ("n", "minimum", 100), ("tags", "append_missing_elements", ["b", "c", "c"]), ("at", "request_time", None), ("m.y.k", "increment", 4)]
+    when = dt.datetime(2030, 5, 6, tzinfo=dt.timezone.utc)
+    done = s.commit(s.writes([("upsert", "w/a", {})], masks=[[]], transforms=[wanted], update_time=first), time=when).writes.first()
+    a = s.get("w/a")
+    assert (a.n, a.d, a.tags, a.m.y.k, a.m.y.z) == (8, 7.5, ["a", "b", "a", "c", "c"], 4, "new") and a.at.replace(tzinfo=dt.timezone.utc) == when
+    assert done.results[:2] == ["8", "7.5"] and done.results[4] == '["a","b","a","c","c"]' and done.results[6] == "4" and done.version == 3
+    two = s.writes([("upsert", "w/a", {}), ("upsert", "w/new", {"n": 1})], masks=[[], None], transforms=[[("tags", "remove_all_from_array", ["a"])], [("n", "increment", 2), ("tags", "append_missing_elements", ["x", "x"])]])
+    s.commit(two)
+    assert s.get("w/a").tags == ["b", "c", "c"] and (s.get("w/new").n, s.get("w/new").tags) == (3, ["x", "x"])
+    with pytest.raises(InvalidArgument):
+        s.writes([("upsert", "w/a", {})], transforms=[[("n", "double", 2)]])
+
+
+def test_overtaken_writers_are_aborted(spark, tmp_path):
+    root = "file://" + str(tmp_path / "s")
+    one, two = Store(spark, root, "w", "v int"), Store(spark, root, "w", "v int")
+    one.create("w/a", {"v": 1})
+    number = one.log.next_number()
+    read = two._append
+
+    def slow(folded, number, time):
+        one.upsert("w/a", {"v": 2})  # the other publishes while this one has judged its writes
+        return read(folded, number, time)
+
+    two._append = slow
+    with pytest.raises(Aborted):
+        two.upsert("w/a", {"v": 3})
+    assert one.get("w/a").v == 2 and one.current_seq() == 2 and one.log.next_number() == number + 1
+    one.log._lock(2)  # a writer that holds the number
+    with pytest.raises(Aborted):
+        one.upsert("w/a", {"v": 4})
+    assert one.current_seq() == 2
 
 
 def test_streams(spark, tmp_path):
@@ -59,6 +137,7 @@ def test_streams(spark, tmp_path):
     q = spark.readStream.schema("op string, path string, v int").parquet(str(tmp_path / "in")).writeStream.foreachBatch(s.sink).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert s.live().count() == 2
+    s.changes().withColumn("path", F.lit("w/lost")).write.parquet(s.log.staging())  # a writer that never published
     e = s.watch({"big": F.col("v") > 3}).writeStream.format("memory").queryName("store_events").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     e.awaitTermination(120)
     spark.streams.removeListener(beat.listener)
