@@ -73,6 +73,12 @@ def check_id(document_id: str) -> str:
     return document_id
 
 
+def refused_id(document_id: Column) -> Column:
+    """``check_id`` over a column: whether an id would be refused."""
+    reserved = document_id.rlike("^__.*__$") & ~document_id.rlike(r"^__id-?\d+__$")
+    return document_id.isNull() | (document_id == "") | document_id.contains("/") | reserved
+
+
 def document_id(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -8,6 +8,7 @@ for each kind of payload sorts across types by plain comparison: no UDF.
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
 import json
 import math
@@ -16,6 +17,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .paths import path_key
 
@@ -55,25 +57,20 @@ def rank_of(v: Any) -> int:
 
 
 def canonical(v: Any) -> str:
-    """JSON with sorted keys and type tags where JSON itself can't tell types apart."""
+    """The wire form of a value, with sorted keys: JSON that tells all types apart."""
 
     def plain(x):
         r = rank_of(x)
         if r == NUMBER and isinstance(x, float):
-            return {"$d": "NaN" if math.isnan(x) else repr(x)}
-        if r in (NULL, BOOLEAN, NUMBER, STRING):
-            return x
-        if r == TIMESTAMP:
-            return {"$t": x.isoformat()}
-        if r == BYTES:
-            return {"$b": bytes(x).hex()}
-        if r == REFERENCE:
-            return {"$r": x.path}
-        if r == GEO:
-            return {"$g": [x.lat, x.lng]}
+            return {"doubleValue": x if math.isfinite(x) else "NaN" if math.isnan(x) else "Infinity" if x > 0 else "-Infinity"}
         if r == VECTOR:
-            return {"$v": list(x.values)}
-        return [plain(y) for y in x] if r == ARRAY else {k: plain(x[k]) for k in sorted(x)}
+            return plain({"__type__": "__vector__", "value": [float(y) for y in x.values]})
+        tag = {
+            NULL: lambda: ("nullValue", None), BOOLEAN: lambda: ("booleanValue", x), NUMBER: lambda: ("integerValue", str(x)), TIMESTAMP: lambda: ("timestampValue", x.isoformat()), STRING: lambda: ("stringValue", x),
+            BYTES: lambda: ("bytesValue", base64.b64encode(bytes(x)).decode()), REFERENCE: lambda: ("referenceValue", x.path), GEO: lambda: ("geoPointValue", {"latitude": x.lat, "longitude": x.lng}),
+            ARRAY: lambda: ("arrayValue", {"values": [plain(y) for y in x]}), MAP: lambda: ("mapValue", {"fields": {k: plain(x[k]) for k in sorted(x)}}),
+        }[r]
+        return dict([tag()])
 
     return json.dumps(plain(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
@@ -160,3 +157,57 @@ def lift(c: Column, kind: str) -> Column:
     key = F.struct(F.when(c.isNull(), F.lit(NULL)).otherwise(F.lit(rank)).alias("rank"), *[F.when(c.isNotNull(), x).alias(k) for k, x in got.items()], F.lit(None).cast("int").alias("size"), F.lit(None).cast(kind_of_items).alias("items"))
     exact = c.cast("long") if kind in ("bigint", "int") else F.lit(None).cast("long")
     return F.struct(key.cast(KEY).alias("key"), exact.alias("int"), F.lit(None).cast("string").alias("json")).cast(VALUE)
+
+
+LEAF_NAMES = [x.split(":")[0] for x in "rank:int,real:int,num:double,exact:bigint,ts,text,bin,ref,lat,lng".split(",")]
+
+
+def _simple(kind: T.DataType) -> str | None:
+    """The name under which ``lift`` knows a scalar type."""
+    if isinstance(kind, (T.ByteType, T.ShortType)):
+        return "int"
+    if isinstance(kind, T.DecimalType):
+        return "double"
+    if isinstance(kind, T.DateType):
+        return "timestamp"
+    name = kind.simpleString()
+    return name if name in ("boolean", "bigint", "int", "double", "float", "timestamp", "timestamp_ntz", "string", "binary") else None
+
+
+def lift_any(c: Column, kind: T.DataType) -> Column:
+    """A column of any stored type as a dynamic value: arrays and structs one level down, deeper ones as JSON."""
+    name = _simple(kind)
+    if name is not None:
+        return lift(c.cast("double") if isinstance(kind, T.DecimalType) else c, name)
+
+    def item(label: Column, x: Column, inner: T.DataType) -> Column:
+        if _simple(inner) is not None:
+            key = lift_any(x, inner)["key"]
+            leaf = [key[n].alias(n) for n in LEAF_NAMES]
+            deep = F.lit(None).cast("string")
+        else:
+            rank = ARRAY if isinstance(inner, T.ArrayType) else MAP
+            empty = {k: v for k, v in _leaf_fields(None, NULL).items() if k != "rank"}
+            leaf = [F.when(x.isNull(), NULL).otherwise(rank).alias("rank"), *(v.alias(k) for k, v in empty.items())]
+            deep = F.to_json(F.struct(x.alias("v")))
+        return F.struct(label.alias("name"), *leaf, deep.alias("json"))
+
+    if isinstance(kind, T.ArrayType):
+        rank, items = ARRAY, F.transform(c, lambda x: item(F.lit(""), x, kind.elementType))
+    else:
+        rank = MAP
+        each = [F.when(c[f.name].isNotNull(), item(F.lit(f.name), c[f.name], f.dataType).cast(ITEMS[6:-1])) for f in sorted(kind.fields, key=lambda f: f.name.encode())]
+        items = F.filter(F.array(*each), lambda x: x.isNotNull())
+    return _held(c, rank, items, F.lit(None).cast("int"))
+
+
+def lift_vector(c: Column) -> Column:
+    """An array of numbers as a vector value."""
+    items = F.transform(c.cast("array<double>"), lambda x: F.struct(F.lit("").alias("name"), *[lift(x, "double")["key"][n].alias(n) for n in LEAF_NAMES], F.lit(None).cast("string").alias("json")))
+    return _held(c, VECTOR, items, F.size(c))
+
+
+def _held(c: Column, rank: int, items: Column, size: Column) -> Column:
+    none = [F.lit(None).alias(n) for n in LEAF_NAMES if n != "rank"]
+    key = F.struct(F.when(c.isNull(), NULL).otherwise(rank).alias("rank"), *none, F.when(c.isNotNull(), size).alias("size"), F.when(c.isNotNull(), items.cast(ITEMS)).alias("items"))
+    return F.struct(key.cast(KEY).alias("key"), F.lit(None).cast("long").alias("int"), F.lit(None).cast("string").alias("json")).cast(VALUE)

@@ -40,17 +40,14 @@ def _wide(i: Column) -> Column:
     return F.sum(i.cast("decimal(38,0)"))
 
 
-def exact_double_sum(x: Column) -> Column:
-    """A sum of doubles."""
-    return F.sum(x)
-
-
 def aggregate(db, q: Query, aggregations) -> DataFrame:
     """One row with a column for each aggregation.
 
-    A sum is a struct-free pair of meanings folded into one column: long where
-    all inputs are integers by type, double otherwise; for dynamic collections
-    ``<alias>`` is double and ``<alias>_int`` the exact integer or null.
+    A sum is long where all inputs are integers by type, double otherwise; for
+    dynamic collections ``<alias>`` is double and ``<alias>_int`` the exact
+    integer or null.  A sum of 64-bit integers decides its type by its value
+    (double if it leaves the range), so such a request runs when it is made and
+    its one row comes back.
     """
     required = required_for(aggregations)
     plan = analyze(q)
@@ -79,7 +76,7 @@ def aggregate(db, q: Query, aggregations) -> DataFrame:
     rows = reduce(lambda a, b: a.unionByName(b), frames)
     at = {f: i for i, f in enumerate(dict.fromkeys(fields))}
     dynamic = any(c.dynamic for s in (q.selectors or (Selector("", True),)) for c in db.tables_of(s))
-    out = []
+    out, by_value = [], []
     for i, a in enumerate(aggregations):
         alias = a.alias or f"property_{i + 1}"
         if isinstance(a, Count):
@@ -99,15 +96,20 @@ def aggregate(db, q: Query, aggregations) -> DataFrame:
             out.append(F.coalesce(F.sum(d), F.lit(0.0)).alias(alias))
             out.append(F.when(only_ints & fits, whole.cast("long")).alias(alias + "_int"))
         elif all(isinstance(c.typed(a.field)[1], T.IntegralType) for s in (q.selectors or ()) for c in db.tables_of(s)):
-            # The column is long; beyond its range the sum is null here and ``sum_as_double`` has it.
-            out.append(F.when(fits, whole.try_cast("long")).alias(alias))
+            if any(isinstance(c.typed(a.field)[1], T.LongType) for s in (q.selectors or ()) for c in db.tables_of(s)):
+                by_value.append(alias)
+                out += [F.when(fits, whole.try_cast("long")).alias(alias), whole.cast("double").alias(f"_real_{alias}")]
+            else:
+                out.append(whole.cast("long").alias(alias))
         else:
             out.append(F.coalesce(F.sum(d), F.lit(0.0)).alias(alias))
-    return rows.agg(*out)
+    result = rows.agg(*out)
+    return _typed_by_value(result, by_value) if by_value else result
 
 
-def sum_as_double(df: DataFrame, c: Column, alias: str) -> DataFrame:
-    """An integer sum as entities return it beyond 64 bits: exact in decimals, then a double, with a flag."""
-    wide = F.coalesce(_wide(c), F.lit(0).cast("decimal(38,0)"))
-    fits = (wide <= LONG_MAX) & (wide >= -LONG_MAX - 1)
-    return df.agg(wide.cast("double").alias(alias), fits.alias(alias + "_is_int"))
+def _typed_by_value(result: DataFrame, aliases: list[str]) -> DataFrame:
+    """The one row of a request, each of these sums as a long, or as a double where it is none."""
+    row = result.first().asDict()
+    real = {a: row[f"_real_{a}"] for a in aliases if row[a] is None}
+    fields = [T.StructField(f.name, T.DoubleType() if f.name in real else f.dataType) for f in result.schema.fields if not f.name.startswith("_real_")]
+    return result.sparkSession.createDataFrame([tuple(real.get(f.name, row[f.name]) for f in fields)], T.StructType(fields))

@@ -68,3 +68,18 @@ def diff(log: DataFrame, matches, from_seq: int, to_seq: int) -> DataFrame:
     )
     kind = F.when(F.col("_is"), "CHANGE").when(F.col("_was") & F.col("_r.deleted"), "DELETE").when(F.col("_was"), "REMOVE")
     return got.withColumn("change", kind).where("change is not null").select("path", "change", *[F.col(f"_r.`{c}`").alias(c) for c in rest])
+
+
+def diff_time(log: DataFrame, matches, since) -> DataFrame:
+    """``diff`` between a moment and the end of the log."""
+    rest = [c for c in log.columns if c != "path"]
+    row, hit = F.struct(*rest), F.coalesce(matches, F.lit(False)) & ~F.col("deleted")
+    old = F.col("change_time") <= F.lit(since)
+    got = (
+        log.withColumn("_hit", hit)
+        .groupBy("path")
+        .agg(F.coalesce(F.max_by("_hit", F.when(old, F.col("seq"))), F.lit(False)).alias("_was"), F.max_by("_hit", F.col("seq")).alias("_is"), F.max("change_time").alias("_last"), F.max_by(row, F.col("seq")).alias("_r"))
+        .where(F.col("_last") > F.lit(since))
+    )
+    kind = F.when(F.col("_is"), "CHANGE").when(F.col("_was") & F.col("_r.deleted"), "DELETE").when(F.col("_was"), "REMOVE")
+    return got.withColumn("change", kind).where("change is not null").select("path", "change", *[F.col(f"_r.`{c}`").alias(c) for c in rest])

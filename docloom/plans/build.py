@@ -6,6 +6,7 @@ top-k, filters on stored columns reach the scan.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -145,12 +146,42 @@ def expand_projection(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(*[F.explode_outer(f).alias(f) if f == first else F.col(f) for f in fields])
 
 
+def as_dynamic(df: DataFrame, c: Collection) -> DataFrame:
+    """The common form of documents of any collection: path and a map of dynamic values."""
+    if c.dynamic:
+        return df.select(PATH, "fields")
+    each = []
+    for f in df.schema.fields:
+        if f.name != PATH:
+            col = F.col(f"`{f.name}`")
+            entry = F.struct(F.lit(f.name).alias("key"), V.lift_any(col, f.dataType).alias("value"))
+            each.append(entry if f.name in c.nulls else F.when(col.isNotNull(), entry))
+    return df.select(PATH, F.map_from_entries(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("fields"))
+
+
+def _kindless(db, q: Query, plan: Plan, s: Selector) -> DataFrame:
+    """Documents of all collections in one form; ordered and limited as one."""
+    inner = replace(plan, query=replace(q, limit=None, offset=0, order=()), order=[])
+    every = reduce(lambda a, b: a.unionByName(b), [as_dynamic(one_selector(inner, c), c) for c in db.scans(s, q.parent)])
+    whole = Collection("", every, virtual_ids=False)
+    if q.limit or q.offset or q.order:
+        every = every.orderBy(*[k for o in plan.order for k in sort_keys(o, whole, q.flavour)])
+        every = every.offset(q.offset) if q.offset else every
+        every = every.limit(q.limit) if q.limit and q.limit > 0 else every
+    return project(every, q, whole)
+
+
 def build(db, q: Query) -> DataFrame:
     """The rows of a query; order and limit hold for each selector, results follow each other."""
     plan = analyze(q)
     selectors = q.selectors or (Selector("", True),)
     parts = []
     for s in selectors:
+        if not s.collection and db.tables:
+            if q.flavour == ENTITY:
+                continue  # entities always have a kind
+            parts.append(_kindless(db, q, plan, s))
+            continue
         for c in db.scans(s, q.parent):
             parts.append(project(one_selector(plan, c), q, c))
     if not parts:
@@ -160,8 +191,6 @@ def build(db, q: Query) -> DataFrame:
 
 def limit_to_last(db, q: Query) -> DataFrame:
     """The last ``limit`` rows in ascending order: reversed order and limit, then sorted forwards."""
-    from dataclasses import replace
-
     plan = analyze(q)
     back = replace(q, order=tuple(Order(o.field, not o.descending) for o in plan.order))
     (c,) = db.scans(q.selectors[0], q.parent)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
 from ..functions import values as V
-from ..functions.paths import path_key, under
+from ..functions.paths import path_key
 from .model import CONTAINS, CONTAINS_ANY, ENTITY, EQ, GE, GT, HAS_ANCESTOR, IN, IS_NAN, IS_NOT_NAN, IS_NOT_NULL, IS_NULL, KEY, LE, LT, NAME, NE, NOT_IN, And, Or, Where
 
 RANGES = {LT: "__lt__", LE: "__le__", GT: "__gt__", GE: "__ge__"}
@@ -50,13 +50,11 @@ def compile_filter(where, source, flavour: str) -> Column:
 def _name(w: Where, source) -> Column:
     path = source.path
     if w.op == HAS_ANCESTOR:
-        return under(path, w.value, itself=True)
-    if w.op == EQ:
-        return path == w.value
+        return source.under(w.value, itself=True)
+    if w.op in (EQ, IN):
+        return source.by_ids([w.value] if w.op == EQ else list(w.value))
     if w.op == NE:
         return path != w.value
-    if w.op == IN:
-        return path.isin(list(w.value)) if w.value else _false()
     if w.op == NOT_IN:
         return ~path.isin(list(w.value)) if w.value else F.lit(True)
     if w.op in RANGES:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,9 @@ class Collection:
 
     ``nulls``: typed columns whose null is an explicit null instead.
     ``unindexed``: properties that never match a filter.
-    ``key``: the column that is the last path segment, so that lookups by path
-    become filters on a stored column, which the scan can push down.
+    ``parts``: (collection id, column or literal id) from the top down to the
+    document itself, so that lookups by path and by ancestor become filters on
+    stored columns, which the scan can push down.
     """
 
     name: str
@@ -32,6 +34,7 @@ class Collection:
     virtual_ids: bool = False
     key: str | None = None
     prefix: str | None = None
+    parts: tuple[tuple[str, Column | str], ...] | None = None
 
     @property
     def path(self) -> Column:
@@ -55,13 +58,48 @@ class Collection:
     def value(self, field_path: str) -> Column:
         return F.col("fields")[".".join(P.parse_field_path(field_path))]
 
+    def _is(self, part: Column | str, wanted: str) -> Column:
+        """Whether a part of the path has this id."""
+        if isinstance(part, str):
+            return F.lit(part == wanted)
+        kind = self.df.select(part).schema[0].dataType
+        if isinstance(kind, T.IntegralType):
+            number = int(wanted) if wanted.lstrip("-").isdigit() else None
+            return part == F.lit(number).cast(kind) if number is not None and str(number) == wanted else F.lit(False)
+        return part == F.lit(wanted) if isinstance(kind, T.StringType) else part.cast("string") == F.lit(wanted)
+
+    def under(self, ancestor: str, itself: bool = False) -> Column:
+        """The documents below an ancestor, by their columns where these are known."""
+        if self.parts is None or not ancestor:
+            return P.under(self.path, ancestor, itself)
+        segments = ancestor.split("/")
+        depth = len(segments) // 2
+        if len(segments) % 2 or depth > len(self.parts) or (depth == len(self.parts) and not itself):
+            return F.lit(False)
+        if any(c != part[0] for c, part in zip(segments[::2], self.parts, strict=False)):
+            return F.lit(False)
+        return reduce(lambda a, b: a & b, (self._is(part[1], i) for i, part in zip(segments[1::2], self.parts, strict=False)))
+
+    def parts_match(self, path: str) -> bool:
+        """Whether a path can be one of this table's."""
+        segments = path.split("/")
+        return len(segments) == 2 * len(self.parts) and all(c == part[0] for c, part in zip(segments[::2], self.parts, strict=True))
+
     def by_ids(self, paths: list[str]) -> Column:
-        """The documents of these paths, through the key column where there is one."""
-        if self.key and self.prefix is not None:
-            ids = [p.rpartition("/")[2] for p in paths if p.rpartition("/")[0] == self.prefix]
-            kind = self.df.schema[self.key].dataType
-            return F.col(self.key).isin([int(i) if isinstance(kind, T.IntegralType) else i for i in ids if not isinstance(kind, T.IntegralType) or i.lstrip("-").isdigit()])
-        return self.path.isin(paths)
+        """The documents of these paths, by their columns where these are known."""
+        if self.parts is None:
+            return self.path.isin(paths) if paths else F.lit(False)
+        depth, last = 2 * len(self.parts), self.parts[-1][1]
+        fit = [p for p in paths if p.count("/") + 1 == depth]
+        if self.prefix is not None and isinstance(last, Column):  # one parent: a list of keys
+            kind = self.df.select(last).schema[0].dataType
+            ids = [p.rpartition("/")[2] for p in fit if p.rpartition("/")[0] == self.prefix]
+            if isinstance(kind, T.IntegralType):
+                keys = [int(i) for i in ids if i.lstrip("-").isdigit() and str(int(i)) == i]
+            else:
+                keys = ids
+            return (last if isinstance(kind, (T.IntegralType, T.StringType)) else last.cast("string")).isin(keys) if keys else F.lit(False)
+        return reduce(lambda a, b: a | b, (self.under(p, itself=True) for p in fit)) if fit else F.lit(False)
 
 
 @dataclass
@@ -74,17 +112,28 @@ class Database:
     namespace: str = ""
     tables: dict[str, list[Collection]] = field(default_factory=dict)
 
-    def register(self, collection: str, df: DataFrame, *, key: str | None = None, parent: Column | str = "", path: Column | None = None, **kw) -> Collection:
-        """Add a table; the path is ``parent/collection/key`` unless given."""
+    def register(self, collection: str, df: DataFrame, *, key: str | None = None, parent: Column | str | tuple = "", path: Column | None = None, **kw) -> Collection:
+        """Add a table; the path is ``parent/collection/key`` unless given.
+
+        ``parent``: a path, a Column of paths, or pairs of (collection id, column)
+        from the top down, through which ancestors can be pushed to the scan.
+        """
         if path is None:
             if key is None:
                 raise InvalidArgument("a collection needs a key column or a path")
-            if isinstance(parent, str):
-                prefix = f"{parent}/{collection}" if parent else collection
-                path = F.concat(F.lit(prefix + "/"), F.col(key).cast("string"))
-                kw.setdefault("prefix", prefix)
-            else:
+            if isinstance(parent, Column):
                 path = F.concat(parent, F.lit(f"/{collection}/"), F.col(key).cast("string"))
+            else:
+                if isinstance(parent, str):
+                    kw.setdefault("prefix", f"{parent}/{collection}" if parent else collection)
+                    segments = parent.split("/") if parent else []
+                    parts = list(zip(segments[::2], segments[1::2], strict=True))
+                else:
+                    parts = [(c, F.col(f"`{name}`")) for c, name in parent]
+                parts.append((collection, F.col(f"`{key}`")))
+                kw.setdefault("parts", tuple(parts))
+                each = [x for c, i in parts for x in (F.lit(f"/{c}/"), F.lit(i) if isinstance(i, str) else i.cast("string"))]
+                path = F.substring(F.concat(*each), 2, 1 << 30)
         held = Collection(collection, df.withColumn(PATH, path), key=key, **kw)
         self.tables.setdefault(collection, []).append(held)
         return held
@@ -102,13 +151,15 @@ class Database:
         for c in self.tables_of(s):
             df = c.df
             if s.descendants:
-                df = df.where(P.under(c.path, parent)) if parent else df
+                df = df.where(c.under(parent)) if parent else df
             elif c.prefix is not None:
                 want = f"{parent}/{c.name}" if parent else c.name
                 df = df if c.prefix == want else df.where(F.lit(False))
+            elif c.parts is not None:
+                df = df.where(c.under(parent) if parent.count("/") // 2 + 1 == len(c.parts) - 1 else F.lit(False))
             else:
                 df = df.where(P.parent_path(c.path) == parent)
-            out.append(Collection(c.name, df, c.nulls, c.unindexed, c.virtual_ids, c.key, c.prefix))
+            out.append(replace(c, df=df))
         return out
 
     def kindless(self, parent: str = "") -> DataFrame:
@@ -124,6 +175,8 @@ class Database:
         collection = path.split("/")[-2]
         for c in self.tables.get(collection, []):
             hit = c.df.where(c.by_ids([path]) & (c.path == path))
+            if c.parts is not None and not c.parts_match(path):
+                continue
             return hit.select(PATH, *(f"`{m}`" for m in mask)) if mask else hit
         raise NotFound(path)
 

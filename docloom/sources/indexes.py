@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import NotFound
 from ..functions import values as V
 from ..sources.database import PATH
 
@@ -27,10 +29,24 @@ def parse_index_config(text: str) -> list[dict]:
         elif key == "direction" and out and out[-1]["properties"]:
             out[-1]["properties"][-1] = (out[-1]["properties"][-1][0], value.lower())
     for d in out:
-        d["id"] = hashlib.md5(repr((d["kind"], d["ancestor"], d["properties"])).encode()).hexdigest()[:16]
+        d["id"] = hashlib.md5(json.dumps([d["kind"], d["ancestor"], d["properties"]], separators=(",", ":")).encode()).hexdigest()[:16]
     return out
 
 
+def get_index(indexes: list[dict], index_id: str) -> dict:
+    """One index by its id."""
+    for d in indexes:
+        if d["id"] == index_id:
+            return d
+    raise NotFound(f"index {index_id}")
+
+
+def index_frame(spark: SparkSession, indexes: list[dict]) -> DataFrame:
+    """A row for each index: id, kind, ancestor, and its properties as text."""
+    rows = [(d["id"], d["kind"], d["ancestor"], ", ".join(f"{n} {x}" for n, x in d["properties"])) for d in indexes]
+    return spark.createDataFrame(rows, "index_id string, kind string, ancestor boolean, properties string")
+
+
 def field_index(docs: DataFrame) -> DataFrame:
     """Index rows of a dynamic collection: one for each scalar, one for each scalar element of an array, one marker for maps and empty arrays."""
     each = docs.select(PATH, F.explode("fields").alias("field", "value")).select(PATH, "field", F.col("value.key").alias("k"))
@@ -47,3 +63,11 @@ def statistics(tables: dict[str, DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a table is read from."""
+    spark = df.sparkSession
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    each = [path(f) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in each)

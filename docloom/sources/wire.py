@@ -1,17 +1,21 @@
 """The JSON wire form of documents: every value is an object with one tag.
 
-``decode`` and ``encode`` are from_json / to_json plans; array elements and the
-fields of nested maps are decoded one level down, deeper ones keep their JSON.
+``decode`` and ``encode`` are from_json / to_json plans for all types of values;
+array elements and the fields of nested maps are decoded one level down, deeper
+ones keep their JSON.  ``encode`` writes typed columns, ``encode_fields`` dynamic
+documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..functions.paths import path_key
 
+VECTOR_FIELDS = "$.mapValue.fields.value.arrayValue.values"
 
 
 def _leaf(raw: Column) -> dict[str, Column]:
@@ -40,13 +44,16 @@ def _leaf(raw: Column) -> dict[str, Column]:
 def value(raw: Column) -> Column:
     """One tagged JSON value as a dynamic value."""
     top = _leaf(raw)
+    vector = F.coalesce(F.get_json_object(raw, "$.mapValue.fields.__type__.stringValue") == "__vector__", F.lit(False))
+    top["rank"] = F.when(vector, V.VECTOR).otherwise(top["rank"])
+    numbers = F.from_json(F.get_json_object(raw, VECTOR_FIELDS), "array<string>")
     elements = F.from_json(F.get_json_object(raw, "$.arrayValue.values"), "array<string>")
     entries = F.map_entries(F.from_json(F.get_json_object(raw, "$.mapValue.fields"), "map<string,string>"))
     item = lambda name, x: F.struct(name.alias("name"), *[c.alias(k) for k, c in _leaf(x).items()], F.when(F.get_json_object(x, "$.arrayValue").isNotNull() | F.get_json_object(x, "$.mapValue").isNotNull(), x).alias("json"))
     items = F.when(top["rank"] == V.ARRAY, F.coalesce(F.transform(elements, lambda x: item(F.lit(""), x)), F.array().cast(f"array<struct<name:string,{V._LEAF},json:string>>"))).when(
         top["rank"] == V.MAP, F.array_sort(F.transform(entries, lambda e: item(e["key"], e["value"])))
-    )
-    key = F.struct(*[c.alias(k) for k, c in top.items()], F.lit(None).cast("int").alias("size"), items.alias("items"))
+    ).when(vector, F.transform(numbers, lambda x: item(F.lit(""), x)))
+    key = F.struct(*[c.alias(k) for k, c in top.items()], F.when(vector, F.size(numbers)).alias("size"), items.alias("items"))
     return F.struct(key.cast(V.KEY).alias("key"), F.get_json_object(raw, "$.integerValue").try_cast("long").alias("int"), raw.alias("json")).cast(V.VALUE)
 
 
@@ -56,12 +63,102 @@ def decode(df: DataFrame, column: str = "json") -> DataFrame:
     return df.select(F.get_json_object(F.col(column), "$.name").alias("name"), F.transform_values(F.coalesce(raw, F.create_map().cast("map<string,string>")), lambda _, v: value(v)).alias("fields"))
 
 
-def encode(df: DataFrame, name: Column, columns: list[str]) -> Column:
-    """Typed columns of a DataFrame as a wire document; null columns are left out."""
+def _quoted(c: Column) -> Column:
+    """A string as JSON text."""
+    whole = F.to_json(F.array(c))
+    return whole.substr(F.lit(2), F.length(whole) - 2)
+
+
+def _instant(c: Column) -> Column:
+    return F.date_format(F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def _tag(name: str, shown: Column) -> Column:
+    return F.concat(F.lit('{"' + name + '":'), shown, F.lit("}"))
+
+
+def _array(each: Column) -> Column:
+    return F.concat(F.lit('{"arrayValue":{"values":['), F.concat_ws(",", each), F.lit("]}}"))
+
+
+def _map(fields: Column) -> Column:
+    return F.concat(F.lit('{"mapValue":{"fields":{'), fields, F.lit("}}}"))
+
+
+def _vector(numbers: Column) -> Column:
+    values = _array(F.transform(numbers, lambda x: F.to_json(F.struct(x.alias("doubleValue")))))
+    return _map(F.concat(F.lit('"__type__":{"stringValue":"__vector__"},"value":'), values))
+
+
+def tagged(c: Column, kind: T.DataType, role: str | None = None) -> Column:
+    """A typed column as one tagged value; ``role``: reference (a path), geo (a struct of lat and lng) or vector (an array of numbers)."""
+    if role == "reference":
+        out = _tag("referenceValue", _quoted(c))
+    elif role == "geo":
+        lat, lng = (c[f.name].cast("double") for f in kind.fields[:2])
+        out = _tag("geoPointValue", F.to_json(F.struct(lat.alias("latitude"), lng.alias("longitude"))))
+    elif role == "vector":
+        out = _vector(c.cast("array<double>"))
+    elif isinstance(kind, T.BooleanType):
+        out = _tag("booleanValue", c.cast("string"))
+    elif isinstance(kind, T.IntegralType):
+        out = _tag("integerValue", _quoted(c.cast("string")))
+    elif isinstance(kind, T.NumericType):
+        out = F.to_json(F.struct(c.cast("double").alias("doubleValue")))
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        out = _tag("timestampValue", _quoted(_instant(c)))
+    elif isinstance(kind, T.StringType):
+        out = _tag("stringValue", _quoted(c))
+    elif isinstance(kind, T.BinaryType):
+        out = _tag("bytesValue", _quoted(F.base64(c)))
+    elif isinstance(kind, T.ArrayType):
+        out = _array(F.transform(c, lambda x: tagged(x, kind.elementType)))
+    elif isinstance(kind, T.StructType):
+        out = _map(F.concat_ws(",", *[F.when(c[f.name].isNotNull(), F.concat(_quoted(F.lit(f.name)), F.lit(":"), tagged(c[f.name], f.dataType))) for f in kind.fields]))
+    else:
+        raise TypeError(f"{kind.simpleString()} is no type of values")
+    return F.when(c.isNull(), F.lit('{"nullValue":null}')).otherwise(out)
+
+
+def _document(name: Column, fields: Column) -> Column:
+    return F.concat(F.lit('{"name":'), _quoted(name), F.lit(',"fields":{'), fields, F.lit("}}"))
+
+
+def encode(df: DataFrame, name: Column, columns: list[str], *, roles: dict[str, str] | None = None, nulls: frozenset[str] = frozenset()) -> Column:
+    """Typed columns of a DataFrame as a wire document; null columns are left out, but for those in ``nulls``."""
     parts = []
     for c in columns:
-        kind = df.schema[c].dataType.simpleString()
-        tag = {"bigint": "integerValue", "int": "integerValue", "double": "doubleValue", "boolean": "booleanValue", "string": "stringValue"}[kind]
-        shown = F.col(c).cast("string") if tag == "integerValue" else F.col(c)
-        parts.append(F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{c}":'), F.to_json(F.struct(shown.alias(tag))))))
-    return F.concat(F.lit('{"name":'), F.to_json(F.array(name)).substr(F.lit(2), F.length(F.to_json(F.array(name))) - 2), F.lit(',"fields":{'), F.concat_ws(",", *parts), F.lit("}}"))
+        shown = F.concat(_quoted(F.lit(c)), F.lit(":"), tagged(F.col(f"`{c}`"), df.schema[c].dataType, (roles or {}).get(c)))
+        parts.append(shown if c in nulls else F.when(F.col(f"`{c}`").isNotNull(), shown))
+    return _document(name, F.concat_ws(",", *parts))
+
+
+def _of_leaf(k: Column) -> Column:
+    """The wire form of a leaf of a dynamic value; null for arrays, maps and vectors."""
+    number = F.when(k["real"] == 0, F.lit(float("nan"))).otherwise(k["num"])
+    path = F.array_join(F.transform(k["ref"], lambda s: F.when(s["kind"] == 0, F.concat(F.lit("__id"), s["number"].cast("string"), F.lit("__"))).otherwise(s["text"])), "/")
+    kinds = [
+        (V.NULL, F.lit('{"nullValue":null}')), (V.BOOLEAN, _tag("booleanValue", F.when(k["real"] == 1, "true").otherwise("false"))), (V.NUMBER, F.to_json(F.struct(number.alias("doubleValue")))), (V.TIMESTAMP, _tag("timestampValue", _quoted(_instant(k["ts"])))),
+        (V.STRING, _tag("stringValue", _quoted(k["text"]))), (V.BYTES, _tag("bytesValue", _quoted(F.base64(k["bin"])))), (V.REFERENCE, _tag("referenceValue", _quoted(path))),
+        (V.GEO, _tag("geoPointValue", F.to_json(F.struct(k["lat"].alias("latitude"), k["lng"].alias("longitude"))))),
+    ]
+    out = F.lit(None).cast("string")
+    for rank, shown in kinds:
+        out = F.when(k["rank"] == rank, shown).otherwise(out)
+    return out
+
+
+def encode_value(v: Column) -> Column:
+    """A dynamic value in wire form: as it came, or from its parts."""
+    key = v["key"]
+    items = F.transform(key["items"], lambda x: F.coalesce(x["json"], _of_leaf(x)))
+    named = F.transform(key["items"], lambda x: F.concat(_quoted(x["name"]), F.lit(":"), F.coalesce(x["json"], _of_leaf(x))))
+    numbers = F.transform(key["items"], lambda x: x["num"])
+    made = F.when(v["int"].isNotNull(), _tag("integerValue", _quoted(v["int"].cast("string")))).when(key["rank"] == V.ARRAY, _array(items)).when(key["rank"] == V.MAP, _map(F.concat_ws(",", named))).when(key["rank"] == V.VECTOR, _vector(numbers)).otherwise(_of_leaf(key))
+    return F.coalesce(v["json"], made)
+
+
+def encode_fields(name: Column, fields: Column) -> Column:
+    """A dynamic document in wire form (fields named by a path of several segments are parts of others)."""
+    tops = F.filter(F.map_entries(fields), lambda e: ~F.contains(e["key"], F.lit(".")))
+    return _document(name, F.concat_ws(",", F.transform(tops, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), encode_value(e["value"])))))

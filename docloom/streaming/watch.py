@@ -1,11 +1,15 @@
 """Watching a query: what enters, changes, leaves or is deleted, as a stream.
 
 State is one row for each (target, path): whether the document was sent, and
-the last sequence number, which drops what arrives out of order.
+the last sequence number, which drops what arrives out of order.  ``opened`` is
+what a target gets first, ``watch`` what follows; a target is removed by leaving
+it out of the next ``watch``, or at once by ``once``.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,10 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..errors import InvalidArgument
+
 OUT = "target string, path string, seq long, change string"
 STATE = "sent boolean, seq long"
 
 
+#: Markers of a target beside the changes of its documents.
+ADD, CURRENT, NO_CHANGE, REMOVE_TARGET = "ADD", "CURRENT", "NO_CHANGE", "REMOVE_TARGET"
+
+
 def targets(changes: DataFrame, matches: dict[str, Column]) -> DataFrame:
     """One row for each change and target: the predicate of each target as a column of its own, exploded."""
     each = F.array(*[F.struct(F.lit(t).alias("target"), F.coalesce(m, F.lit(False)).alias("hit")) for t, m in matches.items()])
@@ -34,8 +44,8 @@ def step(sent: bool, hit: bool, deleted: bool) -> tuple[str | None, bool]:
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     target, path = key
-    sent, last = state.get if state.exists else (False, -1)
     rows = pd.concat(list(frames)).sort_values("seq")  # one document's changes within a micro-batch
+    sent, last = state.get if state.exists else (bool(rows["was_sent"].iloc[0]), -1)
     out = []
     for r in rows.itertuples():
         if r.seq <= last:
@@ -48,9 +58,18 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     yield pd.DataFrame(out, columns=["target", "path", "seq", "change"])
 
 
-def watch(changes: DataFrame, matches: dict[str, Column]) -> DataFrame:
-    """Events of a stream of changes (path, seq, deleted and columns) for one or more targets."""
-    return targets(changes, matches).groupBy("target", "path").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def watch(changes: DataFrame, matches: dict[str, Column], sent: DataFrame | None = None) -> DataFrame:
+    """Events of a stream of changes (path, seq, deleted and columns) for one or more targets.
+
+    ``sent``: (target, path) of documents that a resumed target was sent before
+    (``sent_paths``): what a document counts as until its first change here.
+    """
+    each = targets(changes, matches)
+    if sent is None:
+        each = each.withColumn("was_sent", F.lit(False))
+    else:
+        each = each.join(sent.select("target", "path", F.lit(True).alias("was_sent")), ["target", "path"], "left").withColumn("was_sent", F.coalesce("was_sent", F.lit(False)))
+    return each.groupBy("target", "path").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def events_batch(changes: DataFrame, matches: dict[str, Column]) -> DataFrame:
@@ -68,6 +87,54 @@ def snapshot(live: DataFrame, matches: Column, target: str, seq: int) -> DataFra
     return live.where(matches).select(F.lit(target).alias("target"), "path", F.lit(seq).alias("seq"), F.lit("CHANGE").alias("change"))
 
 
+def token(seq: int, stream_id: str) -> str:
+    """A resume token: the position, and the stream that it is a position of."""
+    return base64.urlsafe_b64encode(json.dumps({"seq": seq, "stream": stream_id}).encode()).decode()
+
+
+def read_token(text: str) -> tuple[int, str]:
+    try:
+        held = json.loads(base64.urlsafe_b64decode(text.encode()))
+        return int(held["seq"]), str(held["stream"])
+    except (ValueError, KeyError, TypeError) as e:
+        raise InvalidArgument("this is no resume token") from e
+
+
+def opened(log: DataFrame, matches: Column, target: str, seq: int, stream_id: str, *, resume_token: str | None = None, read_time=None, once: bool = False) -> DataFrame:
+    """All that a target gets when it is added at position ``seq`` of a log: place, target, path, change, token.
+
+    ADD; its documents (all of them, or for a token of this stream or a read
+    time what has changed since: changed, left or deleted ones); CURRENT; and
+    NO_CHANGE with the token to resume from, which closes the snapshot.  A token
+    of another stream gives all documents again.  ``once``: the target is
+    removed behind its snapshot.
+    """
+    from ..operators import changes
+
+    since = None
+    if resume_token is not None:
+        position, of = read_token(resume_token)
+        since = position if of == stream_id else None
+    upto = log.where(F.col("seq") <= seq)
+    if since is not None:
+        docs = changes.diff(upto, matches, since, seq).select("path", "change")
+    elif read_time is not None:
+        docs = changes.diff_time(upto, matches, read_time).select("path", "change")
+    else:
+        docs = changes.live(upto).where(F.coalesce(matches, F.lit(False))).select("path", F.lit("CHANGE").alias("change"))
+    spark, at = log.sparkSession, token(seq, stream_id)
+    marks = [(0, target, None, ADD, None), (2, target, None, CURRENT, at), (3, target, None, NO_CHANGE, at)] + [(4, target, None, REMOVE_TARGET, None)] * once
+    marked = spark.createDataFrame(marks, "place int, target string, path string, change string, token string")
+    return marked.unionByName(docs.select(F.lit(1).alias("place"), F.lit(target).alias("target"), "path", "change", F.lit(None).cast("string").alias("token")))
+
+
+def sent_paths(log: DataFrame, matches: dict[str, Column], seq: int) -> DataFrame:
+    """(target, path) of the documents that each target had been sent at a position: those that matched."""
+    from ..operators import changes
+
+    return targets(changes.live(log.where(F.col("seq") <= seq)), matches).where("hit and not deleted").select("target", "path")
+
+
 def documents_target(paths: list[str]) -> Column:
     """A target of named documents."""
     return F.col("path").isin(paths)
