@@ -5,7 +5,8 @@ word (round 0), then pairs: every symbol falls left or right by a bit of its
 name, and a left symbol followed by a right one becomes a new symbol.  A name is
 the hash of its parts, so a substring has the same name in every document and on
 every executor, with no dictionary to shuffle: one pass over the texts makes
-all rounds.  With each symbol goes the span of words its making depended on;
+all rounds.  The last round names every pair of neighbours, overlapping ones
+too.  With each symbol goes the span of words its making depended on;
 inside any two equal substrings, symbols whose span fits are the same.
 
 A window of 50 words is represented by a symbol whose span lies inside it: one
@@ -47,7 +48,8 @@ from pyspark.sql import types as T
 from .common import Scratch, mix64, powers, running, slices, span_hashes, word_bounds, word_hashes
 
 WINDOW = 50
-ROUNDS = 7
+#: Rounds of pairs before the last one, which names all neighbours.
+ROUNDS = 5
 #: Rounds whose symbols may represent a window, counted from the last.
 LAST_ROUNDS = 4
 CHUNK_WORDS = 200_000
@@ -104,6 +106,11 @@ def recompress(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> I
             kept = ~second
             name, start, left, right, doc = np.where(pair, joined, name)[kept], start[kept], new_left[kept], new_right[kept], doc[kept]
         yield name, start, left, right
+    if len(name):
+        more = doc[1:] == doc[:-1]
+        both = mix64(name[:-1] * _u(0x9E3779B97F4A7C15) + name[1:])
+        name, start, left, right = both[more], start[:-1][more], np.minimum(left[:-1], left[1:])[more], np.maximum(right[:-1], right[1:])[more]
+    yield name, start, left, right
 
 
 def _raise_over(best: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -126,7 +133,7 @@ def window_keys(hashes: np.ndarray, first: np.ndarray, window: int = WINDOW, rou
     opens, ends = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
     best = np.zeros(len(hashes), np.uint64)
     for k, (name, start, left, right) in enumerate(recompress(hashes, first, rounds)):
-        if k <= rounds - LAST_ROUNDS or not len(name):
+        if k <= rounds + 1 - LAST_ROUNDS or not len(name):
             continue
         # The windows of the document that hold the whole span.
         lo, hi = np.maximum(right - window, opens[start]), np.minimum(left, ends[start] - window) + 1
