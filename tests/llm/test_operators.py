@@ -87,7 +87,7 @@ def test_symbols_inside_equal_substrings_agree():
         seen.append(every)
     assert seen[0] == seen[1] and all(len(x) > 10 for x in seen[0])
     sizes = [len(x) for x in seen[0]]
-    assert sizes == sorted(sizes, reverse=True) and sizes[-1] < sizes[0] / 3  # symbols of the last round stand for several words
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] < sizes[0] / 2.5  # symbols of the last rounds stand for several words
 
 
 def test_names_reveal_the_repeats(spark, docs, monkeypatch):
@@ -104,7 +104,7 @@ def test_names_reveal_the_repeats(spark, docs, monkeypatch):
     keys = len(np.unique(substring.window_keys(h, np.array([0, len(h)]))))
     monkeypatch.setattr(substring, "recompress", salted)
     assert count() < want / 2
-    monkeypatch.setattr(substring, "recompress", lambda h, first, rounds=7: ((h, np.arange(len(h)), np.arange(len(h)), np.arange(len(h)) + 1) for _ in range(rounds + 1)))
+    monkeypatch.setattr(substring, "recompress", lambda h, first, rounds=5: ((h, np.arange(len(h)), np.arange(len(h)), np.arange(len(h)) + 1) for _ in range(rounds + 2)))
     assert len(np.unique(substring.window_keys(h, np.array([0, len(h)])))) < keys / 2
 
 
@@ -117,7 +117,7 @@ def test_window_keys_equal_plain_ones():
     for k, (name, _, left, right) in enumerate(substring.recompress(h, first)):
         for x, a, b in zip(name, left, right, strict=True):
             for lo, hi in zip(first[:-1], first[1:], strict=True):
-                if k > substring.ROUNDS - substring.LAST_ROUNDS and a >= lo and b <= hi:
+                if k > substring.ROUNDS + 1 - substring.LAST_ROUNDS and a >= lo and b <= hi:
                     for p in range(max(b - 50, lo), min(a, hi - 50) + 1):
                         want[p] = max(want[p], np.uint64(k + 1) << np.uint64(58) | substring.mix64(x[None])[0] >> np.uint64(6))
     assert (substring.window_keys(h, first) == want).all() and (want > 0).mean() > 0.5
