@@ -64,3 +64,21 @@ def collection_ids(all_docs: DataFrame, parent: str = "") -> DataFrame:
 def ancestor_scan(df: DataFrame, ancestor: str) -> DataFrame:
     """Entities at or below an ancestor."""
     return df.where(P.under(F.col(PATH), ancestor, itself=True))
+
+
+def dereference(docs: DataFrame, field: str, target) -> DataFrame:
+    """Documents beside those that a reference field names (a left join; the columns of the target as a struct ``<field>_document``).
+
+    The id in the reference is compared with the target's key column where that
+    is known, so that neither side computes paths of all its documents.
+    """
+    columns = F.struct(*[F.col(f"`{c}`") for c in target.df.columns])
+    if target.parts is not None and target.prefix is not None:
+        key = target.parts[-1][1]
+        right = target.df.select(key.cast("string").alias("_id"), columns.alias(f"{field}_document"))
+        own = F.substring_index(field, "/", -1)
+        inside = F.substring_index(field, "/", target.prefix.count("/") + 1) == target.prefix
+        left = docs.withColumn("_id", F.when(inside & (F.size(F.split(field, "/")) == target.prefix.count("/") + 2), own))
+        return left.join(right, "_id", "left").drop("_id")
+    right = target.df.select(F.col(PATH).alias("_path"), columns.alias(f"{field}_document"))
+    return docs.join(right, docs[field] == right["_path"], "left").drop("_path")

@@ -100,12 +100,14 @@ def fold(live: DataFrame, writes: DataFrame, columns: T.StructType, time=None, *
 
     ``live``: path, version, create_time, change_time and the document columns.
     Gives place, path, op, status, deleted, version, create_time (null: made by
-    this write), the document's columns behind the write, and ``results``: the
+    this write), ``doc`` (the document's columns behind the write), and ``results``: the
     JSON value of each transformed field (null for array transforms where
     ``null_arrays``, as entities have it).  A write that isn't OK changes nothing.
     """
-    names, have = columns.fieldNames(), set(writes.columns)
+    have = set(writes.columns)
     time = F.lit(time if time is not None else dt.datetime.now(dt.timezone.utc)).cast("timestamp")
+    if clash := have & set(columns.fieldNames()) & {"path", "place", "op", "exists", "base_version", "update_time", "mask", "transforms"}:
+        raise InvalidArgument(f"document columns named like parts of a write: {sorted(clash)}")
     optional = {"exists": "boolean", "base_version": "long", "update_time": "timestamp", "mask": "array<string>", "transforms": f"array<{TRANSFORM}>"}
     given = [F.col(k).cast(t).alias(k) if k in have else F.lit(None).cast(t).alias(k) for k, t in optional.items()]
     doc = lambda: F.struct(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in columns.fields]).alias("doc")
@@ -163,7 +165,7 @@ def fold(live: DataFrame, writes: DataFrame, columns: T.StructType, time=None, *
 
     ordered = F.array_sort("ws", lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
     each = asked.join(now, "path", "left").select("path", F.explode(F.aggregate(ordered, begin, step, lambda s: s["out"])).alias("e"))
-    return each.select(F.col("e.place").alias("place"), "path", "e.op", "e.status", "e.deleted", "e.version", F.col("e.created").alias("create_time"), *[F.col("e.doc")[n].alias(n) for n in names], "e.results")
+    return each.select(F.col("e.place").alias("place"), "path", "e.op", "e.status", "e.deleted", "e.version", F.col("e.created").alias("create_time"), "e.doc", "e.results")
 
 
 def transforms_column(wanted: list[tuple[str, str, object]]) -> list[tuple] | None:

@@ -143,7 +143,8 @@ class Store:
         try:
             at = F.timestamp_millis(F.lit(int(begin.timestamp() * 1000)) + F.col("seq") - base - 1)
             out = numbered(ok, ["place", "path"], base, "seq", folder).withColumn("change_time", at).withColumn("create_time", F.coalesce("create_time", at))
-            self.log.commit(out.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema.fields]), number)
+            own = set(self.columns.fieldNames())
+            self.log.commit(out.select(*[(F.col("doc")[f.name] if f.name in own else F.col(f.name)).cast(f.dataType).alias(f.name) for f in self.schema.fields]), number)
         finally:
             self.log.remove(folder)
         made = self.log.read(number, number).select("path", "version", F.col("change_time").alias("update_time"))

@@ -44,8 +44,8 @@ def test_matches_sql(spark, duck, name):
 
 def test_whole_queries_use_every_order(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").count()
-    got = {n: catalogue.QUERIES[n](spark, SF) for n in ("write_status_whole", "project_fields_whole", "occ_conflicts_whole")}
-    assert got["write_status_whole"].count() == got["project_fields_whole"].count() == orders
-    kinds = {(r.op, r.status) for r in got["write_status_whole"].select("op", "status").distinct().collect()}
+    got = {n: catalogue.QUERIES[n](spark, SF) for n in ("write_status", "project_fields", "occ_conflicts")}
+    assert got["write_status"].count() == got["project_fields"].count() == orders
+    kinds = {(r.op, r.status) for r in got["write_status"].select("op", "status").distinct().collect()}
     assert kinds == {("insert", "OK"), ("insert", "ALREADY_EXISTS"), ("update", "OK"), ("update", "NOT_FOUND"), ("delete", "OK"), ("delete", "FAILED_PRECONDITION"), ("upsert", "OK"), ("upsert", "CONFLICT")}
-    assert {r.current_version for r in got["occ_conflicts_whole"].collect()} == {None, 3, 4, 5}
+    assert {r.current_version for r in got["occ_conflicts"].collect()} == {None, 3, 4, 5}
