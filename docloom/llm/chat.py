@@ -1,10 +1,12 @@
 """Chat formatting after cumulative-snapshot collapse (operator 8, native).
 
 Loggers often store a conversation again after every exchange, so a table holds
-many prefixes of the same talk.  Each conversation gets the chained hash of
-every turn prefix; conversations whose full hash is a proper prefix hash of
-another one are removed by an anti-join, equal ones keep the smallest conv_id,
-and the maximal ones are rendered.
+many prefixes of the same talk.  A rolling hash goes along the turns of each
+conversation: the exclusive-or of 128-bit hashes of (position, role, text), so
+entry k stands for the turns up to k, and all entries take one pass over the
+sorted turns.  Conversations whose last entry is an earlier entry of another one
+are removed by an anti-join, equal ones keep the smallest conv_id, and only then
+the turns of the maximal ones are gathered and rendered.
 
 Both sides of the anti-join are distinct hashes (aggregated before the
 shuffle), so a first turn shared by a third of all conversations is one row.
@@ -12,47 +14,45 @@ shuffle), so a first turn shared by a third of all conversations is one row.
 Defined cases: turns sort by turn number (null first), then role and text; null
 role or text renders as empty but hashes as null; rows with a null conv_id form
 one conversation; repeated rows are repeated turns; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def _mark(c: Column) -> Column:
-    """A text as its length and itself, so that joined fields can't run into each other."""
-    return F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+def rolling(turns: DataFrame) -> DataFrame:
+    """conv_id, k, a, b, last: for each turn the hash of all turns of its conversation up to it."""
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    line = W.partitionBy("conv_id").orderBy(*order)
+    placed = turns.select("conv_id", "turn", "role", "text").withColumn("k", F.row_number().over(line)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("conv_id")))
+    # A null is told from an empty text by a flag of its own.
+    own = lambda seed: F.xxhash64(F.lit(seed), "k", F.col("role").isNull(), "role", F.col("text").isNull(), "text")
+    upto = line.rowsBetween(W.unboundedPreceding, 0)
+    return placed.select("conv_id", "k", F.bit_xor(own(1)).over(upto).alias("a"), F.bit_xor(own(2)).over(upto).alias("b"), (F.col("k") == F.col("n")).alias("last"))
 
 
-def gather(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns: one row per conversation, its turns in order."""
-    each = F.struct(F.col("turn"), F.col("role"), F.col("text"))
-    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(each)).alias("turns")).withColumn("n_turns", F.size("turns").cast("long"))
-
-
-def prefix_hashes(turns: Column) -> Column:
-    """Chained hashes: entry k covers the turns 0..k."""
-    step = lambda done, t: F.concat(
-        done, F.array(F.sha1(F.concat(F.coalesce(F.element_at(F.when(F.size(done) > 0, done), -1), F.lit("")), _mark(t["role"]), _mark(t["text"]))))
+def maximal(turns: DataFrame) -> DataFrame:
+    """conv_id, n_turns, n_copies: conversations that are no prefix of another; equal ones once."""
+    each = rolling(turns)
+    whole = each.where("last").groupBy("a", "b").agg(
+        F.min_by(F.struct("conv_id"), F.struct(F.col("conv_id").isNull(), "conv_id")).alias("c"), F.max("k").cast("long").alias("n_turns"), F.count(F.lit(1)).alias("n_copies")
     )
-    return F.aggregate(turns, F.array().cast("array<string>"), step)
+    inner = each.where("not last").select("a", "b").distinct()
+    return whole.join(inner, ["a", "b"], "left_anti").select("c.conv_id", "n_turns", "n_copies")
 
 
-def maximal(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies, turns: conversations that are no prefix of another; equal ones once."""
-    chained = gather(turns).withColumn("chain", prefix_hashes(F.col("turns")))
-    last = F.element_at("chain", -1)
-    whole = (
-        chained.withColumn("full", last)
-        .groupBy("full")
-        .agg(F.min_by(F.struct("conv_id", "n_turns", "turns"), F.struct(F.col("conv_id").isNull(), "conv_id")).alias("c"), F.count(F.lit(1)).alias("n_copies"))
-    )
-    inner = chained.where("n_turns > 1").select(F.explode(F.expr("slice(chain, 1, size(chain) - 1)")).alias("full")).distinct()
-    return whole.join(inner, "full", "left_anti").select("c.conv_id", "c.n_turns", "n_copies", "c.turns")
+def gather(turns: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``kept`` with their turns in order."""
+    each = F.struct(F.col("turn"), F.col("role"), F.col("text"))
+    own = turns.select(F.col("conv_id").alias("c"), each.alias("t"))
+    met = own.join(kept, F.col("c").eqNullSafe(F.col("conv_id")))
+    return met.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
 
 def render(turns: Column, start: str = START, end: str = END) -> Column:
@@ -64,7 +64,7 @@ def render(turns: Column, start: str = START, end: str = END) -> Column:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies, text."""
-    return maximal(turns).select("conv_id", "n_turns", "n_copies", render(F.col("turns")).alias("text"))
+    return gather(turns, maximal(turns)).select("conv_id", "n_turns", "n_copies", render(F.col("turns")).alias("text"))
 
 
 ORACLE = rf"""
