@@ -9,14 +9,12 @@ Everything is built from DataFrame functions.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 ranked last; repeated rows are separate documents; documents of size 0 take 0;
-an empty table gives an empty result; other columns of the input are ignored by
-``mix`` and kept by ``apply_mix``.
+an empty table gives an empty result; other columns of the input, whatever their
+names, are ignored by ``mix`` and kept by ``apply_mix``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +27,7 @@ MOST = 2
 BLOCK = 256
 #: A source of fewer words than so many blocks is no party to the apportionment: it has FINE blocks or single words, and its own target.
 FEW_BLOCKS, FINE = 8, 64
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 500_000
 SEED = 17
 
 
@@ -152,29 +150,39 @@ def _laid(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
     return counted.withColumn("taken", taken).select("doc_id", "print", "size", "source", "source_no", "shard", "source_size", "target", "taken")
 
 
-def apply_mix(docs: DataFrame, **kw) -> DataFrame:
+def apply_mix(docs: DataFrame, *, most: int = MOST, **kw) -> DataFrame:
     """The mixed corpus: each document whole, as often as its taken words make it, rounded up or down.
 
     Down a shard's documents, the longest first, the running sum of the parts
-    of a copy is rounded, not each part: a shard's words stay within half of
-    its longest document of the words taken (repeated rows count as one document).
+    of a copy is rounded, not each part.  What is then still missing of the
+    shard's part of its source's target, or too much, is made up by one copy
+    more or less of its shortest documents (repeated rows count as one).
     """
-    unit = _laid(docs, **kw).groupBy("source_no", "shard", "source", "doc_id", "print").agg(F.sum("size").alias("words"), F.sum("taken").alias("due"))
-    line = W.partitionBy("source_no", "shard").orderBy(F.desc("words"), "print", "doc_id")
+    unit = _laid(docs, most=most, **kw).groupBy("source_no", "shard", "source", "doc_id", "print").agg(F.sum("size").alias("words"), F.sum("taken").alias("due"), F.max("target").alias("target"))
+    scratch = Scratch(docs.sparkSession)
+    unit = scratch.keep(unit, "units")
+    sources = scratch.keep(unit.groupBy("source_no").agg(F.sum("due").alias("source_due")), "due")
+    shard = W.partitionBy("source_no", "shard")
+    line = shard.orderBy(F.desc("words"), "print", "doc_id")
     part = F.when(F.col("words") > 0, (F.col("due") % F.col("words")) / F.col("words")).otherwise(F.lit(0.0))
     upto = F.floor(F.sum("part").over(line.rowsBetween(W.unboundedPreceding, 0)) + F.lit(0.5))
     whole = F.when(F.col("words") > 0, F.floor(F.col("due") / F.col("words"))).otherwise(F.lit(1))
     times = (whole + F.col("upto") - F.coalesce(F.lag("upto").over(line), F.lit(0))).cast("int")
-    counted = unit.withColumn("part", part).withColumn("upto", upto).withColumn("times", times)
-    copies = Scratch(docs.sparkSession).keep(counted.where("times > 0").select("source", "doc_id", "print", "times"), "copies")
-    held = docs.withColumn("_print", F.xxhash64("text")).alias("d")
-    on = F.col("d.source").eqNullSafe(F.col("c.source")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d._print") == F.col("c.print"))
-    each = held.join(copies.alias("c"), on).withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("c.times"))))
-    return each.select(*[F.col(f"d.`{c}`") for c in docs.columns])
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    rounded = unit.join(sources, "source_no").withColumn("part", part).withColumn("upto", upto).withColumn("times", times)
+    goal = F.sum("due").over(shard) * F.col("target") / F.col("source_due")
+    gap = rounded.withColumn("gap", F.coalesce(goal, F.lit(0.0)) - F.sum(F.col("times") * F.col("words")).over(shard))
+    can = (F.col("words") > 0) & F.when(F.col("gap") > 0, F.col("times") < most).otherwise(F.col("times") > 0)
+    short = shard.orderBy(F.desc("can"), "words", "print", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    makes = gap.withColumn("can", can).withColumn("words_upto", F.sum("words").over(short))
+    fits = F.col("can") & (F.col("words_upto") - F.col("words") / 2 <= F.abs("gap"))
+    counted = makes.withColumn("times", F.col("times") + F.when(fits, F.signum("gap")).otherwise(F.lit(0)).cast("int"))
+    copies = scratch.keep(counted.where("times > 0").select("source", "doc_id", "print", "times"), "copies")
+    # The documents as one struct, so that no column's name can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    held = docs.select(row, F.col("source").alias("s"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("p")).alias("d")
+    on = F.col("d.s").eqNullSafe(F.col("c.source")) & F.col("d.i").eqNullSafe(F.col("c.doc_id")) & (F.col("d.p") == F.col("c.print"))
+    each = held.join(copies.alias("c"), on).select("d.row", F.explode(F.sequence(F.lit(1), F.col("c.times"))))
+    return each.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = rf"""
