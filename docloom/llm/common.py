@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +49,18 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` frees them early."""
+    """Tables written to the shared folder to cut lineage; ``drop`` frees them early.
+
+    Tables that a result is still read from stay; inside ``freed()`` all that were
+    made go when the block ends, as its result has been written by then.
+    """
+
+    _open: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession):
         bound_batches(spark)
+        for made in Scratch._open[-1:]:
+            made.append(self)
         self.spark, self.root = spark, f"{scratch_dir(spark)}/docloom-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -72,7 +81,7 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             p.getFileSystem(conf).delete(p, True)
 
     def release(self) -> None:
@@ -81,6 +90,17 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+@contextmanager
+def freed() -> Iterator[None]:
+    """Remove the tables that are made inside the block when it ends."""
+    Scratch._open.append([])
+    try:
+        yield
+    finally:
+        for s in Scratch._open.pop():
+            s.drop("")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

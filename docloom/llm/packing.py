@@ -42,7 +42,7 @@ DIMS, BITS, BUCKETS = 4, 8, 1024
 CACHE_WORDS = 3_000_000
 MISSES = 2_000
 #: Ids of a task that packs, about, and tasks whose rests are packed together.
-TASK_IDS, TASKS_TOGETHER = 8_000_000, 1_024
+TASK_IDS, TASKS_TOGETHER = 4_000_000, 1_024
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -22,7 +22,8 @@ Defined cases: a null or empty text has no words and fingerprint zero, which
 links like any other; fewer words than a shingle make one shingle; rows with
 equal texts, repeated rows included, share a component; a null doc_id takes part
 but never names a component that has another id; an empty table gives an empty
-result; other columns are ignored.
+result; other columns, whatever their names, are ignored (and kept by
+``keep_representatives``).
 """
 
 from __future__ import annotations
@@ -354,11 +355,12 @@ def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
     Rows that repeat that doc_id and text are one, by the least of their other columns.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    best = _grouped(docs, **kw).groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.doc_id").alias("_best_id"), F.col("b.text_hash").alias("_best_hash"))
+    best = _grouped(docs, **kw).groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.doc_id").alias("best_id"), F.col("b.text_hash").alias("best_hash"))
     kept = Scratch(docs.sparkSession).keep(best, "kept")
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    mine = hashed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_best_id")) & (F.col("_hash") == F.col("_best_hash")), "left_semi")
-    rest = [f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")]
-    least = F.to_json(F.struct(*rest)) if rest else F.lit("")
-    one = mine.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), least).alias("_row"))
-    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    # The documents as one struct, so that no column's name can clash.
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    hashed = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), (F.to_json(F.struct(*rest)) if rest else F.lit("")).alias("least"))
+    mine = hashed.join(kept, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("hash") == F.col("best_hash")), "left_semi")
+    one = mine.groupBy("id", "hash").agg(F.min_by("row", "least").alias("row"))
+    return one.select(*[F.col("row")[c].alias(c) for c in docs.columns])
