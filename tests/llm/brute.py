@@ -208,3 +208,18 @@ def article_text(page):
     reader.close()
     reader.flush()
     return "\n\n".join(reader.blocks)
+
+
+def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """{source: words} by weights in the order of code points, null last, with caps whose excess is shared out again."""
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    capped = set()
+    while True:
+        rest = [s for s in order if s not in capped]
+        left = share * sum(sizes.values()) - sum(most * sizes[s] for s in capped)
+        want = {s: most * sizes[s] if s in capped else weight[s] * left / sum(weight[x] for x in rest) for s in order}
+        over = [s for s in rest if want[s] > most * sizes[s]]
+        if not over:
+            return want
+        capped.update(over)

@@ -306,6 +306,24 @@ def test_mix_applied(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, prose(40, i % 90), f"s{i % 3}", [i], "x") for i in range(120)] + [(None, prose(30, 7), None, [1], None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `_print` array<int>, `_nth` string")
+    for name in ("row", "times", "print", "due", "words", "part", "upto", "shard", "key", "size", "taken"):
+        df = df.withColumn(name, F.lit(name))
+    got = mixing.apply_mix(df, block=16)
+    assert got.columns == df.columns and {(r.doc_id, r.text, r.source, tuple(r._print), r.row) for r in got.collect()} <= {(*r[:3], tuple(r[3]), "row") for r in rows}
+    assert mixing.mix(df).columns == ["doc_id", "print", "size", "source", "source_size", "target", "taken"] and mixing.apply_mix(df.limit(0)).count() == 0
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1), (2, "a b c d e f", 2), (3, None, 3)], "doc_id long, text string, hash int")
+    for name in ("row", "id", "least", "_hash", "_row", "best_id", "print", "band", "root", "bands"):
+        df = df.withColumn(name, F.lit(name))
+    got = simhash.keep_representatives(df)
+    assert got.columns == df.columns and {(r.doc_id, r.hash, r.root) for r in got.collect()} == {(1, 1, "root"), (3, 3, "root")}
+
+
 def test_mix_keeps_small_sources(spark):
     rows = [(i, "w " * 900, "a") for i in range(30)] + [(100 + i, "x " * n, f"s{i}") for i, n in enumerate((1, 9, 30, 63, 100, 500, 1500))]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.first("source_size").alias("n")).collect()
@@ -504,6 +522,26 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_and_many_conversations(spark):
+    """A conversation of 20,000 turns beside its prefixes, and a first turn that all share."""
+    talk = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(20_000)]
+    rows = [(1, k, r, x) for k, (r, x) in enumerate(talk)] + [(2, k, r, x) for k, (r, x) in enumerate(talk[:7_000])] + [(3, k, r, x) for k, (r, x) in enumerate(talk[:1])]
+    rows += [(10 + c, k, *(talk[0] if k == 0 else ("assistant", f"answer {c} {k}"))) for c in range(300) for k in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for name in ("a", "b", "k", "n", "last", "c", "t", "n_copies"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = {x.conv_id: x for x in chat.format_chats(df).collect()}
+    assert set(got) == {1, *range(10, 310)} and got[1].n_turns == 20_000 and all(x.n_copies == 1 for x in got.values())
+    assert got[1].text.startswith("<|im_start|>user\nturn 0<|im_end|>\n<|im_start|>assistant\nturn 1<|im_end|>\n") and got[1].text.count("<|im_end|>") == 20_000
+
+
+def test_turns_in_any_order_of_rows_and_null_turns(spark):
+    rows = [(1, None, "user", "a"), (1, 2, "user", "c"), (1, 1, "user", "b"), (2, 5, "user", "a"), (2, 7, "user", "b"), (3, 0, "b", "a"), (3, 0, "a", "b"), (4, 0, None, "a"), (5, 0, "", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {x.conv_id: (x.n_turns, x.n_copies) for x in chat.format_chats(df).collect()}
+    assert got == {1: (3, 1), 3: (2, 1), 4: (1, 1), 5: (1, 1)} and {c: 1 for c in got} == brute.maximal_chats(rows)
+
+
 # -- 9 ----------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body>
@@ -718,3 +756,65 @@ def test_pipeline_stages(spark, tmp_path):
     kept = {i: n - gone for i, n, gone, _ in brute.substring(rest)}
     assert {r.doc_id: len(r.text.split()) for r in seen[2].collect()} == kept
     assert seen[4].agg(F.sum("length")).first()[0] > 0
+
+
+AWKWARD = [(1, None, "s", 1), (1, "", "s", 1), (None, prose(80, 1), None, 2), (None, prose(80, 1), None, 2), (None, prose(90, 2), "t", 2), (4, prose(80, 1) + " x", "s", 3), (5, prose(9000, 3), "t", 4), (5, prose(9000, 3), "t", 4), (6, prose(70, 4) + " " + prose(60, 5), "t", 5), (7, prose(60, 5) + " end", "s", 6), (8, "é", "u", 7)]
+
+
+def test_pipeline_run_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through all stages; so does an empty table."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame(AWKWARD, "doc_id long, text string, source string, n_chars int").withColumn("lang", F.lit("en"))
+    for name in ("_id", "_print", "spans", "row", "hash", "ids", "key", "print"):
+        docs = docs.withColumn(name, F.lit(name))
+    docs.write.parquet(str(tmp_path / "a/documents.parquet"))
+    spark.createDataFrame([(4, 1, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "a/labels.parquet"))
+    got = p.run(spark, str(tmp_path / "a")).collect()
+    assert {r.doc_id for r in got} >= {5, 6, 8} and sum(r.length for r in got) > 9000
+    docs.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "b/labels.parquet"))
+    assert p.run(spark, str(tmp_path / "b")).count() == 0
+    seen = docs
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, seen, str(tmp_path / "a"))
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema], name
+        out.write.parquet(str(tmp_path / name))
+        seen = spark.read.schema(docs.schema).parquet(str(tmp_path / name))
+    assert seen.where("doc_id = 8").first().row == "row"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pipeline_mixing_and_packing_equal_plain_ones(spark, tmp_path):
+    """Delivered words against targets worked out anew, and every delivered document packed whole."""
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    words = {}
+    for r in docs.select("source", "text").collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.encode().split())
+    want = brute.targets(words)
+    mixed = dict(p.STAGES)["mixing"](spark, docs, SF)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    got, copies = {}, {}
+    for r in mixed.select("doc_id", "source", "text").collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.encode().split())
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    assert max(copies.values()) == 2
+    assert all(abs(got.get(s, 0) - t) <= max(0.01 * t, 300) for s, t in want.items())
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    some = mixed.orderBy("doc_id").limit(300)
+    some.write.parquet(str(tmp_path / "some"))
+    some = spark.read.parquet(str(tmp_path / "some"))
+    ids, rows = {}, some.collect()
+    for r in rows:
+        ids.setdefault(r.doc_id, []).append([*tok.encode(r.text, add_special_tokens=False).ids, 2])
+    pieces = {}
+    for x in dict(p.STAGES)["packing"](spark, some, SF).collect():
+        pieces.setdefault(x.doc_id, []).append((x.start, x.length, x.ids_crc32, x.doc_tokens))
+    for i, texts in ids.items():
+        one = texts[0]
+        assert sum(n for _, n, _, _ in pieces[i]) == len(one) * len(texts)
+        assert all(c == zlib.crc32(np.array(one[a : a + n], "<u4").tobytes()) and total == len(one) for a, n, c, total in pieces[i])
