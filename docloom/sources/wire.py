@@ -15,58 +15,78 @@ from pyspark.sql import types as T
 from ..functions import values as V
 from ..functions.paths import path_key
 
-VECTOR_FIELDS = "$.mapValue.fields.value.arrayValue.values"
+#: One tagged value, parsed once; nested values stay JSON text.
+PARSED = (
+    "booleanValue string, integerValue string, doubleValue string, timestampValue string, stringValue string, bytesValue string, referenceValue string, "
+    "geoPointValue struct<latitude: double, longitude: double>, arrayValue struct<values: array<string>>, mapValue struct<fields: map<string, string>>"
+)
+VECTOR_MARK = '{"stringValue":"__vector__"}'
 
 
-def _leaf(raw: Column) -> dict[str, Column]:
-    """The fields of a value's key from its JSON text."""
-    get = lambda tag: F.get_json_object(raw, "$." + tag)
-    num = F.coalesce(get("integerValue"), get("doubleValue"))
+def parsed(raw: Column) -> Column:
+    """The JSON text of a value beside its parts, so that each text is parsed once."""
+    return F.struct(raw.alias("raw"), F.from_json(raw, PARSED).alias("p"))
+
+
+def _leaf(x: Column) -> dict[str, Column]:
+    """The fields of a value's key from its parts."""
+    p = x["p"]
+    num = F.coalesce(p["integerValue"], p["doubleValue"])
     nan = num == "NaN"
     number = F.when(nan, 0.0).when(num == "Infinity", F.lit(float("inf"))).when(num == "-Infinity", F.lit(float("-inf"))).otherwise(num.try_cast("double"))
     rank = F.lit(V.NULL)
     for tag, r in (("mapValue", V.MAP), ("arrayValue", V.ARRAY), ("geoPointValue", V.GEO), ("referenceValue", V.REFERENCE), ("bytesValue", V.BYTES), ("stringValue", V.STRING), ("timestampValue", V.TIMESTAMP), ("doubleValue", V.NUMBER), ("integerValue", V.NUMBER), ("booleanValue", V.BOOLEAN)):
-        rank = F.when(get(tag).isNotNull(), F.lit(r)).otherwise(rank)
+        rank = F.when(p[tag].isNotNull(), F.lit(r)).otherwise(rank)
+    vector = F.coalesce(p["mapValue"]["fields"]["__type__"] == VECTOR_MARK, F.lit(False))
     return {
-        "rank": rank,
-        "real": F.when(get("booleanValue").isNotNull(), (get("booleanValue") == "true").cast("int")).when(num.isNotNull(), F.when(nan, 0).otherwise(1)),
+        "rank": F.when(vector, V.VECTOR).otherwise(rank),
+        "real": F.when(p["booleanValue"].isNotNull(), (p["booleanValue"] == "true").cast("int")).when(num.isNotNull(), F.when(nan, 0).otherwise(1)),
         "num": F.when(num.isNotNull(), number),
-        "exact": F.coalesce(get("integerValue").try_cast("long"), F.when(~nan, V._exact(number, False))),
-        "ts": get("timestampValue").cast("timestamp"),
-        "text": get("stringValue"),
-        "bin": F.unbase64(get("bytesValue")),
-        "ref": F.when(get("referenceValue").isNotNull(), path_key(F.regexp_extract(get("referenceValue"), r"^(?:projects/[^/]+/databases/[^/]+/documents/)?(.*)$", 1))),
-        "lat": get("geoPointValue.latitude").cast("double"),
-        "lng": get("geoPointValue.longitude").cast("double"),
+        "exact": F.coalesce(p["integerValue"].try_cast("long"), F.when(~nan, V._exact(number, False))),
+        "ts": p["timestampValue"].cast("timestamp"),
+        "text": p["stringValue"],
+        "bin": F.unbase64(p["bytesValue"]),
+        "ref": F.when(p["referenceValue"].isNotNull(), path_key(F.regexp_extract(p["referenceValue"], r"^(?:projects/[^/]+/databases/[^/]+/documents/)?(.*)$", 1))),
+        "lat": p["geoPointValue"]["latitude"],
+        "lng": p["geoPointValue"]["longitude"],
     }
 
 
+def _item(name: Column, x: Column) -> Column:
+    deep = F.when(x["p"]["arrayValue"].isNotNull() | x["p"]["mapValue"].isNotNull(), x["raw"])
+    return F.struct(name.alias("name"), *[c.alias(k) for k, c in _leaf(x).items()], deep.alias("json"))
+
+
+def value_of(x: Column) -> Column:
+    """A parsed value (``parsed``) as a dynamic value."""
+    top, p = _leaf(x), x["p"]
+    each = lambda texts: F.transform(F.transform(texts, parsed), lambda y: _item(F.lit(""), y))
+    none = F.array().cast(V.ITEMS)
+    entries = F.transform(F.map_entries(p["mapValue"]["fields"]), lambda e: F.struct(e["key"].alias("key"), parsed(e["value"]).alias("x")))
+    numbers = F.from_json(p["mapValue"]["fields"]["value"], PARSED)["arrayValue"]["values"]
+    items = (
+        F.when(top["rank"] == V.ARRAY, F.coalesce(each(p["arrayValue"]["values"]).cast(V.ITEMS), none))
+        .when(top["rank"] == V.MAP, F.coalesce(F.array_sort(F.transform(entries, lambda e: _item(e["key"], e["x"]))).cast(V.ITEMS), none))
+        .when(top["rank"] == V.VECTOR, F.coalesce(each(numbers).cast(V.ITEMS), none))
+    )
+    key = F.struct(*[c.alias(k) for k, c in top.items()], F.when(top["rank"] == V.VECTOR, F.size(numbers)).alias("size"), items.alias("items"))
+    return F.struct(key.cast(V.KEY).alias("key"), p["integerValue"].try_cast("long").alias("int"), x["raw"].alias("json")).cast(V.VALUE)
+
+
 def value(raw: Column) -> Column:
     """One tagged JSON value as a dynamic value."""
-    top = _leaf(raw)
-    vector = F.coalesce(F.get_json_object(raw, "$.mapValue.fields.__type__.stringValue") == "__vector__", F.lit(False))
-    top["rank"] = F.when(vector, V.VECTOR).otherwise(top["rank"])
-    numbers = F.from_json(F.get_json_object(raw, VECTOR_FIELDS), "array<string>")
-    elements = F.from_json(F.get_json_object(raw, "$.arrayValue.values"), "array<string>")
-    entries = F.map_entries(F.from_json(F.get_json_object(raw, "$.mapValue.fields"), "map<string,string>"))
-    item = lambda name, x: F.struct(name.alias("name"), *[c.alias(k) for k, c in _leaf(x).items()], F.when(F.get_json_object(x, "$.arrayValue").isNotNull() | F.get_json_object(x, "$.mapValue").isNotNull(), x).alias("json"))
-    items = F.when(top["rank"] == V.ARRAY, F.coalesce(F.transform(elements, lambda x: item(F.lit(""), x)), F.array().cast(f"array<struct<name:string,{V._LEAF},json:string>>"))).when(
-        top["rank"] == V.MAP, F.array_sort(F.transform(entries, lambda e: item(e["key"], e["value"])))
-    ).when(vector, F.transform(numbers, lambda x: item(F.lit(""), x)))
-    key = F.struct(*[c.alias(k) for k, c in top.items()], F.when(vector, F.size(numbers)).alias("size"), items.alias("items"))
-    return F.struct(key.cast(V.KEY).alias("key"), F.get_json_object(raw, "$.integerValue").try_cast("long").alias("int"), raw.alias("json")).cast(V.VALUE)
-
-
-def decode(df: DataFrame, column: str = "json") -> DataFrame:
-    """``name`` and ``fields`` of documents in wire form, one JSON text a row."""
+    return F.element_at(F.transform(F.array(parsed(raw)), value_of), 1)
+
+
+def decode(df: DataFrame, column: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``name`` and ``fields`` of documents in wire form, one JSON text a row, beside the columns in ``keep``."""
     raw = F.from_json(F.get_json_object(F.col(column), "$.fields"), "map<string,string>")
-    return df.select(F.get_json_object(F.col(column), "$.name").alias("name"), F.transform_values(F.coalesce(raw, F.create_map().cast("map<string,string>")), lambda _, v: value(v)).alias("fields"))
+    return df.select(*keep, F.get_json_object(F.col(column), "$.name").alias("name"), F.transform_values(F.transform_values(F.coalesce(raw, F.create_map().cast("map<string,string>")), lambda _, v: parsed(v)), lambda _, x: value_of(x)).alias("fields"))
 
 
 def _quoted(c: Column) -> Column:
     """A string as JSON text."""
-    whole = F.to_json(F.array(c))
-    return whole.substr(F.lit(2), F.length(whole) - 2)
+    return F.btrim(F.to_json(F.array(c)), F.lit("[]"))
 
 
 def _instant(c: Column) -> Column:
