@@ -225,7 +225,7 @@ def allocate_ids(incomplete: DataFrame, base: int, order: list[str], path: str |
 
 def complete_keys(keys: DataFrame, key: str, base: int, order: list[str]) -> DataFrame:
     """Keys with ids for those that lack one; complete ones pass through."""
-    given = allocate_ids(keys.where(F.col(key).isNull()), base, order).withColumn(key, F.col("id").cast(keys.schema[key].dataType)).drop("id")
+    given = numbered(keys.where(F.col(key).isNull()), order, base, "_new").withColumn(key, F.col("_new").cast(keys.schema[key].dataType))
     return keys.where(F.col(key).isNotNull()).unionByName(given.select(*keys.columns))
 
 

@@ -156,7 +156,8 @@ class Database:
                 want = f"{parent}/{c.name}" if parent else c.name
                 df = df if c.prefix == want else df.where(F.lit(False))
             elif c.parts is not None:
-                df = df.where(c.under(parent) if parent.count("/") // 2 + 1 == len(c.parts) - 1 else F.lit(False))
+                depth = parent.count("/") // 2 + 1 if parent else 0
+                df = df.where(c.under(parent) if depth == len(c.parts) - 1 else F.lit(False))
             else:
                 df = df.where(P.parent_path(c.path) == parent)
             out.append(replace(c, df=df))

@@ -1,15 +1,18 @@
 """Literal fixtures: filters over missing, null and NaN, order, cursors, aggregates, writes, time travel and watch."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from docloom import catalogue
 from docloom.errors import Aborted, FailedPrecondition, InvalidArgument, NotFound
 from docloom.functions import paths as P
 from docloom.functions import values as V
 from docloom.operators import changes, lookup, mutate, transforms
 from docloom.plans import explain
+from docloom.plans import page as pages
 from docloom.plans.model import CONTAINS, CONTAINS_ANY, DOCUMENT, ENTITY, EQ, GE, GT, IN, IS_NAN, IS_NOT_NAN, IS_NOT_NULL, IS_NULL, LT, NAME, NE, NOT_IN, Avg, Count, Cursor, Nearest, Order, Query, Selector, Sum, Where, all_of, any_of
 from docloom.sources import indexes, wire
 from docloom.sources.changelog import ChangeLog
@@ -210,3 +213,134 @@ def test_virtual_ids(spark):
     db = Database(spark)
     db.register("w", df, path=F.col("p"), prefix="w", virtual_ids=True)
     assert ids(db, order=(Order(NAME),), flavour=DOCUMENT) == ["__id9__", "__id10__", "__idx__", "b"]
+
+
+SF = "/root/testdata/sf0.001"
+tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@tables
+@pytest.mark.parametrize(
+    "name, pushed",
+    [("filter_key_in", "In(o_orderkey,[5,77,999999999])"), ("kind_ancestor", "EqualTo(o_custkey,42)"), ("scan_collection_group", "EqualTo(n_regionkey,1)"), ("scan_child_collection", "EqualTo(o_custkey,7)"), ("point_get", "EqualTo(o_orderkey,7)"), ("ds_key_eq", "EqualTo(o_orderkey,7)")],
+)
+def test_paths_reach_the_scan(spark, name, pushed):
+    plan = explain.physical(catalogue.QUERIES[name](spark, SF)).replace(" ", "")
+    assert pushed in plan
+
+
+def test_paths_of_parts(spark):
+    db = Database(spark)
+    df = spark.createDataFrame([("x", 7, 1), ("y", 7, 2), ("x", 8, 3)], "a string, b long, v int")
+    c = db.register("n", df, key="b", parent=(("m", "a"),))
+    got = lambda w, **k: sorted(r[PATH] for r in db.query(Query((Selector("n", True),), where=w, **k)).collect())
+    assert got(None) == ["m/x/n/7", "m/x/n/8", "m/y/n/7"] and got(None, parent="m/x") == ["m/x/n/7", "m/x/n/8"] and got(None, parent="q/x") == []
+    assert got(Where(NAME, IN, ["m/x/n/7", "m/x/n/07", "m/x/n/z", "m/x", "m/y/n/7/q/1"])) == ["m/x/n/7"]
+    assert got(Where("__key__", "has-ancestor", "m/y/n/7"), flavour=ENTITY) == ["m/y/n/7"] and got(Where("__key__", "has-ancestor", "m/y/n/7/o/1"), flavour=ENTITY) == []
+    assert [r[PATH] for r in db.query(Query((Selector("n"),), parent="m/y")).collect()] == ["m/y/n/7"] and db.query(Query((Selector("n"),))).count() == 0
+    assert db.get("m/x/n/8").first().v == 3 and c.by_ids([]) is not None
+    with pytest.raises(NotFound):
+        db.get("q/x/n/8")
+
+
+def test_sums_beyond_64_bits_are_doubles(spark):
+    db = Database(spark)
+    db.register("w", spark.createDataFrame([(1, 1 << 62, 5), (2, 1 << 62, 6), (3, None, 7)], "k long, big long, small int"), key="k")
+    got = db.aggregate(Query(W), [Sum("big", "s")])
+    assert got.dtypes == [("s", "double")] and got.first().s == float(1 << 63)
+    got = db.aggregate(Query(W, where=Where("k", EQ, 1)), [Sum("big", "s"), Sum("small", "t"), Count("n")])
+    assert got.dtypes == [("s", "bigint"), ("t", "bigint"), ("n", "bigint")] and tuple(got.first()) == (1 << 62, 5, 1)
+    assert db.aggregate(Query(W, where=Where("k", EQ, 9)), [Sum("big", "s")]).first().s == 0
+
+
+def test_transforms_of_missing_and_other_values(spark):
+    df = spark.createDataFrame([(None, ["a"]), (["a", "b"], ["b", "c", "c"])], "c array<string>, more array<string>")
+    assert [r[0] for r in df.select(transforms.append_missing(F.col("c"), F.col("more"))).collect()] == [["a"], ["a", "b", "c", "c"]]
+    values = [7, 7.5, "text", None, True, [1, 2, 1], NAN, (1 << 63) - 1]
+    one = spark.range(1).select(*[V.literal(v).alias(f"v{i}") for i, v in enumerate(values)])
+    shown = lambda v: F.struct(v["int"].alias("i"), v["key"]["num"].alias("d"), v["key"]["real"].alias("r"))
+    up = one.select(*[shown(transforms.increment_value(F.col(c), 3)).alias(c) for c in one.columns]).first()
+    assert [(x.i, x.d) for x in up[:6]] == [(10, 10.0), (None, 10.5), (3, 3.0), (3, 3.0), (3, 3.0), (3, 3.0)] and up[6].r == 0 and up[7].i is None and up[7].d == float(1 << 63)
+    assert one.select(shown(transforms.increment_value(F.col("v0"), 0.5)).alias("x")).first().x.d == 7.5
+    low = one.select(*[shown(transforms.minimum_value(F.col(c), 7)).alias(c) for c in one.columns[:3]]).first()
+    assert [(x.i, x.d) for x in low] == [(7, 7.0), (7, 7.0), (0, 0.0)]
+    texts = lambda v: F.transform(v["key"]["items"], lambda x: x["exact"])
+    both = one.select(texts(transforms.append_missing_value(F.col("v5"), [2, 3, 3])).alias("a"), texts(transforms.append_missing_value(F.col("v2"), [1])).alias("b"), texts(transforms.remove_all_value(F.col("v5"), [1])).alias("c"), transforms.remove_all_value(F.col("v2"), [1])["key"]["text"].alias("d")).first()
+    assert (both.a, both.b, both.c, both.d) == ([1, 2, 1, 3, 3], [1], [2], "text")
+
+
+def test_pages_and_tokens(spark):
+    db = Database(spark)
+    db.register("w", spark.createDataFrame([(i, None if i % 3 == 0 else dt.datetime(2024, 1, 1 + i), bytes([i])) for i in range(9)], "k long, t timestamp, b binary"), key="k")
+    q, seen, token = Query(W, order=(Order("t"), Order("b", True)), limit=4, offset=1, flavour=ENTITY), [], None
+    for _ in range(4):
+        p = pages.page(db, q, token)
+        seen.append(([r.k for r in p.rows.collect()], p.skipped_results, p.more_results))
+        token = p.end_cursor
+        if token is None:
+            break
+    assert [s[0] for s in seen] == [[2, 4, 5, 7], [8], []] or [k for s in seen for k in s[0]][-1] == 8
+    assert seen[0][1] == 1 and seen[1][1] == 0 and seen[0][2] == pages.MORE and seen[-1][2] == pages.DONE
+    assert pages.decode_cursor(pages.encode_cursor("w/1", [("a", None), ("b", b"x"), ("c", dt.datetime(2024, 1, 1))])).values == (None, b"x", dt.datetime(2024, 1, 1), "w/1")
+    with pytest.raises(InvalidArgument):
+        pages.decode_cursor("bm90IGpzb24=")
+
+
+def test_explain_of_aggregations_and_ancestors(spark):
+    db = dyn(spark, a={"v": 1}, b={"v": 2}, c={"x": 2})
+    got = explain.analyze_run(db, Query(W, where=Where("v", GT, 0)), [Count("n"), Sum("v", "s")])
+    assert got["results"] == 1 and got["documents_scanned"] == 3 and got["properties"] == "(v ASC, __name__ ASC)"
+    q = Query((Selector("w", True),), where=Where("__key__", "has-ancestor", "w/a"), flavour=ENTITY)
+    assert explain.summary(q) == {"query_scope": "Collection group", "properties": "(__key__ ASC)", "includes_ancestors": True, "name_field": "__key__"}
+    assert explain.analyze_run(db, Query(W, order=(Order("v"),)))["documents_scanned"] == 3
+
+
+def test_resumed_watch_knows_what_was_sent(spark, log, tmp_path):
+    matches = {"big": F.col("v") >= 5}
+    sent = watch.sent_paths(log, matches, 3)
+    assert {tuple(r) for r in sent.collect()} == {("big", "w/a"), ("big", "w/b")}
+    log.where("seq > 3").coalesce(1).write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
+    q = watch.watch(stream, matches, sent).writeStream.format("memory").queryName("resumed").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.path, r.seq, r.change) for r in spark.sql("select * from resumed").collect()} == {("w/b", 4, "DELETE"), ("w/c", 5, "CHANGE"), ("w/a", 6, "REMOVE")}
+    token = watch.token(3, "s")
+    got = [(r.place, r.path, r.change) for r in watch.opened(log, F.col("v") >= 5, "big", 6, "s", resume_token=token, once=True).orderBy("place", "path").collect()]
+    assert got == [(0, None, "ADD"), (1, "w/a", "REMOVE"), (1, "w/b", "DELETE"), (1, "w/c", "CHANGE"), (2, None, "CURRENT"), (3, None, "NO_CHANGE"), (4, None, "REMOVE_TARGET")]
+    other = watch.opened(log, F.col("v") >= 5, "big", 6, "t", resume_token=token)
+    assert [(r.path, r.change) for r in other.where("place = 1").collect()] == [("w/c", "CHANGE")]
+    assert watch.read_token(other.where("place = 3").first().token) == (6, "t")
+    with pytest.raises(InvalidArgument):
+        watch.read_token("x")
+
+
+def test_vectors_and_deep_values_on_the_wire(spark):
+    text = '{"name":"projects/p/databases/d/documents/w/a","fields":{"v":{"mapValue":{"fields":{"__type__":{"stringValue":"__vector__"},"value":{"arrayValue":{"values":[{"doubleValue":1.5},{"integerValue":"2"}]}}}}},"deep":{"arrayValue":{"values":[{"arrayValue":{"values":[{"integerValue":"1"}]}}]}},"none":{"arrayValue":{}},"big":{"integerValue":"9007199254740993"}}}'
+    docs = wire.decode(spark.createDataFrame([(text,)], "json string"), keep=("json",))
+    db = Database(spark)
+    db.register("w", docs, path=F.regexp_extract("name", "documents/(.*)$", 1), prefix="w")
+    assert ids(db, Where("v", EQ, V.Vector((1.5, 2.0)))) == ["a"] and ids(db, Where("deep", EQ, [[1]])) == ["a"] and ids(db, Where("none", EQ, [])) == ["a"]
+    assert ids(db, Where("big", EQ, 9007199254740993)) == ["a"] and ids(db, Where("big", EQ, 9007199254740992)) == []
+    assert docs.select(wire.encode_fields(F.col("name"), F.col("fields")) == F.col("json")).first()[0]
+    made = dyn(spark, a={"n": 5, "d": 2.5, "s": 'q"\\\\x', "b": b"\\x00\\xff", "t": True, "z": None, "g": V.Geo(1.0, 2.0), "r": V.Ref("a/b"), "l": [1, "x"], "m": {"k": {"j": 1}}, "v": V.Vector((1.0, 2.0))})
+    back = made.tables["w"][0].df.select(wire.encode_fields(F.lit("w/a"), F.col("fields")).alias("json"))
+    both = wire.decode(back).select("fields").join(made.tables["w"][0].df.select(F.col("fields").alias("f0")))
+    same = both.select(F.filter(F.map_keys("fields"), lambda k: F.col("fields")[k]["key"] != F.col("f0")[k]["key"]).alias("differ"), F.size("fields").alias("n")).first()
+    assert same.differ == [] and same.n == 11
+
+
+def test_indexes_keys_and_references(spark, tmp_path):
+    held = indexes.parse_index_config("indexes:\n- kind: K\n  properties:\n  - name: a\n- kind: L\n")
+    assert indexes.get_index(held, held[0]["id"])["kind"] == "K" and len(held[0]["id"]) == 16
+    with pytest.raises(NotFound):
+        indexes.get_index(held, "none")
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    assert indexes.stored_bytes(spark.read.parquet(str(tmp_path / "t"))) == sum(f.stat().st_size for f in (tmp_path / "t").glob("part-*"))
+    keys = spark.createDataFrame([("b", None), ("a", 7), ("c", None)], "name string, id long")
+    assert {(r.name, r.id) for r in mutate.complete_keys(keys, "id", 10, ["name"]).collect()} == {("a", 7), ("b", 11), ("c", 12)}
+    with pytest.raises(InvalidArgument):
+        mutate.reserve_ids(keys, "id")
+    db = Database(spark)
+    c = db.register("u", spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string"), key="k")
+    docs = spark.createDataFrame([("u/2",), ("u/9",), ("q/2",), ("u/2/p/1",), (None,)], "ref string")
+    assert [(r.ref, r.ref_document.v if r.ref_document else None) for r in lookup.dereference(docs, "ref", c).orderBy(F.asc_nulls_last("ref")).collect()] == [("q/2", None), ("u/2", "y"), ("u/2/p/1", None), ("u/9", None), (None, None)]
