@@ -10,7 +10,7 @@ within reach are ranked by exact distance in double precision, and the ten best
 of every block are merged.
 
 The number of centroids of a half grows with the cube root of the number of
-vectors, up to ``MOST_CENTROIDS``; only centroids and cell counts (at most the
+vectors, from ``LEAST_CENTROIDS`` to ``MOST_CENTROIDS``; only centroids and cell counts (at most the
 square of that) go to the driver and to every task.  Recall is set by
 ``probe``, the share of all vectors that a query reranks, at every size alike;
 ``tests/llm`` measures it against brute force.
@@ -38,16 +38,16 @@ from .common import Scratch
 
 NEAREST = 10
 EVERY = 100
-MOST_CENTROIDS = 1024
+LEAST_CENTROIDS, MOST_CENTROIDS = 128, 1024
 #: Vectors that k-means is fitted on, for each centroid and at least.
 SAMPLE_EACH, SAMPLE = 32, 8192
-PROBE = 0.4
+PROBE = 0.45
 BLOCK, QUERIES, WALKS = 1024, 256, 64
 
 
 def centroids_for(n: int) -> int:
-    """Centroids of each half for n vectors: cells hold about half the cube root of n."""
-    return max(2, min(MOST_CENTROIDS, int(np.ceil(2 * n ** (1 / 3)))))
+    """Centroids of each half for n vectors (fewer where there are fewer vectors): with the cube root of n, between two bounds."""
+    return max(LEAST_CENTROIDS, min(MOST_CENTROIDS, int(np.ceil(2 * n ** (1 / 3)))))
 
 
 def kmeans(data: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -129,8 +129,8 @@ class Index:
 
         self.coded = scratch.keep(vectors.mapInArrow(code, "vec_id long, v array<double>, i int, j int"), "coded")
         self.counts = np.zeros((len(centres[0]), len(centres[1])), np.int64)
-        for r in self.coded.groupBy("i", "j").count().collect():  # a row per pair of centroids at most
-            self.counts[r.i, r.j] = r["count"]
+        cells = self.coded.groupBy("i", "j").count().toArrow()  # a row per pair of centroids at most
+        self.counts[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("count").to_numpy()
 
     def parts(self) -> list[int]:
         return [max(1, -(-int(n) // BLOCK)) for n in self.counts.sum(axis=1)]
