@@ -387,7 +387,19 @@ def test_search_recall_by_probe(spark):
             got.setdefault(x.query_id, set()).add(x.vec_id)
         recall[probe] = np.mean([len(got[q] & set(w)) / len(w) for q, w in want.items()])
     assert recall[0.1] >= 0.99 and recall[0.01] >= 0.7
-    assert [ann.centroids_for(n) for n in (1, 500, 51_000, 10**9)] == [2, 16, 75, 1024]
+    assert [ann.centroids_for(n) for n in (1, 500, 51_000, 10**9)] == [128, 128, 128, 1024]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_search_recall_on_tables(spark, sf):
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path)
+    want, got = brute.nearest([(r.vec_id, r.embedding) for r in df.collect()]), {}
+    for r in ann.search(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(want) and np.mean([len(got[q] & set(w)) / len(w) for q, w in want.items()]) >= 0.9
 
 
 def test_search_beside_many_rows_of_one_id(spark):
