@@ -89,6 +89,11 @@ def _names(name: str):
     return lambda t: (t["field"] == name) | t["field"].startswith(name + ".")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _leaves(value: Column, kind: T.DataType, path: str) -> list[tuple[str, Column]]:
     if isinstance(kind, T.StructType):
         return [x for f in kind.fields for x in _leaves(value[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)]
@@ -155,13 +160,17 @@ def fold(live: DataFrame, writes: DataFrame, columns: T.StructType, time=None, *
         status = status.when(w["exists"].isNotNull() & (w["exists"] != there), "FAILED_PRECONDITION")
         status = status.when(w["update_time"].isNotNull() & ~(there & s["updated"].eqNullSafe(w["update_time"])), "FAILED_PRECONDITION")
         status = status.when(w["base_version"].isNotNull() & (w["base_version"] != F.when(there, s["version"]).otherwise(F.lit(0))), "CONFLICT").otherwise("OK")
-        ok = status == "OK"
-        doc_now = F.when(gone, F.lit(None).cast(kind)).otherwise(behind(s, w).cast(kind))
-        # Whatever was written in this commit has no time yet, so that no update_time can match it.
-        entry_now = F.struct(w["place"], w["op"], status, gone, s["version"] + ok.cast("long"), F.when(there, s["created"]), F.when(ok, doc_now), F.when(ok & ~gone, results(doc_now, w))).cast(entry)
-        done = F.concat(s["out"], F.array(entry_now))
-        changed = F.struct(~gone, s["version"] + 1, F.when(there, s["created"]), F.lit(None).cast("timestamp"), doc_now, done).cast(state)
-        return F.when(ok, changed).otherwise(F.struct(s["alive"], s["version"], s["created"], s["updated"], s["doc"], done).cast(state))
+        made = F.struct(status.alias("status"), F.when((status == "OK") & ~gone, behind(s, w).cast(kind)).alias("doc"))
+
+        def done(m: Column) -> Column:
+            ok = m["status"] == "OK"
+            entry_now = F.struct(w["place"], w["op"], m["status"], gone, s["version"] + ok.cast("long"), F.when(there, s["created"]), m["doc"], F.when(ok & ~gone, results(m["doc"], w))).cast(entry)
+            out = F.concat(s["out"], F.array(entry_now))
+            # Whatever was written in this commit has no time yet, so that no update_time can match it.
+            changed = F.struct(~gone, s["version"] + 1, F.when(there, s["created"]), F.lit(None).cast("timestamp"), m["doc"], out).cast(state)
+            return F.when(ok, changed).otherwise(F.struct(s["alive"], s["version"], s["created"], s["updated"], s["doc"], out).cast(state))
+
+        return _let(made, done)
 
     ordered = F.array_sort("ws", lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
     each = asked.join(now, "path", "left").select("path", F.explode(F.aggregate(ordered, begin, step, lambda s: s["out"])).alias("e"))
