@@ -714,11 +714,19 @@ def log_of(spark, sf_dir) -> DataFrame:
     return t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("users/"), F.col("user_id").cast("string")).alias("path"), F.col("ts").alias("change_time"), (F.col("event_type") == "error").alias("deleted"), "event_type", "value")
 
 
-def middle(spark, sf_dir):
-    """A time and a position in the middle of the log."""
-    r = t(spark, sf_dir, "events").agg((F.min("event_id") + F.max("event_id")).alias("s")).first()
-    seq = r.s // 2
-    return seq, t(spark, sf_dir, "events").where(F.col("event_id") == seq).select("ts").first().ts
+def middle(spark, sf_dir) -> tuple[Column, Column]:
+    """A position and a time in the middle of the log, as scalar subqueries: no job of their own."""
+    events = t(spark, sf_dir, "events")
+    seq = F.floor((F.min("event_id") + F.max("event_id")) / 2).cast("long")
+    at = t(spark, sf_dir, "events").where(F.col("event_id") == events.agg(seq.alias("s")).scalar()).select("ts")
+    return events.agg(seq.alias("s")).scalar(), at.agg(F.max("ts")).scalar()
+
+
+def middle_values(spark, sf_dir) -> tuple[int, dt.datetime]:
+    """The same as values, for tokens."""
+    events = t(spark, sf_dir, "events")
+    seq = events.agg((F.min("event_id") + F.max("event_id")).alias("s")).first().s // 2
+    return seq, events.where(F.col("event_id") == seq).select("ts").first().ts
 
 
 MID = "(select (min(event_id) + max(event_id)) // 2 from events)"
@@ -769,7 +777,7 @@ where a.seq > {MID} and (a.hit or coalesce(b.hit, false))""")
 def watch_batch_diff(spark, sf_dir):
     log = log_of(spark, sf_dir)
     seq = middle(spark, sf_dir)[0]
-    top = log.agg(F.max("seq").alias("s")).first().s
+    top = log.agg(F.max("seq")).scalar()
     return changes.diff(log, F.col("event_type").isin("click", "view"), seq, top).select("path", "change", "seq")
 
 
@@ -820,8 +828,8 @@ def opened_at_end(name: str, sql: str, kw):
 
 opened_at_end("watch_opened", f"{marks()} union all {SNAPSHOT}", lambda *_: {})
 opened_at_end("watch_once", f"{marks(True)} union all {SNAPSHOT}", lambda *_: {"once": True})
-opened_at_end("watch_resume_token", f"{marks()} union all {DIFF % (f'seq <= {MID}', f'a.seq > {MID}')}", lambda s, d: {"resume_token": watch.token(middle(s, d)[0], OF_STREAM)})
-opened_at_end("watch_resume_other_stream", f"{marks()} union all {SNAPSHOT}", lambda s, d: {"resume_token": watch.token(middle(s, d)[0], "stream-2")})
+opened_at_end("watch_resume_token", f"{marks()} union all {DIFF % (f'seq <= {MID}', f'a.seq > {MID}')}", lambda s, d: {"resume_token": watch.token(middle_values(s, d)[0], OF_STREAM)})
+opened_at_end("watch_resume_other_stream", f"{marks()} union all {SNAPSHOT}", lambda s, d: {"resume_token": watch.token(middle_values(s, d)[0], "stream-2")})
 opened_at_end("watch_resume_time", f"{marks()} union all {DIFF % (f'change_time <= {MID_TIME}', f'a.change_time > {MID_TIME}')}", lambda s, d: {"read_time": middle(s, d)[1]})
 
 
