@@ -133,8 +133,11 @@ class Store:
         folder = self.log.staging()
         return written(mutate.fold(touched, writes, self.columns, time), folder), folder
 
-    def _append(self, folded: DataFrame, number: int, time: dt.datetime) -> Committed:
-        """Publish the writes that are OK as commit ``number``: numbered in their order, a millisecond apart and behind all changes before."""
+    def _append(self, folded: DataFrame, number: int, time: dt.datetime, gapless: bool = False) -> Committed:
+        """Publish the writes that are OK as commit ``number``: numbered in their order, a millisecond apart and behind all changes before.
+
+        ``gapless``: all writes are OK and their places are 0, 1, 2, ...
+        """
         last = self._recent(number).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("seq"), F.max("change_time").alias("time")).first()
         base, begin = last["seq"], time
         if last["time"] is not None:
@@ -142,7 +145,8 @@ class Store:
         ok, folder = folded.where("status = 'OK'"), self.log.staging()
         try:
             at = F.timestamp_millis(F.lit(int(begin.timestamp() * 1000)) + F.col("seq") - base - 1)
-            out = numbered(ok, ["place", "path"], base, "seq", folder).withColumn("change_time", at).withColumn("create_time", F.coalesce("create_time", at))
+            out = ok.withColumn("seq", F.col("place") + base + 1) if gapless else numbered(ok, ["place", "path"], base, "seq", folder)
+            out = out.withColumn("change_time", at).withColumn("create_time", F.coalesce("create_time", at))
             own = set(self.columns.fieldNames())
             self.log.commit(out.select(*[(F.col("doc")[f.name] if f.name in own else F.col(f.name)).cast(f.dataType).alias(f.name) for f in self.schema.fields]), number)
         finally:
@@ -157,11 +161,13 @@ class Store:
         if transaction is not None:
             self.transactions.check(transaction, changes.live(self._recent(number)), writing=True)
         folded, folder = self._folded(writes, number, time, mask)
-        bad = folded.where("status <> 'OK'").orderBy("place").first()
+        bad, n, places, least, most = folded.agg(
+            F.min_by(F.struct("status", "path"), F.when(F.col("status") != "OK", F.col("place"))), F.count(F.lit(1)), F.count_distinct("place"), F.min("place"), F.max("place")
+        ).first()
         if bad is not None:
             self.log.remove(folder)
             raise _ERRORS[bad["status"]](bad["path"])
-        return self._append(folded, number, time)
+        return self._append(folded, number, time, gapless=n > 0 and n == places and least == 0 and most == n - 1)
 
     def batch_write(self, writes: DataFrame, time: dt.datetime | None = None) -> DataFrame:
         """Each write on its own, in their order: those that can, are made; place, path, op, status, version and update_time of all, as a table."""

@@ -115,9 +115,9 @@ def test_overtaken_writers_are_aborted(spark, tmp_path):
     number = one.log.next_number()
     read = two._append
 
-    def slow(folded, number, time):
+    def slow(*args, **kw):
         one.upsert("w/a", {"v": 2})  # the other publishes while this one has judged its writes
-        return read(folded, number, time)
+        return read(*args, **kw)
 
     two._append = slow
     with pytest.raises(Aborted):
