@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words
+from .common import Scratch, freed, n_words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -158,9 +158,10 @@ def apply_mix(docs: DataFrame, *, most: int = MOST, **kw) -> DataFrame:
     shard's part of its source's target, or too much, is made up by one copy
     more or less of its shortest documents (repeated rows count as one).
     """
-    unit = _laid(docs, most=most, **kw).groupBy("source_no", "shard", "source", "doc_id", "print").agg(F.sum("size").alias("words"), F.sum("taken").alias("due"), F.max("target").alias("target"))
     scratch = Scratch(docs.sparkSession)
-    unit = scratch.keep(unit, "units")
+    with freed():
+        unit = _laid(docs, most=most, **kw).groupBy("source_no", "shard", "source", "doc_id", "print").agg(F.sum("size").alias("words"), F.sum("taken").alias("due"), F.max("target").alias("target"))
+        unit = scratch.keep(unit, "units")
     sources = scratch.keep(unit.groupBy("source_no").agg(F.sum("due").alias("source_due")), "due")
     shard = W.partitionBy("source_no", "shard")
     line = shard.orderBy(F.desc("words"), "print", "doc_id")

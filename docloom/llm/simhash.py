@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, running, slices, span_hashes, word_bounds, word_hashes
+from .common import Scratch, freed, mix64, running, slices, span_hashes, word_bounds, word_hashes
 
 SHINGLE = 4
 RADIUS = 4
@@ -344,6 +344,7 @@ def _grouped(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = LEAST,
     tiles = placed.groupBy("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.collect_list(F.struct("print", "set", "part")).alias("members"))
     forest = tiles.where("size(members) > 1").select("members", "p", "q").mapInArrow(_similar_batches(least), "a long, b long").distinct()
     stars = components(forest, scratch)
+    scratch.drop("crowded")
     grouped = classes.join(stars, classes["print"] == stars["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("print", "root", "component_id")
     return signed.select("doc_id", "text_hash", "print").join(named, "print").select("doc_id", "text_hash", "print", "root", "component_id")
@@ -355,8 +356,10 @@ def keep_representatives(docs: DataFrame, **kw) -> DataFrame:
     Rows that repeat that doc_id and text are one, by the least of their other columns.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    best = _grouped(docs, **kw).groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.doc_id").alias("best_id"), F.col("b.text_hash").alias("best_hash"))
-    kept = Scratch(docs.sparkSession).keep(best, "kept")
+    scratch = Scratch(docs.sparkSession)
+    with freed():
+        best = _grouped(docs, **kw).groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.doc_id").alias("best_id"), F.col("b.text_hash").alias("best_hash"))
+        kept = scratch.keep(best, "kept")
     # The documents as one struct, so that no column's name can clash.
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

@@ -269,7 +269,9 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFram
     whole = marked.where("doc_id > owner").select("doc_id", "print", "begin", (F.col("begin") + F.col("n") + (window - 1)).alias("end"))
     first = marked.where("doc_id = owner").join(later, ["key", "content"]).select("doc_id", "print", "begin", F.explode("xs").alias("x"))
     parts = first.select("doc_id", "print", (F.col("begin") + F.col("x")).alias("begin"), (F.col("begin") + F.col("x") + window).alias("end"))
-    return scratch.keep(whole.union(parts).groupBy("doc_id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    spans = scratch.keep(whole.union(parts).groupBy("doc_id", "print").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    scratch.drop("shared", "held", "classes", "windows", "owners")
+    return spans
 
 
 def _kept(n: int, spans: pa.Scalar) -> np.ndarray | None:
