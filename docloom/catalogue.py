@@ -275,6 +275,11 @@ def oplog_metrics(spark, sf_dir):
     return oplog.metrics(t(spark, sf_dir, "events"), "event_type", "value", F.col("value") < 10).withColumn("mean_value", F.round("mean_value", 6))
 
 
+@query("oplog_latest", "select event_id, event_type from events order by event_id desc limit 60")
+def oplog_latest(spark, sf_dir):
+    return oplog.snapshot(t(spark, sf_dir, "events"), "event_type", "value", F.col("value") < 10)[1].select("event_id", "event_type")
+
+
 @query("wire_roundtrip", "select o_orderkey, o_totalprice, o_orderstatus from orders where o_totalprice > 250000")
 def wire_roundtrip(spark, sf_dir):
     """Encode documents to wire JSON, decode them again, filter on a decoded value."""
@@ -1133,6 +1138,11 @@ def page_figures(spark, sf_dir):
     return spark.createDataFrame([(some.skipped_results, some.more_results, none.skipped_results, none.more_results)], "skipped long, more string, all_skipped long, none_more string")
 
 
+@query("partition_query", "select count(*) as n from (select 1 where false)")
+def partition_query(spark, sf_dir):
+    return pages.partitions(db_of(spark, sf_dir, "orders"), Query((Selector("orders", True),), order=(Order(NAME),)), 8).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _items(spark, got: dict) -> DataFrame:
     return spark.createDataFrame([(k, str(v)) for k, v in got.items() if k != "seconds"], "item string, value string")
 

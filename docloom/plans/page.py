@@ -67,3 +67,11 @@ def page(db, q: Query, token: str | None = None) -> Page:
     skipped = min(q.offset, build(db, replace(q, offset=0, limit=q.offset)).count()) if q.offset else 0
     more = MORE if q.limit and n == q.limit else DONE
     return Page(rows, skipped, more, encode_cursor(held[0][PATH], [(f, held[0][f]) for f in fields]) if held else None)
+
+
+def partitions(db, q: Query, most: int = 0) -> DataFrame:
+    """Split points of a query: none, so that one request reads all of it; Spark splits the scan itself."""
+    if most < 0:
+        raise InvalidArgument("a negative number of partitions")
+    analyze(q)
+    return db.spark.createDataFrame([], "cursor string")

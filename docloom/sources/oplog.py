@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time as clock
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIMIT, MOST = 100, 1000
@@ -30,3 +32,19 @@ def search(log: DataFrame, *, contains: dict[str, str] | None = None, equals: di
 def metrics(log: DataFrame, group: str, value: str, failed) -> DataFrame:
     """Counters by operation: calls, failures, mean and largest value."""
     return log.groupBy(group).agg(F.count(F.lit(1)).alias("calls"), F.sum(failed.cast("long")).alias("failures"), F.avg(value).alias("mean_value"), F.max(value).alias("most_value"))
+
+
+LATEST = 60
+
+
+def snapshot(log: DataFrame, group: str, value: str, failed, order: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """(counters by operation, the latest operations): what a dashboard shows."""
+    return metrics(log, group, value, failed), search(log, order=order, limit=LATEST)
+
+
+def runtime(spark: SparkSession) -> dict[str, int]:
+    """Figures of the session: work that is running, executors and their memory."""
+    sc = spark.sparkContext
+    tracker, jsc = sc.statusTracker(), sc._jsc.sc()
+    memory = jsc.getExecutorMemoryStatus()
+    return {"active_jobs": len(tracker.getActiveJobsIds()), "active_stages": len(tracker.getActiveStageIds()), "executors": memory.size(), "parallelism": sc.defaultParallelism, "uptime_ms": int(clock.time() * 1000) - jsc.startTime()}

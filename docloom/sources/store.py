@@ -8,13 +8,14 @@ in one atomic commit, whose number is the one that followed what was read.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import AlreadyExists, Conflict, EngineError, FailedPrecondition, NotFound
+from ..errors import AlreadyExists, Conflict, EngineError, FailedPrecondition, InvalidArgument, NotFound
 from ..functions.paths import check_id
 from ..operators import changes, lookup, mutate
 from ..operators.numbering import numbered
@@ -133,7 +134,7 @@ class Store:
         folder = self.log.staging()
         return written(mutate.fold(touched, writes, self.columns, time), folder), folder
 
-    def _append(self, folded: DataFrame, number: int, time: dt.datetime, gapless: bool = False) -> Committed:
+    def _append(self, folded: DataFrame, number: int, time: dt.datetime, gapless: bool = False, batch: tuple[str, int] | None = None) -> Committed:
         """Publish the writes that are OK as commit ``number``: numbered in their order, a millisecond apart and behind all changes before.
 
         ``gapless``: all writes are OK and their places are 0, 1, 2, ...
@@ -148,7 +149,7 @@ class Store:
             out = ok.withColumn("seq", F.col("place") + base + 1) if gapless else numbered(ok, ["place", "path"], base, "seq", folder)
             out = out.withColumn("change_time", at).withColumn("create_time", F.coalesce("create_time", at))
             own = set(self.columns.fieldNames())
-            self.log.commit(out.select(*[(F.col("doc")[f.name] if f.name in own else F.col(f.name)).cast(f.dataType).alias(f.name) for f in self.schema.fields]), number)
+            self.log.commit(out.select(*[(F.col("doc")[f.name] if f.name in own else F.col(f.name)).cast(f.dataType).alias(f.name) for f in self.schema.fields]), number, batch)
         finally:
             self.log.remove(folder)
         made = self.log.read(number, number).select("path", "version", F.col("change_time").alias("update_time"))
@@ -169,11 +170,11 @@ class Store:
             raise _ERRORS[bad["status"]](bad["path"])
         return self._append(folded, number, time, gapless=n > 0 and n == places and least == 0 and most == n - 1)
 
-    def batch_write(self, writes: DataFrame, time: dt.datetime | None = None) -> DataFrame:
+    def batch_write(self, writes: DataFrame, time: dt.datetime | None = None, batch: tuple[str, int] | None = None) -> DataFrame:
         """Each write on its own, in their order: those that can, are made; place, path, op, status, version and update_time of all, as a table."""
         time, number = time or dt.datetime.now(dt.timezone.utc), self.log.next_number()
         folded, _ = self._folded(writes, number, time, None)
-        return self._append(folded, number, time).writes
+        return self._append(folded, number, time, batch=batch).writes
 
     def end(self, transaction: str) -> None:
         """Commit a transaction that has no writes."""
@@ -191,6 +192,30 @@ class Store:
     def delete(self, path: str) -> Committed:
         return self.commit(self.writes([(mutate.DELETE, path, {})]))
 
-    def sink(self, batch: DataFrame, _: int) -> None:
-        """For ``writeStream.foreachBatch``: one commit for each micro-batch of writes (path, op, columns)."""
-        self.batch_write(batch)
+    def sink(self, batch: DataFrame, batch_id: int, stream: str = "sink") -> None:
+        """For ``writeStream.foreachBatch``: one commit for each micro-batch of writes (path, op, columns); a batch that is replayed is left out."""
+        last = self.log.last_batch(stream)
+        if last is None or batch_id > last:
+            self.batch_write(batch, batch=(stream, batch_id))
+
+    def write_stream(self) -> WriteStream:
+        return WriteStream(self)
+
+
+class WriteStream:
+    """A stream of write requests: a handshake gives the first token, each request must bring the last one and gets the next."""
+
+    def __init__(self, store: Store):
+        self.store, self.stream_id, self.batch = store, uuid.uuid4().hex, 0
+
+    @property
+    def token(self) -> str:
+        return f"{self.stream_id}:{self.batch}"
+
+    def write(self, token: str, writes: DataFrame | None) -> tuple[str, Committed | None]:
+        """The next token and what an atomic commit did (None for a request without writes, which only acknowledges)."""
+        if token != self.token:
+            raise InvalidArgument("a request must bring the token of the response before it")
+        done = None if writes is None else self.store.commit(writes)
+        self.batch += writes is not None
+        return self.token, done

@@ -145,6 +145,12 @@ def resume(log: DataFrame, *, seq: int | None = None, time=None) -> DataFrame:
     return log.where(F.col("seq") > seq) if seq is not None else log.where(F.col("change_time") > F.lit(time))
 
 
+def heartbeats(spark, targets_of: list[str], seconds: int = 5) -> DataFrame:
+    """A stream of NO_CHANGE markers, one for each target every so many seconds, to be sent beside its events."""
+    beat = spark.readStream.format("rate").option("rowsPerSecond", 1).load().where(F.col("value") % seconds == 0)
+    return beat.select(F.explode(F.array(*[F.lit(t) for t in targets_of])).alias("target"), F.lit(None).cast("string").alias("path"), F.col("timestamp").alias("read_time"), F.lit(NO_CHANGE).alias("change"))
+
+
 class Heartbeat:
     """Counts progress and idle reports of streaming queries (attach with ``spark.streams.addListener(Heartbeat().listener)``)."""
 

@@ -1,6 +1,7 @@
 """A writable collection end to end: commits, conflicts, time travel, batch writes, a stream of writes and of events."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,40 @@ def test_streams(spark, tmp_path):
     e.awaitTermination(120)
     spark.streams.removeListener(beat.listener)
     assert [(r.path, r.change) for r in spark.sql("select * from store_events").collect()] == [("w/b", "CHANGE")]
+
+
+def test_replayed_batches_are_left_out(spark, tmp_path):
+    s = Store(spark, "file://" + str(tmp_path / "s"), "w", "v int")
+    one = spark.createDataFrame([("upsert", "w/a", 1)], "op string, path string, v int")
+    s.sink(one, 0)
+    s.sink(one, 1)
+    s.upsert("w/b", {"v": 1})
+    s.sink(one, 1)
+    s.sink(one, 0, stream="other")
+    assert s.get("w/a").version == 3 and s.log.last_batch("sink") == 1 and s.log.last_batch("none") is None
+    w = s.write_stream()
+    first = w.token
+    assert w.write(first, None) == (first, None)
+    second, done = w.write(first, s.writes([("insert", "w/c", {"v": 2})]))
+    assert second != first and done.writes.first().status == "OK" and s.get("w/c").v == 2
+    with pytest.raises(InvalidArgument):
+        w.write(first, None)
+
+
+def test_heartbeats_and_runtime(spark, tmp_path):
+    from docloom.sources import oplog
+    from docloom.streaming import watch
+
+    q = watch.heartbeats(spark, ["a", "b"], 1).writeStream.format("memory").queryName("beats").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for _ in range(60):
+            q.processAllAvailable()
+            if spark.sql("select * from beats").count() >= 4:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    got = spark.sql("select target, change from beats").distinct().collect()
+    assert {tuple(r) for r in got} == {("a", "NO_CHANGE"), ("b", "NO_CHANGE")}
+    now = oplog.runtime(spark)
+    assert now["executors"] >= 1 and now["parallelism"] >= 1 and now["uptime_ms"] > 0
