@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -48,6 +47,10 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
+#: Spark's own removal of shuffle files when a query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` frees them early.
 
@@ -71,11 +74,15 @@ class Scratch:
 
         ``files``: so many of about equal size, for a table too small for a file of each task.
         """
-        schema = df.schema
+        schema, conf = df.schema, self.spark.conf
         df = df.repartition(files) if files else df
-        df.write.mode("overwrite").parquet(self.path(name))
-        del df
-        self.release()
+        before = conf.get(CLEANUP, "false")
+        # The shuffle files of this write are of no use behind it.
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, before)
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -84,11 +91,6 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             p.getFileSystem(conf).delete(p, True)
 
-    def release(self) -> None:
-        """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 @contextmanager
 def freed() -> Iterator[None]:

@@ -220,7 +220,6 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     path = path or scratch.path("archives")
     resolved = resolve(pages, scratch)
     write(records(resolved), path, records_per_file(spark.read.parquet(scratch.path("owners"))))
-    scratch.release()
     return follow(scratch.keep(read(spark, path), "heads"), scratch)
 
 
