@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import brute
 from docloom.llm import ann, chat, html, media, mixing, packing, simhash, substring, toxicity, warc
+from docloom.llm.common import freed
 
 DOCS = "doc_id long, text string"
 RNG = random.Random(5)
@@ -512,6 +513,30 @@ def test_hilbert_is_a_walk():
     assert sorted(key) == list(range(side**3)) and (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+def test_packing_of_a_very_long_text(spark):
+    text = prose(150_000, 31)
+    words = packing.Words(packing.tokenizer_path())
+    raw = text.encode()
+    ids = np.append(words.ids(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0], 2)
+    pieces = packing.pack(spark.createDataFrame([(1, text), (2, "short"), (None, None)], DOCS), with_ids=True).collect()
+    own = sorted((p for p in pieces if p.doc_id == 1), key=lambda p: p.start)
+    assert np.concatenate([np.frombuffer(p.ids, "<u4") for p in own]).tolist() == ids.tolist() and len(own) >= len(ids) // 4096 and all(p.doc_tokens == len(ids) for p in own)
+    assert [p.length for p in pieces if p.doc_id is None] == [1]
+
+
+def test_shuffle_files_of_written_tables_are_removed(spark):
+    from docloom.llm.common import CLEANUP, Scratch
+
+    before = spark.conf.get(CLEANUP)
+    scratch = Scratch(spark)
+    kept = scratch.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert kept.count() == 7 and spark.conf.get(CLEANUP) == before
+    with freed():
+        inner = Scratch(spark)
+        inner.keep(spark.range(3).toDF("x"), "u")
+    assert kept.count() == 7 and not os.path.exists(inner.root.removeprefix("file://")) and os.path.exists(scratch.root.removeprefix("file://"))
+
+
 def test_packing_empty(spark):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
