@@ -749,6 +749,14 @@ def asof_point(spark, sf_dir):
     return changes.point_as_of(log_of(spark, sf_dir), "users/1", middle(spark, sf_dir)[1]).select("path", "seq", "event_type")
 
 
+@query("asof_point_found", f"select path, seq, event_type from (select * from {LOG} where change_time <= {MID_TIME} {LATEST}) where not deleted and path = (select min(path) from (select * from {LOG} where change_time <= {MID_TIME} {LATEST}) where not deleted)")
+def asof_point_found(spark, sf_dir):
+    """The first document that was there at the time."""
+    log, at = log_of(spark, sf_dir), middle(spark, sf_dir)[1]
+    first = changes.as_of(log, at).agg(F.min("path")).scalar()
+    return changes.point_as_of(log, first, at).select("path", "seq", "event_type")
+
+
 @query("asof_aggregate", f"select count(*) as n, round(avg(value), 6) as a from (select * from {LOG} where change_time <= {MID_TIME} {LATEST}) where not deleted and event_type = 'click'")
 def asof_aggregate(spark, sf_dir):
     db = Database(spark)
