@@ -89,10 +89,6 @@ def parent_path(path: Column) -> Column:
     return F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), "/")
 
 
-def collection_id(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -2)
-
-
 def under(path: Column, ancestor: str, itself: bool = False) -> Column:
     """Paths below an ancestor document ('' for all), by prefix and not by pattern."""
     if not ancestor:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths as P
 from ..sources.database import PATH
 
 MOST_KEYS = 1_000
@@ -61,11 +60,6 @@ def collection_ids(all_docs: DataFrame, parent: str = "") -> DataFrame:
     return below.select(F.element_at(F.split(PATH, "/"), depth).alias("collection")).distinct().orderBy("collection")
 
 
-def ancestor_scan(df: DataFrame, ancestor: str) -> DataFrame:
-    """Entities at or below an ancestor."""
-    return df.where(P.under(F.col(PATH), ancestor, itself=True))
-
-
 def dereference(docs: DataFrame, field: str, target) -> DataFrame:
     """Documents beside those that a reference field names (a left join; the columns of the target as a struct ``<field>_document``).
 

@@ -209,24 +209,12 @@ def tombstones(live: DataFrame, deletes: DataFrame, even_absent: bool = True) ->
     return gone.withColumn("deleted", F.lit(True))
 
 
-def merge_fields(stored: dict[str, Column], written: dict[str, Column | None], mask: list[str]) -> dict[str, Column]:
-    """Update mask over top-level fields: masked and written is set, masked and not written is removed, the rest stays."""
-    out = {k: v for k, v in stored.items() if k not in mask or k in written}
-    out.update({k: written[k] for k in mask if written.get(k) is not None})
-    return out
-
-
 def conflicts(read_set: DataFrame, live: DataFrame) -> DataFrame:
     """Paths that a transaction has read (path, version) and that have changed or gone since."""
     now = live.select("path", F.col("version").alias("_now"))
     return read_set.join(now, "path", "left").where(F.col("_now").isNull() | (F.col("_now") > F.col("version"))).select("path", "version", F.col("_now").alias("current_version"))
 
 
-def commit_times(start: dt.datetime, n: int) -> list[dt.datetime]:
-    """Update times of a batch, a millisecond apart."""
-    return [start + dt.timedelta(milliseconds=i) for i in range(n)]
-
-
 def allocate_ids(incomplete: DataFrame, base: int, order: list[str], path: str | None = None) -> DataFrame:
     """Gapless ids behind ``base`` in ``order``."""
     return numbered(incomplete, order, base, "id", path)
