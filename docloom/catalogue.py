@@ -509,6 +509,10 @@ page("keyset_null_tail", Query(OF_ORDERS, order=(Order("tag", True),), start=Cur
 page("ds_path_cursor", Query(OF_ORDERS, start=Cursor(("orders/200",), False), limit=15, flavour=ENTITY), _ranked(BY_PATH, "limit 15", f"{BY_PATH} > 'orders/200'"))
 
 
+page("ds_end_cursor", Query(OF_ORDERS, order=(Order("o_custkey"),), start=Cursor((30,), True), end=Cursor((33,), True), flavour=ENTITY), _ranked(f"o_custkey, {BY_PATH}", "", "o_custkey >= 30 and o_custkey < 33"))
+page("ds_order_by_key_desc", Query(OF_ORDERS, where=Where("o_orderstatus", EQ, "P"), order=(Order(KEY, True),), limit=30, flavour=ENTITY), _ranked(f"{BY_PATH} desc", "limit 30", "o_orderstatus = 'P'"))
+
+
 @query("limit_to_last", f"select o_orderkey, row_number() over (order by o_totalprice, {BY_PATH})::int as place from (select * from orders order by o_totalprice desc, {BY_PATH} desc limit 12)")
 def limit_last(spark, sf_dir):
     db, q = db_of(spark, sf_dir, "orders"), Query(OF_ORDERS, order=(Order("o_totalprice"),), limit=12)
@@ -674,6 +678,10 @@ def distinct_on(spark, sf_dir):
     return db_of(spark, sf_dir, "orders").query(q).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
+total("agg_distinct_on_ds", "select count(*) as n, sum(o_orderkey)::bigint as s from (select o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, 'orders/' || o_orderkey desc) = 1)", [Count("n"), Sum("o_orderkey", "s")], db=lambda s, d: db_of(s, d, "orders"), order=(Order("o_totalprice", True),), distinct_on=("o_custkey",), flavour=ENTITY)
+total("agg_cursor_offset_ds", f"select count(*) as n, sum(o_orderkey)::bigint as s from (select o_orderkey from orders where o_custkey >= 20 and o_custkey <= 90 order by o_custkey, {BY_PATH} limit 60 offset 15)", [Count("n"), Sum("o_orderkey", "s")], db=lambda s, d: db_of(s, d, "orders"), order=(Order("o_custkey"),), start=Cursor((20,), True), end=Cursor((90,), False), offset=15, limit=60, flavour=ENTITY)
+
+
 # -- nearest neighbours -----------------------------------------------------------------------------------
 
 PROBE = tuple(((i * 37) % 64 - 32) / 100 for i in range(64))
@@ -765,6 +773,26 @@ def asof_aggregate(spark, sf_dir):
     return got.withColumn("a", F.round("a", 6))
 
 
+@query("asof_ordered_page", f"select path, value, row_number() over (order by value desc, path desc)::int as place from (select path, value from (select * from {LOG} where change_time <= {MID_TIME} {LATEST}) where not deleted and value < 90 order by value desc, path desc limit 25 offset 5)")
+def asof_ordered_page(spark, sf_dir):
+    """A past state is filtered, cut by a cursor, sorted, and only then skipped and limited."""
+    db = Database(spark)
+    c = db.register("users", changes.as_of(log_of(spark, sf_dir), middle(spark, sf_dir)[1]), path=F.col("path"), prefix="users")
+    q = Query((Selector("users"),), order=(Order("value", True),), start=Cursor((90.0,), False), offset=5, limit=25)
+    return placed(db.query(q), q, c).select("path", "value", "place")
+
+
+@query("asof_collection_group", f"select path, seq from (select * from (select seq, 'region/' || (user_id % 5) || '/users/' || user_id as path, change_time, deleted from (select *, split_part(path, '/', 2)::bigint as user_id from {LOG})) where change_time <= {MID_TIME} {LATEST}) where not deleted and starts_with(path, 'region/1/')")
+def asof_collection_group(spark, sf_dir):
+    """Collections of one id at several parents in a past state: the parent counts."""
+    log = log_of(spark, sf_dir)
+    user = F.substring_index("path", "/", -1)
+    nested = log.withColumn("path", F.concat(F.lit("region/"), (user.cast("long") % 5).cast("string"), F.lit("/users/"), user))
+    db = Database(spark)
+    db.register("users", changes.as_of(nested, middle(spark, sf_dir)[1]), path=F.col("path"))
+    return db.query(Query((Selector("users", True),), parent="region/1")).select("path", "seq")
+
+
 @query("changes_since_seq", f"select path, min_seq as first_seq, seq, deleted from (select *, min(seq) over (partition by path) as min_seq from {LOG} where seq > {MID} {LATEST})")
 def changes_since_seq(spark, sf_dir):
     return changes.since_seq(log_of(spark, sf_dir), middle(spark, sf_dir)[0]).select("path", "first_seq", "seq", "deleted")

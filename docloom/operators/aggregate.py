@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..plans.analyze import analyze, required_for
-from ..plans.build import _exists, filtered, sort_keys
+from ..plans.build import _exists, filtered, first_of_each, sort_keys
 from ..plans.model import ENTITY, Avg, Count, Order, Query, Selector, Sum
 
 LONG_MAX = (1 << 63) - 1
@@ -61,6 +61,8 @@ def aggregate(db, q: Query, aggregations) -> DataFrame:
             df = filtered(plan, c)
             for f in required:
                 df = df.where(_exists(f, c))
+            if q.distinct_on:
+                df = first_of_each(df, plan, c)
             if q.limit or q.offset or (q.flavour == ENTITY and q.limit == 0):
                 df = df.orderBy(*[k for o in plan.order for k in sort_keys(o, c, q.flavour)])
                 df = df.offset(q.offset) if q.offset else df

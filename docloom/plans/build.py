@@ -87,6 +87,14 @@ def filtered(plan: Plan, c: Collection) -> DataFrame:
     return df
 
 
+def first_of_each(df: DataFrame, plan: Plan, c: Collection) -> DataFrame:
+    """The first row in the query's order for each combination of the distinct fields."""
+    q = plan.query
+    by = [c.value(f)["key"] if c.dynamic else c.typed(f)[0] for f in q.distinct_on]
+    keys = [k for o in plan.order for k in sort_keys(o, c, q.flavour)]
+    return df.withColumn("_nth", F.row_number().over(W.partitionBy(*by).orderBy(*keys))).where("_nth = 1").drop("_nth")
+
+
 def one_selector(plan: Plan, c: Collection) -> DataFrame:
     q = plan.query
     df = filtered(plan, c)
@@ -96,8 +104,7 @@ def one_selector(plan: Plan, c: Collection) -> DataFrame:
         return find_nearest(df, q.nearest, c)
     keys = [k for o in plan.order for k in sort_keys(o, c, q.flavour)]
     if q.distinct_on:
-        by = [c.typed(f)[0] if not c.dynamic else c.value(f)["key"] for f in q.distinct_on]
-        df = df.withColumn("_nth", F.row_number().over(W.partitionBy(*by).orderBy(*keys))).where("_nth = 1").drop("_nth")
+        df = first_of_each(df, plan, c)
     nothing = q.flavour == ENTITY and q.limit == 0
     limited = q.limit is not None and (q.limit > 0 or nothing)
     if limited or q.offset or q.order:
