@@ -11,12 +11,14 @@ from docloom.errors import Aborted, FailedPrecondition, InvalidArgument, NotFoun
 from docloom.functions import paths as P
 from docloom.functions import values as V
 from docloom.operators import changes, lookup, mutate, transforms
+from docloom.operators.numbering import numbered
 from docloom.plans import explain
 from docloom.plans import page as pages
 from docloom.plans.model import CONTAINS, CONTAINS_ANY, DOCUMENT, ENTITY, EQ, GE, GT, IN, IS_NAN, IS_NOT_NAN, IS_NOT_NULL, IS_NULL, LT, NAME, NE, NOT_IN, Avg, Count, Cursor, Nearest, Order, Query, Selector, Sum, Where, all_of, any_of
 from docloom.sources import indexes, wire
 from docloom.sources.changelog import ChangeLog
 from docloom.sources.database import PATH, Database
+from docloom.sources.shared import shared_dir
 from docloom.streaming import watch
 
 W = (Selector("w"),)
@@ -344,3 +346,28 @@ def test_indexes_keys_and_references(spark, tmp_path):
     c = db.register("u", spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string"), key="k")
     docs = spark.createDataFrame([("u/2",), ("u/9",), ("q/2",), ("u/2/p/1",), (None,)], "ref string")
     assert [(r.ref, r.ref_document.v if r.ref_document else None) for r in lookup.dereference(docs, "ref", c).orderBy(F.asc_nulls_last("ref")).collect()] == [("q/2", None), ("u/2", "y"), ("u/2/p/1", None), ("u/9", None), (None, None)]
+
+
+def test_numbers_are_gapless_over_many_tasks(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), F.lit("x").alias("id_of"))
+    got = numbered(df.repartition(9), ["v"], 100, "n").collect()
+    assert sorted(r.n for r in got) == list(range(101, 5101)) and all(r.n == 101 + r.v for r in got)
+    assert numbered(df.limit(0), ["v"], 5, "n").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+    Session.sparkContext.master = "local-cluster[3,2,1024]"
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
