@@ -43,6 +43,7 @@ LEAST_CENTROIDS, MOST_CENTROIDS = 128, 1024
 SAMPLE_EACH, SAMPLE = 32, 8192
 PROBE = 0.45
 BLOCK, QUERIES, WALKS = 1024, 256, 64
+ASSIGNED = 2048
 
 
 def centroids_for(n: int) -> int:
@@ -63,7 +64,11 @@ def kmeans(data: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndar
 
 
 def assign(data: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    return np.argmin((centre * centre).sum(axis=1) - 2 * data.astype(np.float64) @ centre.T, axis=1)
+    """The nearest centre of each row; distances of so many rows are held at a time."""
+    own, near = (centre * centre).sum(axis=1), np.empty(len(data), np.int64)
+    for at in range(0, len(data), ASSIGNED):
+        near[at : at + ASSIGNED] = np.argmin(own - 2 * data[at : at + ASSIGNED].astype(np.float64) @ centre.T, axis=1)
+    return near
 
 
 def spans(query: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -102,6 +107,23 @@ def sound(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     )
 
 
+def sampled(vectors: DataFrame, n: int, sample: int) -> pa.ChunkedArray:
+    """The ``sample`` of n vectors with the least hashes of their ids.
+
+    Of a large table only hashes low enough for twice as many are sorted, so that
+    the task that merges the sample reads about as many rows at every size.
+    """
+    place, share = F.xxhash64("vec_id"), 2 * sample / n
+
+    def least(some: DataFrame) -> pa.Table:
+        return some.orderBy(place, "vec_id", "v").limit(sample).select("v").toArrow()
+
+    got = least(vectors.where(place < F.lit(int(share * (1 << 64)) - (1 << 63)))) if share < 1 else None
+    if got is None or got.num_rows < sample:  # ids that repeat much
+        got = least(vectors)
+    return got.column("v")
+
+
 class Index:
     """Centroids, cell counts, and the blocks of all vectors."""
 
@@ -115,7 +137,7 @@ class Index:
         centroids = centroids or centroids_for(by_size["count"])
         sample = sample or max(SAMPLE, SAMPLE_EACH * centroids)
         vectors = vectors.where(F.size("v") == self.dim)
-        some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toArrow().column("v")
+        some = sampled(vectors, by_size["count"], sample)
         data = np.concatenate([_matrix(c) for c in some.chunks])
         self.centres = [kmeans(part, centroids) for part in (data[:, : self.half], data[:, self.half :])] if self.half else [np.zeros((1, 0)), kmeans(data, centroids)]
         centres, half = self.centres, self.half
@@ -210,7 +232,8 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, *, every: int =
         .groupBy("i", "part")
         .agg(F.collect_list(F.struct("vec_id", "j", "v")).alias("block"))
     )
-    met = blocks.join(reached, ["i", "part"]).select("i", "block", "asked")
+    # Spark's estimate doesn't see that a query is copied to every block it reaches, so it would broadcast them all.
+    met = blocks.join(reached.hint("merge"), ["i", "part"]).select("i", "block", "asked")
     found = met.mapInArrow(_rank_batches(index, nearest), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

@@ -415,6 +415,19 @@ def test_search_small_and_empty(spark):
     assert ann.search(few.limit(0)).count() == 0
 
 
+def test_queries_and_sample_stay_off_the_driver(spark, monkeypatch):
+    """Queries are copied to every block they reach, which Spark's estimate doesn't see: they are never broadcast."""
+    _, df = vectors(spark)
+    got = ann.search(df)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.count() > 0
+    held = ann.sound(df).where("size(v) = 16")
+    want = held.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(100).select("v").toArrow().column("v")
+    assert ann.sampled(held, 1251, 100).equals(want) and ann.sampled(held, 10**6, 100).equals(want)
+    x = np.random.default_rng(3).standard_normal((50, 4))
+    monkeypatch.setattr(ann, "ASSIGNED", 7)
+    assert ann.assign(x, x[:9]).tolist() == [int(np.argmin(((x[:9] - y) ** 2).sum(axis=1))) for y in x]
+
+
 def test_walk_visits_cells_by_sum():
     counts = np.array([[1, 0, 2], [3, 1, 0]])
     first, second = np.array([0.5, 0.1]), np.array([0.3, 0.0, 0.9])
