@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``; each stage's rows are written and read by the next.
 
 1. toxicity: documents that the classifier chain rejects are left out;
-2. near duplicates: of documents whose five-word shingles are similar by 0.8 or more, one stays;
+2. near duplicates: SimHash fingerprints are linked tile by tile and checked by shingle sets, as are pairs beyond their
+   radius that share minimal hashes; of documents whose five-word shingles are similar by 0.8 or more, one stays;
 3. substring dedup: words covered by repeated 50-word windows are cut from texts;
 4. mixing: sources are brought to their target weights, documents whole;
 5. packing: token sequences along the Hilbert curve, one row per piece.

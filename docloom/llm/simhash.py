@@ -215,9 +215,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
 
 # -- near-duplicates by similarity: documents whose shingle sets have a Jaccard similarity of at least ``least`` --------
 #
+# Fingerprints are linked as above, tile by tile, and the documents of a component are checked by their shingle sets.
 # At a similarity of 0.8 fingerprints of 64 bits differ in 5 to 14 bits, too many for tables that agree on whole blocks,
-# and comparing all tiles of a corpus at such a radius is quadratic.  So tiles hold documents that share a band of
-# minimal shingle hashes.  Inside a tile a pair is skipped only if its sizes, or the numbers of its hashes in 64 ranges,
+# and comparing all tiles of a corpus at such a radius is quadratic.  So documents beyond the radius meet where they share
+# a band of minimal shingle hashes.  A group that meets is cut into tiles.  Inside a tile a pair is skipped only if its
+# sizes, or the numbers of its hashes in 64 ranges,
 # leave no room for an overlap that is large enough; every other pair is checked by its whole shingle sets.  Sets hold
 # 32 bits of each shingle's hash: of n shingles of one text and m of another, n * m / 2**32 agree by chance (2e-5 for
 # texts of 300 words), which can only decide a pair within that of the limit.
@@ -257,16 +259,18 @@ def _sign_batches(shingle: int):
             for a, e, data, offsets in slices(b.column("text")):
                 starts, ends, first = word_bounds(data, offsets)
                 words = word_hashes(lower[data], starts, ends)
-                prints, sets, keys = [], [], []
-                for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                prints, fps, sets, keys = [], [], [], []
+                raw, cuts = data.tobytes(), offsets.tolist()
+                for x, y, start, end in zip(first[:-1].tolist(), first[1:].tolist(), cuts[:-1], cuts[1:], strict=True):
                     own = words[x:y]
+                    fps.append(fingerprint(raw[start:end]))
                     h = shingle_set(own, shingle)
                     prints.append(int(span_hashes(running(own, _SHINGLE_BASE), np.array([0]), np.array([len(own)]), _SHINGLE_BASE, _SHINGLE_INV).view(np.int64)[0]))
                     sets.append((h >> np.uint64(32)).astype(np.uint32).tobytes())
                     keys.append(bands(h).view(np.int64) if len(h) else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(a, e - a), b.column("text_hash").slice(a, e - a), pa.array(prints, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "text_hash", "print", "set", "bands"],
+                    [b.column("doc_id").slice(a, e - a), b.column("text_hash").slice(a, e - a), pa.array(prints, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "text_hash", "print", "fp", "set", "bands"],
                 )
 
     return run
@@ -320,8 +324,9 @@ def _similar_batches(least: float):
 def similar(docs: DataFrame, *, shingle: int = NEAR_SHINGLE, least: float = LEAST, tile: int = NEAR_TILE) -> DataFrame:
     """doc_id, print, component_id: documents linked by a similarity of ``least`` or more (equal word sequences are one class).
 
-    A pair at 0.8 shares one of 16 bands of four minimal hashes with a
-    probability of 0.9998; pairs that meet are decided exactly.
+    Pairs whose fingerprints link all meet.  One beyond their radius, at 0.8,
+    shares one of 16 bands of four minimal hashes with a probability of 0.9998;
+    pairs that meet are decided exactly.
     """
     return _grouped(docs, shingle, least, tile).select("doc_id", "print", "component_id")
 
@@ -330,9 +335,13 @@ def _grouped(docs: DataFrame, shingle: int = NEAR_SHINGLE, least: float = LEAST,
     """The rows of ``similar`` with the hash of the text and the root of the component."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    signed = scratch.keep(rows.mapInArrow(_sign_batches(shingle), "doc_id long, text_hash long, print long, set binary, bands array<long>"), "signed")
-    classes = scratch.keep(signed.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.max(F.octet_length("set")).cast("long").alias("bytes")), "classes")
-    met = classes.select("print", "bytes", F.explode("bands").alias("band"))
+    signed = scratch.keep(rows.mapInArrow(_sign_batches(shingle), "doc_id long, text_hash long, print long, fp long, set binary, bands array<long>"), "signed")
+    classes = scratch.keep(signed.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.max(F.octet_length("set")).cast("long").alias("bytes")), "classes")
+    # A component of linked fingerprints is one more group whose documents meet.
+    tiled = Scratch(docs.sparkSession)
+    linked = components(links(classes.select("fp").distinct(), tiled), tiled).select(F.col("node").alias("fp"), "root")
+    near = classes.join(linked, "fp", "left").select("print", "bytes", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("band"))
+    met = classes.select("print", "bytes", F.explode("bands").alias("band")).union(near)
     # A tile is bounded in rows and in bytes.
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(tile), F.sum("bytes") / F.lit(NEAR_TILE_BYTES))).cast("int")
     sized = met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).where("n > 1")

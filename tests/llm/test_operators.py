@@ -174,6 +174,20 @@ def test_similar_equals_brute_force(spark, tile):
     assert {r.doc_id: r.component_id for r in got.collect()} == brute.similar(rows)
 
 
+def test_representatives_come_by_their_fingerprints(spark, monkeypatch):
+    """Documents that share no band meet by fingerprints within the radius, tile by tile, and are then checked by their sets."""
+    base = prose(900, 78).split()
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1])), (3, " ".join([*base[:400], "edit", *base[401:]])), (4, prose(900, 79)), (5, None), (6, ""), (7, "spam " * 200), (8, "spam " * 200 + "end")]
+    bits = [simhash.fingerprint(t.encode()) for _, t in rows[:3]]
+    assert len(set(bits)) > 1 and max((bits[0] ^ b).bit_count() for b in bits) <= 4
+    own, linked = simhash.links, []
+    monkeypatch.setattr(simhash, "bands", lambda hashes: np.empty(0, np.uint64))
+    monkeypatch.setattr(simhash, "links", lambda *a, **kw: linked.append(own(*a, **kw)) or linked[-1])
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r.doc_id: r.component_id for r in simhash.similar(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8} and len(linked) == 1
+    assert sorted(r.doc_id for r in simhash.keep_representatives(df).collect()) == [1, 4, 5, 7, 8]
+
+
 def test_representatives(spark, docs):
     kept = simhash.keep_representatives(docs)
     ids = [r.doc_id for r in kept.collect()]
