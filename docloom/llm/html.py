@@ -7,9 +7,10 @@ optional, runs of like elements become a repeated group, and text becomes a
 slot with its statistics.  Tasks fold their own pages first (one wrapper per
 host and task), and wrappers are merged in two steps, one at a time from a
 sorted stream, so a host with a third of all pages is no more than one wrapper
-per task and never a group in memory.  A wrapper is bounded: elements below
-``DEPTH`` count as text of those above, and groups of very wide or very varied
-pages are merged (this bounds the wrapper alone; pages are read whole).  Alignment depends
+per task and never a group in memory.  A wrapper holds every group of its
+host's pages, however rare (elements below ``DEPTH`` count as text of those
+above); a task passes on a wrapper of many groups and begins anew, and very wide
+elements are aligned by signature in place of order.  Alignment depends
 on its order, that of tasks and of wrappers, so other partitions may give another
 wrapper of pages that differ much.
 
@@ -164,7 +165,8 @@ def tokens(html: str, held: dict[str, tuple[int, Tag | None]] = {}) -> Iterator[
 # -- wrappers: [signature, pages, text, link text, optional, repeated, children, print, article] ---------
 
 
-#: Levels, groups beside each other, and groups in all of a wrapper.
+#: Levels of a wrapper; groups beside each other that are aligned in order, beyond which they are aligned by signature;
+#: groups of the wrapper of a host that a task holds before it passes it on to be merged.
 DEPTH, WIDTH, MOST_GROUPS = 60, 64, 4_000
 
 
@@ -248,9 +250,12 @@ def fold(node: list) -> list:
 
 
 def narrow(kids: list[list]) -> list[list]:
-    """At most WIDTH groups beside each other: like ones anywhere become one, then those with the least text one without a name."""
-    if len(kids) <= WIDTH:
-        return kids
+    """Beyond WIDTH groups beside each other, like ones anywhere become one; different ones all stay."""
+    return _apart(kids) if len(kids) > WIDTH else kids
+
+
+def _apart(kids: list[list]) -> list[list]:
+    """One group of each signature."""
     by: dict[str, list] = {}
     for k in kids:
         if k[0] in by:
@@ -258,37 +263,17 @@ def narrow(kids: list[list]) -> list[list]:
             by[k[0]][5] = True
         else:
             by[k[0]] = k
-    out = list(by.values())
-    if len(out) > WIDTH:
-        least = set(sorted(range(len(out)), key=lambda i: out[i][2])[: len(out) - WIDTH + 1])
-        rest = ["*", max(out[i][1] for i in least), sum(out[i][2] for i in least), sum(out[i][3] for i in least), True, True, [], -1, max(out[i][8] for i in least)]
-        out = [k for i, k in enumerate(out) if i not in least] + [rest]
-    return out
+    return list(by.values())
 
 
 def prune(wrapper: list) -> list:
-    """The wrapper without the groups on the fewest pages, as long as it has more than MOST_GROUPS; their text is that of the group above."""
-
-    def pages(node: list) -> list[int]:
-        return [node[1]] + [p for k in node[6] for p in pages(k)]
+    """The wrapper with like groups beside each other made one wherever there are many; no group is lost."""
+    wrapper[6] = narrow([prune(k) for k in wrapper[6]])
+    return wrapper
 
-    every = sorted(pages(wrapper), reverse=True)
-    if len(every) <= MOST_GROUPS:
-        return wrapper
-    least = every[MOST_GROUPS]
 
-    def cut(node: list) -> list:
-        kept = []
-        for k in node[6]:
-            k = cut(k)
-            if k[1] <= least:
-                node[2], node[3], node[7] = node[2] + k[2], node[3] + k[3], -1
-            else:
-                kept.append(k)
-        node[6] = kept
-        return node
-
-    return cut(wrapper)
+def groups(node: list) -> int:
+    return 1 + sum(map(groups, node[6]))
 
 
 def _print(a: int, b: int, same_page: bool) -> int:
@@ -305,7 +290,12 @@ def align(a: list, b: list, same_page: bool = False) -> list:
     if [k[0] for k in x] == [k[0] for k in y]:
         out[6] = [align(p, q, same_page) for p, q in zip(x, y, strict=True)]
         return out
-    n, m = len(x), len(y)  # at most WIDTH and a bit
+    if max(len(x), len(y)) > WIDTH:  # many groups: by signature, in linear time
+        mine, theirs = ({k[0]: k for k in _apart(z)} for z in (x, y))
+        out[6] = [align(k, theirs[s], same_page) if s in theirs else [*k[:4], True, *k[5:]] for s, k in mine.items()]
+        out[6] += [[*k[:4], True, *k[5:]] for s, k in theirs.items() if s not in mine]
+        return out
+    n, m = len(x), len(y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -506,7 +496,7 @@ HOSTS_HELD, SALTS = 2_000, 32
 
 
 def _row(held: dict[tuple, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([json.dumps(prune(w)) for w in held.values()], pa.string())], ["host", "wrapper"])
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], ["host", "wrapper"])
 
 
 def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,8 +505,8 @@ def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, html in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             page, key = skeleton(html.as_py() or ""), (h,)
             held[key] = align(held[key], page) if key in held else page
-            if held[key][1] % 64 == 0:
-                held[key] = prune(held[key])
+            if held[key][1] % 64 == 0 and groups(held[key]) > MOST_GROUPS:
+                yield _row({key: held.pop(key)})
             if len(held) > HOSTS_HELD:
                 yield _row(held)
                 held.clear()
@@ -534,7 +524,7 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     yield _row({tuple(key): got})
                 key, got = new, json.loads(w)
             else:
-                got = prune(align(got, json.loads(w)))
+                got = align(got, json.loads(w))
     if got is not None:
         yield _row({tuple(key): got})
 

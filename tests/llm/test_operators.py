@@ -701,6 +701,19 @@ def test_wrapper_of_a_hot_host_is_merged_from_many_tasks(spark):
     assert html.wrappers(df.repartition(9)).count() == 31
 
 
+def test_wrapper_keeps_rare_groups_of_a_varied_host(spark, monkeypatch):
+    """300 boxes, each the same on three pages, beside more groups than a task holds: all are left out, in one task or many."""
+    monkeypatch.setattr(html, "MOST_GROUPS", 200)
+    rows = [(i, "http://varied.x/p", f"<body><div class=k1><p>{prose(30, i)}</p><p>{prose(30, 9000 + i)}</p><div class=box{i // 3}>Section {i // 3} is brought to you by its friends</div></div></body>") for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {i: prose(30, i) + "\n\n" + prose(30, 9000 + i) for i in range(900)}
+    wrapper = None
+    for _, _, page in rows:
+        s = html.skeleton(page)
+        wrapper = s if wrapper is None else html.prune(html.align(wrapper, s))
+    assert html.groups(wrapper) == 1 + 1 + 1 + 1 + 300 and sum(k[1] for k in wrapper[6][0][6][0][6]) == 900 * 2
+
+
 def test_wrapper_decides_on_pages_with_articles():
     def page(k):
         body = "".join(f"<p>{prose(40, 10 * k + j)}</p>" for j in range(3))
