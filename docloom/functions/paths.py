@@ -101,7 +101,7 @@ def path_key(path: Column) -> Column:
     """Sort key of a path: segment by segment, numeric ids (__id7__) first and by number, only at document positions."""
 
     def one(s: Column, i: Column) -> Column:
-        number = F.regexp_extract(s, r"^__id(-?[0-9]+)__$", 1).try_cast("long")
+        number = F.when(s.startswith("__id"), F.regexp_extract(s, r"^__id(-?[0-9]+)__$", 1).try_cast("long"))
         numeric = (i % 2 == 1) & number.isNotNull()
         return F.struct(
             F.when(numeric, 0).otherwise(1).alias("kind"), F.when(numeric, number).otherwise(F.lit(0)).cast("long").alias("number"), F.when(numeric, F.lit("")).otherwise(s).alias("text")

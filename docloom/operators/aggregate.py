@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..plans.analyze import analyze, required_for
-from ..plans.build import _exists, filtered, first_of_each, sort_keys
+from ..plans.build import _exists, filtered, first_of_each, key_columns
+from ..plans.ordered import ordered
 from ..plans.model import ENTITY, Avg, Count, Order, Query, Selector, Sum
 
 LONG_MAX = (1 << 63) - 1
@@ -64,9 +65,7 @@ def aggregate(db, q: Query, aggregations) -> DataFrame:
             if q.distinct_on:
                 df = first_of_each(df, plan, c)
             if q.limit or q.offset or (q.flavour == ENTITY and q.limit == 0):
-                df = df.orderBy(*[k for o in plan.order for k in sort_keys(o, c, q.flavour)])
-                df = df.offset(q.offset) if q.offset else df
-                df = df.limit(q.limit) if q.limit is not None and (q.limit > 0 or q.flavour == ENTITY) else df
+                df = ordered(df, key_columns(plan.order, c, q.flavour), q.offset, q.limit if q.limit is not None and (q.limit > 0 or q.flavour == ENTITY) else None)
             ups = [a.up_to for a in aggregations if isinstance(a, Count)]
             if len(ups) == len(aggregations) and all(u is not None for u in ups):
                 df = df.limit(max(ups))  # no need to read on

@@ -1,7 +1,8 @@
 """From an analysed query to a DataFrame: scan, filter, cursors, distinct, sort, offset and limit, projection.
 
-Only lazily evaluated DataFrame operations; sort with limit becomes Spark's
-top-k, filters on stored columns reach the scan.
+Lazily evaluated DataFrame operations; sort with limit becomes Spark's top-k,
+filters on stored columns reach the scan.  Only a deep page (``ordered``) is lined
+up when the query is built.
 """
 
 from __future__ import annotations
@@ -20,20 +21,28 @@ from ..sources.database import PATH, Collection
 from .analyze import analyze
 from .filters import compile_filter, typed_literal
 from .model import DOCUMENT, ENTITY, KEY, NAME, Order, Plan, Query, Selector
+from .ordered import keyed, ordered
 
 _FLOAT = (T.DoubleType, T.FloatType)
 
 
+def key_columns(order: list[Order], c: Collection, flavour: str) -> list[tuple[Column, bool]]:
+    """What an order compares, and whether it descends."""
+    return [(k, o.descending) for o in order for k in _compared(o, c, flavour)]
+
+
 def sort_keys(o: Order, c: Collection, flavour: str) -> list[Column]:
     """Columns that order by ``o``: absent and null lowest, NaN before all numbers, names by path."""
+    return [k.desc_nulls_last() if o.descending else k.asc_nulls_first() for k in _compared(o, c, flavour)]
+
+
+def _compared(o: Order, c: Collection, flavour: str) -> list[Column]:
     if o.field in (NAME, KEY):
-        keys = [path_key(c.path) if c.virtual_ids and flavour == DOCUMENT else c.path]
-    elif c.dynamic:
-        keys = [c.value(o.field)["key"]]
-    else:
-        col, kind = c.typed(o.field)
-        keys = [F.when(col.isNull(), 0).when(F.isnan(col), 1).otherwise(2), col] if isinstance(kind, _FLOAT) else [col]
-    return [k.desc_nulls_last() if o.descending else k.asc_nulls_first() for k in keys]
+        return [path_key(c.path) if c.virtual_ids and flavour == DOCUMENT else c.path]
+    if c.dynamic:
+        return [c.value(o.field)["key"]]
+    col, kind = c.typed(o.field)
+    return [F.when(col.isNull(), 0).when(F.isnan(col), 1).otherwise(2), col] if isinstance(kind, _FLOAT) else [col]
 
 
 def _exists(field: str, c: Collection) -> Column:
@@ -91,8 +100,8 @@ def first_of_each(df: DataFrame, plan: Plan, c: Collection) -> DataFrame:
     """The first row in the query's order for each combination of the distinct fields."""
     q = plan.query
     by = [c.value(f)["key"] if c.dynamic else c.typed(f)[0] for f in q.distinct_on]
-    keys = [k for o in plan.order for k in sort_keys(o, c, q.flavour)]
-    return df.withColumn("_nth", F.row_number().over(W.partitionBy(*by).orderBy(*keys))).where("_nth = 1").drop("_nth")
+    df, keys, names = keyed(df, key_columns(plan.order, c, q.flavour))
+    return df.withColumn("_nth", F.row_number().over(W.partitionBy(*by).orderBy(*keys))).where("_nth = 1").drop("_nth", *names)
 
 
 def one_selector(plan: Plan, c: Collection) -> DataFrame:
@@ -102,16 +111,13 @@ def one_selector(plan: Plan, c: Collection) -> DataFrame:
         from ..operators.vector import find_nearest
 
         return find_nearest(df, q.nearest, c)
-    keys = [k for o in plan.order for k in sort_keys(o, c, q.flavour)]
     if q.distinct_on:
         df = first_of_each(df, plan, c)
     nothing = q.flavour == ENTITY and q.limit == 0
     limited = q.limit is not None and (q.limit > 0 or nothing)
     if limited or q.offset or q.order:
-        df = df.orderBy(*keys)
-    if q.offset:
-        df = df.offset(q.offset)
-    return df.limit(max(q.limit, 0)) if limited else df
+        df = ordered(df, key_columns(plan.order, c, q.flavour), q.offset, max(q.limit, 0) if limited else None)
+    return df
 
 
 def project(df: DataFrame, q: Query, c: Collection) -> DataFrame:
@@ -172,9 +178,7 @@ def _kindless(db, q: Query, plan: Plan, s: Selector) -> DataFrame:
     every = reduce(lambda a, b: a.unionByName(b), [as_dynamic(one_selector(inner, c), c) for c in db.scans(s, q.parent)])
     whole = Collection("", every, virtual_ids=False)
     if q.limit or q.offset or q.order:
-        every = every.orderBy(*[k for o in plan.order for k in sort_keys(o, whole, q.flavour)])
-        every = every.offset(q.offset) if q.offset else every
-        every = every.limit(q.limit) if q.limit and q.limit > 0 else every
+        every = ordered(every, key_columns(plan.order, whole, q.flavour), q.offset, q.limit if q.limit and q.limit > 0 else None)
     return project(every, q, whole)
 
 
@@ -202,5 +206,4 @@ def limit_to_last(db, q: Query) -> DataFrame:
     back = replace(q, order=tuple(Order(o.field, not o.descending) for o in plan.order))
     (c,) = db.scans(q.selectors[0], q.parent)
     got = build(db, back)
-    keys = [k for o in plan.order for k in sort_keys(o, Collection(c.name, got, c.nulls, c.unindexed, c.virtual_ids), q.flavour)]
-    return got.orderBy(*keys)
+    return ordered(got, key_columns(plan.order, Collection(c.name, got, c.nulls, c.unindexed, c.virtual_ids), q.flavour))

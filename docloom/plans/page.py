@@ -64,7 +64,7 @@ def page(db, q: Query, token: str | None = None) -> Page:
     ordered = rows.select(PATH, *(f"`{f}`" for f in fields))
     held = ordered.tail(1)  # in the order of the query
     n = rows.count() if q.limit else None
-    skipped = min(q.offset, build(db, replace(q, offset=0, limit=q.offset)).count()) if q.offset else 0
+    skipped = min(q.offset, build(db, replace(q, offset=0, limit=None)).count()) if q.offset else 0
     more = MORE if q.limit and n == q.limit else DONE
     return Page(rows, skipped, more, encode_cursor(held[0][PATH], [(f, held[0][f]) for f in fields]) if held else None)
 

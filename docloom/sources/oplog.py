@@ -7,6 +7,8 @@ import time as clock
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ordered import ordered
+
 LIMIT, MOST = 100, 1000
 
 
@@ -25,8 +27,7 @@ def search(log: DataFrame, *, contains: dict[str, str] | None = None, equals: di
         df = df.where(F.col(time) >= F.lit(since))
     if until is not None:
         df = df.where(F.col(time) < F.lit(until))
-    df = df.orderBy(F.desc(order) if descending else F.asc(order))
-    return (df.offset(offset) if offset else df).limit(min(limit if limit > 0 else LIMIT, MOST))
+    return ordered(df, [(F.col(order), descending)], offset, min(limit if limit > 0 else LIMIT, MOST))
 
 
 def metrics(log: DataFrame, group: str, value: str, failed) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -371,3 +372,20 @@ def test_a_cluster_needs_a_shared_folder():
     Session.sparkContext.master = "local-cluster[3,2,1024]"
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+@pytest.mark.parametrize("down", [False, True])
+@pytest.mark.parametrize("offset, limit", [(5, 10), (11_990, 60), (20_470, 60), (30_000, 5), (0, 15_000), (19_000, None), (0, None)])
+def test_deep_pages_are_lined_up_and_keys_computed_once(spark, down, offset, limit):
+    n = 20_500
+    k = F.col("k").cast("string")
+    path = F.concat(F.lit("w/"), F.when(F.col("k") % 2 == 1, F.concat(F.lit("__id"), k, F.lit("__"))).otherwise(k))
+    db = Database(spark)
+    db.register("w", spark.range(n).select((F.col("id") * 7919 % n).alias("k")).repartition(5), path=path, prefix="w", virtual_ids=True)
+    got = db.query(Query((Selector("w"),), order=(Order(NAME, down),), offset=offset, limit=limit))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    held = [int(x) for x in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", plan)]
+    assert all(h <= 10_000 for h in held)
+    assert not re.search(r"(TakeOrderedAndProject|Sort)[^\n]*transform\(", plan.split("== Initial Plan ==")[0])
+    want = sorted(range(n), key=lambda i: (0, i, "") if i % 2 else (1, 0, str(i)), reverse=down)[offset:]
+    assert [r.k for r in got.collect()] == (want if limit is None else want[:limit])
