@@ -299,7 +299,7 @@ select o_orderkey, case when o_orderkey % 3 = 0 then true end as tag_is_null, (o
 def wire_all_types(spark, sf_dir):
     """Documents with values of all types to wire JSON, back, and to the same JSON again."""
     o = derived(spark, sf_dir).tables["orders"][0].df
-    o = o.withColumn("even", F.col("o_orderkey") % 2 == 0).withColumn("vec", F.array(F.lit(0.5), (F.col("o_orderkey") % 10) / F.lit(4.0)))
+    o = wire.spread(o).withColumn("even", F.col("o_orderkey") % 2 == 0).withColumn("vec", F.array(F.lit(0.5), (F.col("o_orderkey") % 10) / F.lit(4.0)))
     columns = ["o_orderkey", "price", "tag", "coord", "loc", "data", "ref", "nums", "o_orderdate", "even", "vec"]
     sent = o.select(wire.encode(o, F.col(PATH), columns, roles={"loc": "geo", "ref": "reference", "vec": "vector"}, nulls=frozenset({"tag"})).alias("json"))
     both = wire.decode(sent, keep=("json",))

@@ -8,6 +8,9 @@ documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,21 +31,36 @@ def parsed(raw: Column) -> Column:
     return F.struct(raw.alias("raw"), F.from_json(raw, PARSED).alias("p"))
 
 
-def _leaf(x: Column) -> dict[str, Column]:
-    """The fields of a value's key from its parts."""
+def _ranked(x: Column) -> Column:
+    """A parsed value with its rank and the text of its number."""
     p = x["p"]
-    num = F.coalesce(p["integerValue"], p["doubleValue"])
-    nan = num == "NaN"
-    number = F.when(nan, 0.0).when(num == "Infinity", F.lit(float("inf"))).when(num == "-Infinity", F.lit(float("-inf"))).otherwise(num.try_cast("double"))
     rank = F.lit(V.NULL)
     for tag, r in (("mapValue", V.MAP), ("arrayValue", V.ARRAY), ("geoPointValue", V.GEO), ("referenceValue", V.REFERENCE), ("bytesValue", V.BYTES), ("stringValue", V.STRING), ("timestampValue", V.TIMESTAMP), ("doubleValue", V.NUMBER), ("integerValue", V.NUMBER), ("booleanValue", V.BOOLEAN)):
         rank = F.when(p[tag].isNotNull(), F.lit(r)).otherwise(rank)
-    vector = F.coalesce(p["mapValue"]["fields"]["__type__"] == VECTOR_MARK, F.lit(False))
+    rank = F.when(p["mapValue"]["fields"]["__type__"] == VECTOR_MARK, V.VECTOR).otherwise(rank)
+    return F.struct(x["raw"].alias("raw"), p.alias("p"), rank.alias("rank"), F.coalesce(p["integerValue"], p["doubleValue"]).alias("digits"))
+
+
+def _known(x: Column) -> Column:
+    """A ranked value with its number, and the texts of a vector's numbers."""
+    n = x["digits"]
+    number = F.when(n.isNotNull(), F.when(n == "NaN", 0.0).when(n == "Infinity", F.lit(float("inf"))).when(n == "-Infinity", F.lit(float("-inf"))).otherwise(n.try_cast("double")))
+    numbers = F.when(x["rank"] == V.VECTOR, F.from_json(x["p"]["mapValue"]["fields"]["value"], PARSED)["arrayValue"]["values"])
+    return F.struct(*[x[k].alias(k) for k in ("raw", "p", "rank", "digits")], number.alias("number"), numbers.alias("numbers"))
+
+
+#: What is used several times is worked out in a step before: expressions in lambdas are not shared.
+STEPS = (parsed, _ranked, _known)
+
+
+def _leaf(x: Column) -> dict[str, Column]:
+    """The fields of a value's key from what is known of it."""
+    p, n = x["p"], x["digits"]
     return {
-        "rank": F.when(vector, V.VECTOR).otherwise(rank),
-        "real": F.when(p["booleanValue"].isNotNull(), (p["booleanValue"] == "true").cast("int")).when(num.isNotNull(), F.when(nan, 0).otherwise(1)),
-        "num": F.when(num.isNotNull(), number),
-        "exact": F.coalesce(p["integerValue"].try_cast("long"), F.when(~nan, V._exact(number, False))),
+        "rank": x["rank"],
+        "real": F.when(p["booleanValue"].isNotNull(), (p["booleanValue"] == "true").cast("int")).when(n.isNotNull(), F.when(n == "NaN", 0).otherwise(1)),
+        "num": x["number"],
+        "exact": F.when(n.isNotNull(), F.coalesce(p["integerValue"].try_cast("long"), F.when(n != "NaN", V._exact(x["number"], False)))),
         "ts": p["timestampValue"].cast("timestamp"),
         "text": p["stringValue"],
         "bin": F.unbase64(p["bytesValue"]),
@@ -57,31 +75,49 @@ def _item(name: Column, x: Column) -> Column:
     return F.struct(name.alias("name"), *[c.alias(k) for k, c in _leaf(x).items()], deep.alias("json"))
 
 
-def value_of(x: Column) -> Column:
-    """A parsed value (``parsed``) as a dynamic value."""
+def _entries(entries: Column, step: Callable[[Column], Column]) -> Column:
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), step(e["value"]).alias("value")))
+
+
+def _value_of(x: Column) -> Column:
+    """What is known of a value (``STEPS``) as a dynamic value."""
     top, p = _leaf(x), x["p"]
-    each = lambda texts: F.transform(F.transform(texts, parsed), lambda y: _item(F.lit(""), y))
+    each = lambda texts: F.transform(reduce(F.transform, STEPS, texts), lambda y: _item(F.lit(""), y))
     none = F.array().cast(V.ITEMS)
-    entries = F.transform(F.map_entries(p["mapValue"]["fields"]), lambda e: F.struct(e["key"].alias("key"), parsed(e["value"]).alias("x")))
-    numbers = F.from_json(p["mapValue"]["fields"]["value"], PARSED)["arrayValue"]["values"]
+    entries = F.map_entries(p["mapValue"]["fields"])
+    for step in STEPS:
+        entries = _entries(entries, step)
     items = (
-        F.when(top["rank"] == V.ARRAY, F.coalesce(each(p["arrayValue"]["values"]).cast(V.ITEMS), none))
-        .when(top["rank"] == V.MAP, F.coalesce(F.array_sort(F.transform(entries, lambda e: _item(e["key"], e["x"]))).cast(V.ITEMS), none))
-        .when(top["rank"] == V.VECTOR, F.coalesce(each(numbers).cast(V.ITEMS), none))
+        F.when(x["rank"] == V.ARRAY, F.coalesce(each(p["arrayValue"]["values"]), none))
+        .when(x["rank"] == V.MAP, F.coalesce(F.array_sort(F.transform(entries, lambda e: _item(e["key"], e["value"]))), none))
+        .when(x["rank"] == V.VECTOR, F.coalesce(each(x["numbers"]), none))
     )
-    key = F.struct(*[c.alias(k) for k, c in top.items()], F.when(top["rank"] == V.VECTOR, F.size(numbers)).alias("size"), items.alias("items"))
-    return F.struct(key.cast(V.KEY).alias("key"), p["integerValue"].try_cast("long").alias("int"), x["raw"].alias("json")).cast(V.VALUE)
+    key = F.struct(*[c.alias(k) for k, c in top.items()], F.when(x["rank"] == V.VECTOR, F.size(x["numbers"])).alias("size"), items.alias("items"))
+    return F.struct(key.alias("key"), p["integerValue"].try_cast("long").alias("int"), x["raw"].alias("json")).cast(V.VALUE)
 
 
 def value(raw: Column) -> Column:
     """One tagged JSON value as a dynamic value."""
-    return F.element_at(F.transform(F.array(parsed(raw)), value_of), 1)
+    return F.element_at(F.transform(reduce(F.transform, STEPS, F.array(raw)), _value_of), 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in even parts for all cores: a scan is split by bytes and row groups, and the wire form takes far longer than reading."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _values(fields: Column, step: Callable[[Column], Column]) -> Column:
+    return F.transform_values(fields, lambda _, x: step(x))
 
 
 def decode(df: DataFrame, column: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
     """``name`` and ``fields`` of documents in wire form, one JSON text a row, beside the columns in ``keep``."""
     raw = F.from_json(F.get_json_object(F.col(column), "$.fields"), "map<string,string>")
-    return df.select(*keep, F.get_json_object(F.col(column), "$.name").alias("name"), F.transform_values(F.transform_values(F.coalesce(raw, F.create_map().cast("map<string,string>")), lambda _, v: parsed(v)), lambda _, x: value_of(x)).alias("fields"))
+    fields = F.coalesce(raw, F.create_map().cast("map<string,string>"))
+    for step in (*STEPS, _value_of):
+        fields = _values(fields, step)
+    return df.select(*keep, F.get_json_object(F.col(column), "$.name").alias("name"), fields.alias("fields"))
 
 
 def _quoted(c: Column) -> Column:

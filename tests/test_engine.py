@@ -389,3 +389,22 @@ def test_deep_pages_are_lined_up_and_keys_computed_once(spark, down, offset, lim
     assert not re.search(r"(TakeOrderedAndProject|Sort)[^\n]*transform\(", plan.split("== Initial Plan ==")[0])
     want = sorted(range(n), key=lambda i: (0, i, "") if i % 2 else (1, 0, str(i)), reverse=down)[offset:]
     assert [r.k for r in got.collect()] == (want if limit is None else want[:limit])
+
+
+def test_a_value_is_worked_out_once_on_the_wire(spark):
+    text = '{"name":"w/a","fields":{"n":{"doubleValue":"NaN"},"i":{"doubleValue":"-Infinity"},"d":{"doubleValue":1.5},"big":{"integerValue":"9007199254740993"},"z":{"nullValue":null},"odd":7,"l":{"arrayValue":{"values":[{"doubleValue":"NaN"},{"doubleValue":-2.5}]}},"v":{"mapValue":{"fields":{"__type__":{"stringValue":"__vector__"}}}}}}'
+    docs = wire.decode(spark.createDataFrame([(text,)], "json string"))
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("= -Infinity") == 4 and plan.count("= NaN") <= 12  # a value of its own, of an array, of a map and of a vector
+    f = docs.first().fields
+    leaf = lambda k: (k["rank"], k["real"], k["num"], k["exact"])
+    assert {n: leaf(f[n].key) for n in ("n", "i", "d", "big", "z", "odd")} == {
+        "n": (V.NUMBER, 0, 0.0, None), "i": (V.NUMBER, 1, float("-inf"), -(1 << 63)), "d": (V.NUMBER, 1, 1.5, 1), "big": (V.NUMBER, 1, 9007199254740992.0, 9007199254740993), "z": (V.NULL, None, None, None), "odd": (V.NULL, None, None, None),
+    }
+    assert [leaf(x) for x in f["l"].key["items"]] == [(V.NUMBER, 0, 0.0, None), (V.NUMBER, 1, -2.5, -2)] and f["v"].key["rank"] == V.VECTOR and f["v"].key["items"] == []
+
+
+@tables
+def test_wire_documents_are_spread_over_all_cores(spark):
+    parts = catalogue.QUERIES["wire_all_types"](spark, SF).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 2 * spark.sparkContext.defaultParallelism
